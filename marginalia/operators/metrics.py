@@ -6,6 +6,7 @@ model below fills that place, so that the whole evaluation can run on any corpus
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -21,8 +22,11 @@ def valid_label(label: Column) -> Column:
     return label.isNotNull() & (label != IGNORE_LABEL)
 
 
-def label_counts(train: DataFrame, vocab_size: int) -> Column:
-    """How often each id is a scored label in ``train``: one array with ``vocab_size`` places, as a scalar subquery."""
+def loss_tables(train: DataFrame, vocab_size: int, alphas: Sequence[float] = (1.0,)) -> Column:
+    """Fit the add-alpha unigram model on the scored labels of ``train``, once for all ``alphas``.
+
+    The result is a scalar subquery: per alpha an array with the loss -ln p of every id. ``vocab_size`` bounds it.
+    """
     counts = (
         train.select(F.explode("labels").alias("id"))
         .where(valid_label(F.col("id")))
@@ -31,16 +35,16 @@ def label_counts(train: DataFrame, vocab_size: int) -> Column:
     )
     ids = train.sparkSession.range(vocab_size).select(F.col("id").cast("int").alias("id"))
     dense = ids.join(counts, "id", "left").select(F.struct("id", F.coalesce("n", F.lit(0)).alias("n")).alias("e"))
-    return dense.agg(F.transform(F.sort_array(F.collect_list("e")), lambda e: e["n"]).alias("counts")).scalar()
-
-
-def unigram_loss(counts: Column, total: Column, label: Column, vocab_size: int, alpha: float) -> Column:
-    """-ln p of a label under the add-alpha unigram model."""
-    return -F.log((F.get(counts, label) + F.lit(alpha)) / (total + F.lit(alpha * vocab_size)))
+    fitted = dense.agg(
+        F.transform(F.sort_array(F.collect_list("e")), lambda e: e["n"]).alias("counts"), F.sum("e.n").alias("total")
+    )
 
+    def table(alpha: float) -> Column:
+        return F.transform(
+            "counts", lambda n: -F.log((n + F.lit(alpha)) / (F.col("total") + F.lit(alpha * vocab_size)))
+        )
 
-def array_total(counts: Column) -> Column:
-    return F.aggregate(counts, F.lit(0).cast("bigint"), lambda acc, n: acc + n)
+    return fitted.select(F.array(*[table(float(a)) for a in alphas]).alias("tables")).scalar()
 
 
 def shift_labels(df: DataFrame) -> DataFrame:
@@ -55,16 +59,17 @@ def unigram_losses(
 
     One row per model, row and position, masked positions included: a row without any scored label must still count.
     """
-    counts = label_counts(train, vocab_size)
-    total = train.select(F.explode("labels").alias("id")).agg(F.count_if(valid_label(F.col("id")))).scalar()
+    fitted = F.get(F.get(loss_tables(train, vocab_size, (alpha,)), F.lit(0)), F.col("label"))
     tokens = shift_labels(evaluated).select(*keys, F.posexplode_outer("labels").alias("pos", "label"))
     scored = valid_label(F.col("label"))
     by_model = F.array(
-        F.struct(F.lit("unigram").alias("model"), unigram_loss(counts, total, F.col("label"), vocab_size, alpha).alias("loss")),
-        F.struct(F.lit("uniform").alias("model"), F.log(F.lit(float(vocab_size))).alias("loss")),
+        F.struct(F.lit("unigram").alias("model"), F.col("_fitted").alias("loss")),
+        F.struct(F.lit("uniform").alias("model"), F.lit(math.log(vocab_size)).alias("loss")),
     )
-    return tokens.withColumn("_m", F.explode(by_model)).select(
-        *keys, "pos", "label", F.col("_m.model").alias("model"), F.when(scored, F.col("_m.loss")).otherwise(0.0).alias("loss")
+    return (
+        tokens.withColumn("_fitted", F.when(scored, fitted))
+        .withColumn("_m", F.explode(by_model))
+        .select(*keys, "pos", "label", "_m.model", F.when(scored, F.col("_m.loss")).otherwise(0.0).alias("loss"))
     )
 
 
@@ -85,12 +90,26 @@ def scored_labels() -> Column:
     return F.filter(F.slice("labels", F.lit(2), F.size("labels")), lambda x: x != IGNORE_LABEL)
 
 
-def row_loss_of_arrays(counts: Column, total: Column, vocab_size: int, alpha: float) -> Column:
-    """The same mean straight from the label array of a row: nothing is exploded and nothing is shuffled."""
-    scored = scored_labels()
-    summed = F.aggregate(scored, F.lit(0.0), lambda acc, x: acc - F.log(F.get(counts, x) + F.lit(alpha)))
-    size = F.size(scored)
-    return (summed + size * F.log(total + F.lit(alpha * vocab_size))) / (size + F.lit(LOSS_EPSILON))
+def score_rows(
+    evaluated: DataFrame, tables: Column, alphas: Sequence[float], keys: Sequence[str] = ROW_KEYS
+) -> DataFrame:
+    """The same row means straight from the label arrays: ``losses`` has one value per alpha.
+
+    Nothing is exploded or shuffled. ``tables`` comes from ``loss_tables``; the column that names it is read in one
+    place only, so that the optimizer folds it into the expression and no row carries it.
+    """
+    named = evaluated.select(*keys, scored_labels().alias("_scored"), tables.alias("_tables"))
+    per_alpha = F.transform(
+        "_tables",
+        lambda t: F.aggregate("_scored", F.lit(0.0), lambda acc, x: acc + F.get(t, x))
+        / (F.size("_scored") + F.lit(LOSS_EPSILON)),
+    )
+    return named.select(*keys, per_alpha.alias("losses"), F.size("_scored").alias("tokens"))
+
+
+def uniform_row_loss(vocab_size: int, tokens: Column) -> Column:
+    """Every scored label costs ln V; a row without one costs 0."""
+    return tokens * F.lit(math.log(vocab_size)) / (tokens + F.lit(LOSS_EPSILON))
 
 
 def perplexity(ce: Column) -> Column:

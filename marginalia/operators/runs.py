@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .metrics import array_total, label_counts, perplexity, row_loss_of_arrays
+from .metrics import loss_tables, perplexity, score_rows
 from .ordering import first_k, with_running_max
 
 METRICS = ("loss", "eval_loss", "learning_rate")
@@ -74,15 +74,14 @@ def grid(spark: SparkSession, **axes: Sequence) -> DataFrame:
 
 
 def sweep(train: DataFrame, evaluated: DataFrame, vocab_size: int, alphas: Sequence[float], by: Sequence[str] = ("split",)) -> DataFrame:
-    """``alpha, val_ce/test_ce``-style scores for all values in one pass: one aggregate column per value.
+    """``alpha, count, avg_ce, perplexity`` per group for all values of the sweep, in one pass.
 
-    Rows are not multiplied by the grid; only the few result rows are unpivoted.
+    Each row is scored for all values at once; only the few result rows are multiplied by the grid.
     """
-    counts = label_counts(train, vocab_size)
-    total = array_total(counts)
-    losses = {f"_a{i}": row_loss_of_arrays(counts, total, vocab_size, float(a)) for i, a in enumerate(alphas)}
-    scored = evaluated.select(*by, *[loss.alias(name) for name, loss in losses.items()])
-    means = scored.groupBy(*by).agg(F.count(F.lit(1)).alias("count"), *[F.avg(name).alias(name) for name in losses])
+    scored = score_rows(evaluated, loss_tables(train, vocab_size, alphas), alphas, by)
+    means = scored.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("count"), *[F.avg(F.get("losses", F.lit(i))).alias(f"_a{i}") for i in range(len(alphas))]
+    )
     rows = F.array(*[F.struct(F.lit(float(a)).alias("alpha"), F.col(f"_a{i}").alias("avg_ce")) for i, a in enumerate(alphas)])
     return (
         means.select(*by, "count", F.explode(rows).alias("_r"))

@@ -34,11 +34,13 @@ def token_count(text: Name) -> Column:
 class TokenSource:
     """How text becomes ids: ``ids(text, max_len)`` gives at most ``max_len`` ids, ``count(text)`` their full number.
 
-    The default is ``vocabulary_source``. A caller with a tokenizer of their own passes Pandas UDFs here.
+    The default is ``vocabulary_source``. A caller with a tokenizer of their own passes Pandas UDFs here. ``lookup`` is
+    a value that ``ids`` reads as the column ``_lookup``.
     """
 
     ids: Callable[[Column, int], Column]
     count: Callable[[Column], Column] = token_count
+    lookup: Column | None = None
 
 
 def build_vocab(df: DataFrame, max_size: int = VOCABULARY_SIZE, text: str = "text") -> DataFrame:
@@ -74,17 +76,18 @@ def vocabulary_source(vocab: DataFrame, max_size: int = VOCABULARY_SIZE) -> Toke
     ).scalar()
 
     def token_id(token: Column) -> Column:
-        entries = F.get(table, F.pmod(F.xxhash64(token), F.lit(slots)).cast("int"))
+        entries = F.get("_lookup", F.pmod(F.xxhash64(token), F.lit(slots)).cast("int"))
         return F.coalesce(F.try_element_at(entries, token), F.lit(UNKNOWN_ID))
 
-    return TokenSource(lambda text, max_len: F.transform(F.slice(token_list(text), 1, max_len), token_id))
+    return TokenSource(lambda text, max_len: F.transform(F.slice(token_list(text), 1, max_len), token_id), lookup=table)
 
 
 def tokenize(df: DataFrame, source: TokenSource, max_len: int = MAX_TOKENS) -> DataFrame:
     """Add ``input_ids``, cut to ``max_len``, and ``attention_mask``."""
-    return df.withColumn("input_ids", source.ids(F.col("text"), max_len)).withColumn(
-        "attention_mask", F.array_repeat(F.lit(1), F.size("input_ids"))
-    )
+    # The lookup column is read in one place only, so that the optimizer folds it into the expression: no row carries it.
+    looked_up = df if source.lookup is None else df.withColumn("_lookup", source.lookup)
+    ids = looked_up.select(*df.columns, source.ids(F.col("text"), max_len).alias("input_ids"))
+    return ids.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids")))
 
 
 def mask_prompt(df: DataFrame, source: TokenSource | None = None, no_tag: str = "error") -> DataFrame:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import LOSS_EPSILON, MAX_TOKENS
-from ..operators.metrics import array_total, label_counts, row_loss_of_arrays, scored_labels
+from ..constants import MAX_TOKENS
+from ..operators.metrics import loss_tables, score_rows, uniform_row_loss
 from ..operators.tokens import VOCABULARY_SIZE, TokenSource, build_vocab, mask_prompt, tokenize, vocabulary_source
 
 EVAL_KEYS = ("dataset", "language", "split", "row_id")
@@ -28,21 +27,13 @@ def train_source(chat: DataFrame, max_size: int = VOCABULARY_SIZE) -> TokenSourc
     return vocabulary_source(build_vocab(chat.where(F.col("split") == "train"), max_size), max_size)
 
 
-def score_rows(
+def row_losses(
     train: DataFrame, evaluated: DataFrame, vocab_size: int = VOCABULARY_SIZE, alpha: float = 1.0, keys: Sequence[str] = EVAL_KEYS
 ) -> DataFrame:
-    """Row losses of the unigram model and of the uniform one, straight from the label arrays. No shuffle."""
-    counts = label_counts(train, vocab_size)
-    fitted = row_loss_of_arrays(counts, array_total(counts), vocab_size, alpha)
-    uniform = uniform_row_loss(vocab_size)
+    """Row losses of the unigram model and of the uniform one. No shuffle of the evaluated rows."""
+    scored = score_rows(evaluated, loss_tables(train, vocab_size, (alpha,)), (alpha,), keys)
     models = F.array(
-        F.struct(F.lit("unigram").alias("model"), fitted.alias("row_loss")),
-        F.struct(F.lit("uniform").alias("model"), uniform.alias("row_loss")),
+        F.struct(F.lit("unigram").alias("model"), F.get("losses", F.lit(0)).alias("row_loss")),
+        F.struct(F.lit("uniform").alias("model"), uniform_row_loss(vocab_size, F.col("tokens")).alias("row_loss")),
     )
-    return evaluated.select(*keys, F.explode(models).alias("_m")).select(*keys, "_m.model", "_m.row_loss")
-
-
-def uniform_row_loss(vocab_size: int) -> Column:
-    """Every scored label costs ln V; a row without one costs 0."""
-    scored = F.size(scored_labels())
-    return scored * F.lit(math.log(vocab_size)) / (scored + F.lit(LOSS_EPSILON))
+    return scored.select(*keys, "tokens", F.explode(models).alias("_m")).select(*keys, "tokens", "_m.model", "_m.row_loss")

@@ -10,6 +10,7 @@ from ..operators.bounds import few_values
 from ..operators.columns import with_fields
 from ..operators.ordering import with_position
 from ..operators.sampling import stratified_split
+from ..sources.corpora import materialize
 
 COMMIT_GROUPS = len(COMMIT_LANGUAGES)
 
@@ -73,7 +74,16 @@ def code_split(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def commit_split(spark: SparkSession, sf: str) -> DataFrame:
-    return stratified_split(commit_rows(spark, sf), "language", groups=COMMIT_GROUPS)
+    """The commit rows are written once, as a raw corpus would be; the split reads them more than once."""
+    return stratified_split(materialize(commit_rows(spark, sf)), "language", groups=COMMIT_GROUPS)
+
+
+def saved_code(spark: SparkSession, sf: str) -> DataFrame:
+    return materialize(code_split(spark, sf), "split")
+
+
+def saved_commits(spark: SparkSession, sf: str) -> DataFrame:
+    return materialize(commit_split(spark, sf), "split")
 
 
 def raw_code(df: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from ..operators import tokens as TK
 from ..plans.blend import blend, code_chats, commit_chats
 from ..plans.code_corpus import clean_code, compact_code
 from ..plans.commit_corpus import clean_commits, compact_commits
-from ..plans.evaluation import score_rows, token_table, train_source
+from ..plans.evaluation import row_losses, token_table, train_source
 from ..session import configure, scratch_folder
 from ..sources import corpora as S
 from . import inputs as I
@@ -244,19 +244,19 @@ def _(spark, sf):
 
 @query("d3_compact_code")
 def _(spark, sf):
-    rows = D.compact(I.code_split(spark, sf), "code", languages=I.language_bound(spark, sf))
+    rows = D.compact(I.saved_code(spark, sf), "code", languages=I.language_bound(spark, sf))
     return rows.select("ord", "language", "split", "code")
 
 
 @query("d3_compact_code_small")
 def _(spark, sf):
-    rows = D.compact(I.code_split(spark, sf), "code", SMALL_QUOTAS, languages=I.language_bound(spark, sf))
+    rows = D.compact(I.saved_code(spark, sf), "code", SMALL_QUOTAS, languages=I.language_bound(spark, sf))
     return rows.select("ord", "language", "split", "code")
 
 
 @query("d3_compact_commit")
 def _(spark, sf):
-    rows = clean_commits(I.commit_split(spark, sf))
+    rows = S.materialize(clean_commits(I.commit_split(spark, sf)), "split")
     return compact_commits(rows, SMALL_QUOTAS).select("ord", "language", "split", "target")
 
 
@@ -302,12 +302,12 @@ def _(spark, sf):
 
 @query("d10_mix_50_50")
 def _(spark, sf):
-    return blend(I.code_split(spark, sf), I.commit_split(spark, sf))
+    return blend(I.saved_code(spark, sf), I.saved_commits(spark, sf))
 
 
 @query("d10_mix_70_30")
 def _(spark, sf):
-    return blend(I.code_split(spark, sf), I.commit_split(spark, sf), SMALL_QUOTAS, {"code": 70, "commit": 30})
+    return blend(I.saved_code(spark, sf), I.saved_commits(spark, sf), SMALL_QUOTAS, {"code": 70, "commit": 30})
 
 
 # --- sets and counts --------------------------------------------------------------------------------------
@@ -366,13 +366,14 @@ def _(spark, sf):
 @query("code_corpus_counts")
 def code_corpus_counts(spark, sf):
     """Rows each language keeps, per split, after cleaning, dedup and quotas."""
-    cleaned = clean_code(I.raw_code(I.code_split(spark, sf)))
+    cleaned = S.materialize(clean_code(I.raw_code(I.code_split(spark, sf))), "split")
     return A.corpus_matrix(compact_code(cleaned, languages=I.language_bound(spark, sf)))
 
 
 @query("commit_corpus_counts")
 def _(spark, sf):
-    return A.corpus_matrix(compact_commits(clean_commits(I.commit_split(spark, sf))))
+    cleaned = S.materialize(clean_commits(I.commit_split(spark, sf)), "split")
+    return A.corpus_matrix(compact_commits(cleaned))
 
 
 # --- chat -------------------------------------------------------------------------------------------------
@@ -389,14 +390,14 @@ for _profile in ("models_mixed", "final_mixed"):
 
 @query("r4_ensure")
 def _(spark, sf):
-    mixed = I.mixed_rows(I.code_split(spark, sf), I.commit_split(spark, sf))
+    mixed = I.mixed_rows(I.saved_code(spark, sf), I.saved_commits(spark, sf))
     mixed = P.with_fields(mixed, P.COMMIT_FIELDS)
     return C.ensure_chat(mixed, G.good_example_relaxed() & (F.col("split") != "validation"), "final_mixed")
 
 
 def _chat(spark: SparkSession, sf: str) -> DataFrame:
     """Chat rows of the code corpus, with split and normalised language."""
-    rows = I.code_split(spark, sf)
+    rows = I.saved_code(spark, sf)
     return P.with_text(rows).select("ord", F.col("language_norm").alias("language"), "split", "text")
 
 
@@ -486,8 +487,8 @@ V = TK.VOCABULARY_SIZE
 
 def _corpora(spark: SparkSession, sf: str) -> DataFrame:
     """Chat rows of both corpora: ``dataset, language, split, row_id, text``."""
-    code = code_chats(I.code_split(spark, sf)).select(F.lit("code").alias("dataset"), "language", "split", F.col("ord").alias("row_id"), "text")
-    commits = commit_chats(I.commit_split(spark, sf)).select(
+    code = code_chats(I.saved_code(spark, sf)).select(F.lit("code").alias("dataset"), "language", "split", F.col("ord").alias("row_id"), "text")
+    commits = commit_chats(I.saved_commits(spark, sf)).select(
         F.lit("commit").alias("dataset"), "language", "split", F.col("ord").alias("row_id"), "text"
     )
     return code.unionByName(commits)
@@ -496,12 +497,12 @@ def _corpora(spark: SparkSession, sf: str) -> DataFrame:
 def _eval_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Token tables of the train split and of the other two."""
     chat = _corpora(spark, sf)
-    tokens = token_table(chat, train_source(chat))
+    tokens = S.materialize(token_table(chat, train_source(chat)), "split")
     return tokens.where("split = 'train'"), tokens.where("split <> 'train'")
 
 
 def _scores(spark: SparkSession, sf: str) -> DataFrame:
-    return score_rows(*_eval_tables(spark, sf))
+    return row_losses(*_eval_tables(spark, sf))
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql.types import StructType
 from ..constants import SPLITS, UNSAFE_NAME
 from ..functions.text import preview_text, safe_name
 from ..operators.bounds import attach
+from ..session import scratch_folder
 
 FILE_BITS = 40
 
@@ -60,9 +61,16 @@ def with_order(df: DataFrame, name: str = "ord") -> DataFrame:
     """
     files = sorted(df.inputFiles())
     numbered = df.sparkSession.createDataFrame(list(enumerate(files)), "_file_no bigint, _file string")
-    located = df.withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
-    joined = attach(located, numbered, ["_file"], "_row", len(files))
-    return joined.withColumn(name, F.shiftleft("_file_no", FILE_BITS) + F.col("_row")).drop("_file", "_file_no", "_row")
+    numbered = numbered.withColumn("_file", _plain_path("_file"))
+    located = df.withColumns({"_file": _plain_path("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
+    joined = attach(located, numbered, ["_file"], "_row", len(files), "left")
+    number = F.coalesce("_file_no", F.raise_error(F.lit("file is not in the listing")).cast("bigint"))
+    return joined.withColumn(name, F.shiftleft(number, FILE_BITS) + F.col("_row")).drop("_file", "_file_no", "_row")
+
+
+def _plain_path(col: str):
+    """The listing and the file metadata differ in the slashes after the scheme."""
+    return F.regexp_replace(F.col(col), "^([A-Za-z0-9+.-]+):/+", "$1:/")
 
 
 def write_corpus(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -86,6 +94,16 @@ def read_corpus(spark: SparkSession, path: str, language: str | None = None) ->
     return df.where(F.col("language") == language)
 
 
+def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
+    """Write a table that several steps read to the shared scratch folder, and read it from there.
+
+    This cuts the lineage: a lost executor costs a re-read, not a recomputation.
+    """
+    path = scratch_folder(df.sparkSession)
+    df.write.partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def list_partitions(df: DataFrame, cols: Sequence[str] = ("lang_dir", "split")) -> DataFrame:
     return df.select(*cols).distinct()
 
