@@ -1,6 +1,7 @@
 """Quality gates: boolean columns that are never null.
 
-They can be used in ``filter``, counted in a report, or applied to a stream.
+They can be used in ``filter``, counted in a report, or applied to a stream. A gate refers to its text once, since a
+filter computes an expression as often as it occurs: tests on one text are one pattern.
 """
 
 from __future__ import annotations
@@ -8,18 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..constants import MAX_LINES, MIN_LINES, WEAK_COMMIT_STARTS, WEAK_SUMMARY_STARTS
+from ..constants import MAX_LINES, MIN_LINES, SENTENCE_ENDS, WEAK_COMMIT_STARTS, WEAK_SUMMARY_STARTS
 from .text import (
     Name,
     blank_if_null,
     clean,
     col,
-    ends_sentence,
     first_nonempty,
     line_count,
-    starts_alpha,
-    starts_any,
-    starts_upper,
     target_or_fallback,
 )
 
@@ -29,14 +26,19 @@ def _flag(condition: Column) -> Column:
 
 
 def _sentence(c: Name, min_len: int, weak_starts: tuple[str, ...]) -> Column:
-    text = col(c)
-    return _flag(
-        (F.length(text) >= min_len) & starts_upper(text) & ends_sentence(text) & ~starts_any(text, weak_starts)
-    )
+    """At least ``min_len`` characters, upper-case start, sentence end, none of the weak starts."""
+    weak, ends = "|".join(weak_starts), "".join(SENTENCE_ENDS)
+    return _flag(F.rlike(col(c), F.lit(rf"(?s)\A(?!{weak})\p{{IsUppercase}}.{{{min_len - 2},}}[{ends}]\z")))
 
 
 def _wordy(text: Column, min_len: int = 10) -> Column:
-    return _flag((F.length(text) >= min_len) & starts_alpha(text))
+    """At least ``min_len`` characters, of which the first is a letter."""
+    return _flag(F.rlike(text, F.lit(rf"(?s)\A\p{{L}}.{{{min_len - 1},}}")))
+
+
+def _within(count: Column, lo: int, hi: int) -> Column:
+    """``lo <= count <= hi`` with one reference to the count."""
+    return F.abs(count * 2 - F.lit(lo + hi)) <= hi - lo
 
 
 def before_text() -> Column:
@@ -57,12 +59,12 @@ def is_good_commit(c: Name) -> Column:
 
 
 def good_code_length(code: Name, lo: int = MIN_LINES, hi: int = MAX_LINES) -> Column:
-    return _flag((col(code) != "") & line_count(code).between(lo, hi))
+    return _flag((col(code) != "") & _within(line_count(code), lo, hi))
 
 
 def good_change_length(before: Name, after: Name, lo: int = MIN_LINES, hi: int = MAX_LINES) -> Column:
     lines = line_count(blank_if_null(before)) + line_count(blank_if_null(after))
-    return _flag(lines.between(lo, hi))
+    return _flag(_within(lines, lo, hi))
 
 
 def good_code_row(code: Name = "code", docstring: Name = "docstring", min_len: int = 10) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,6 +23,11 @@ def col(c: Name) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def blank_if_null(c: Name) -> Column:
     return F.coalesce(col(c), F.lit(""))
 
@@ -54,11 +59,18 @@ def summary(c: Name, skip_leading_blank: bool = False) -> Column:
     line is taken, so a docstring that opens with a blank line has no summary unless ``skip_leading_blank``.
     """
     text = ustrip(c) if skip_leading_blank else col(c)
+
+    def is_stop(line: Column) -> Column:
+        return (line == "") | line.startswith(":")
+
+    def leading(lines: Column, stop: Column) -> Column:
+        return F.slice(lines, F.lit(1), F.when(stop == 0, F.size(lines)).otherwise(stop - 1).cast("int"))
+
+    def block(lines: Column) -> Column:
+        return once(F.array_position(F.transform(lines, is_stop), F.lit(True)), lambda stop: leading(lines, stop))
+
     lines = F.transform(F.split(text, LINE_BREAK, -1), ustrip)
-    stops = F.transform(lines, lambda line: (line == "") | line.startswith(":"))
-    stop = F.array_position(stops, F.lit(True))
-    taken = F.when(stop == 0, F.size(lines)).otherwise(stop - 1).cast("int")
-    return F.nullif(F.array_join(F.slice(lines, F.lit(1), taken), " "), F.lit(""))
+    return F.nullif(F.array_join(once(lines, block), " "), F.lit(""))
 
 
 def eq_ci(a: Name, b: Name) -> Column:
@@ -105,7 +117,8 @@ def target_or_fallback(
 
 def line_count(c: Name) -> Column:
     """Number of newline characters plus one."""
-    return F.regexp_count(col(c), F.lit("\n")) + F.lit(1)
+    text = col(c)
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + F.lit(1)
 
 
 def safe_name(c: Name) -> Column:

@@ -98,15 +98,15 @@ def mask_prompt(df: DataFrame, source: TokenSource | None = None, no_tag: str =
     if no_tag not in ("error", "mask_all"):
         raise ValueError(f"no_tag must be 'error' or 'mask_all', not {no_tag!r}")
     count = (source or TokenSource(lambda text, n: token_list(text))).count
-    size = F.size("input_ids")
-    cut = F.least(count(prompt_of("text")), size)
+    size, cut = F.size("input_ids"), F.col("_cut")
     masked = F.concat(F.array_repeat(F.lit(IGNORE_LABEL), cut), F.slice("input_ids", cut + 1, size))
     untagged = (
         F.array_repeat(F.lit(IGNORE_LABEL), size)
         if no_tag == "mask_all"
         else F.raise_error(F.lit("assistant tag not found")).cast("array<int>")
     )
-    return df.withColumn("labels", F.when(has_tag("text"), masked).otherwise(untagged))
+    counted = df.withColumn("_cut", F.least(count(prompt_of("text")), size))
+    return counted.withColumn("labels", F.when(has_tag("text"), masked).otherwise(untagged)).drop("_cut")
 
 
 def arrays_only(df: DataFrame, keys: Sequence[str] = ("ord",)) -> DataFrame:

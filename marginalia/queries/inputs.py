@@ -10,7 +10,7 @@ from ..operators.bounds import few_values
 from ..operators.columns import with_fields
 from ..operators.ordering import with_position
 from ..operators.sampling import stratified_split
-from ..sources.corpora import materialize
+from ..sources.corpora import materialize, spread_scan
 
 COMMIT_GROUPS = len(COMMIT_LANGUAGES)
 
@@ -20,7 +20,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def code_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """``ord, language, code, docstring``; four docstring shapes."""
+    """``ord, language, code, docstring``; four docstring shapes. A table of few files is spread over the cores."""
+    documents = spread_scan(table(spark, sf, "documents"), "doc_id")
     first = F.split_part("text", F.lit("\n"), F.lit(1))
     shape = F.col("doc_id") % 4
     docstring = (
@@ -29,7 +30,7 @@ def code_rows(spark: SparkSession, sf: str) -> DataFrame:
         .when(shape == 2, first)
         .otherwise(F.concat(F.lit("\n"), "text"))
     )
-    return table(spark, sf, "documents").select(
+    return documents.select(
         F.col("doc_id").alias("ord"), F.col("lang").alias("language"), F.col("text").alias("code"), docstring.alias("docstring")
     )
 
@@ -79,6 +80,7 @@ def commit_split(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def saved_code(spark: SparkSession, sf: str) -> DataFrame:
+    """The split code rows, written once."""
     return materialize(code_split(spark, sf), "split")
 
 

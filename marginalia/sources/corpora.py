@@ -94,6 +94,12 @@ def read_corpus(spark: SparkSession, path: str, language: str | None = None) ->
     return df.where(F.col("language") == language)
 
 
+def spread_scan(df: DataFrame, key: str) -> DataFrame:
+    """Give a table of few files one partition per core. A scan that has enough partitions is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write a table that several steps read to the shared scratch folder, and read it from there.
 
