@@ -33,7 +33,7 @@ HEADLINE = (
     "r3_final_mixed",
     "t0_vocab",
     "t1_tokenize",
-    "t5_pad",
+    "t5_padded_batches",
     "t7_profile",
     "e4_language",
     "l1_curves",

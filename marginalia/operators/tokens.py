@@ -121,13 +121,16 @@ def assign_batches(df: DataFrame, size: int = EVAL_BATCH_SIZE, order: str = "ord
 def pad_batches(df: DataFrame, pad_id: int = PAD_ID, by: Sequence[str] = ()) -> DataFrame:
     """Right-pad the arrays of each batch to its longest row: ids with ``pad_id``, attention 0, labels -100."""
     longest = F.max(F.size("input_ids")).over(W.partitionBy(*by, "batch_id"))
-    fill = F.col("_longest") - F.size("input_ids")
+    return pad_to(df.withColumn("longest", longest), pad_id)
+
+
+def pad_to(df: DataFrame, pad_id: int = PAD_ID) -> DataFrame:
+    """Right-pad the arrays of each row to the length in its column ``longest``, which is dropped."""
     values = {"input_ids": pad_id, "attention_mask": 0, "labels": IGNORE_LABEL}
     return (
-        df.withColumn("_longest", longest)
-        .withColumn("_fill", fill)
+        df.withColumn("_fill", F.col("longest") - F.size("input_ids"))
         .withColumns({c: F.concat(c, F.array_repeat(F.lit(v), F.col("_fill"))) for c, v in values.items()})
-        .drop("_longest", "_fill")
+        .drop("longest", "_fill")
     )
 
 

@@ -5,11 +5,21 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..constants import MAX_TOKENS
+from ..constants import EVAL_BATCH_SIZE, MAX_TOKENS
 from ..operators.metrics import loss_tables, score_rows, uniform_row_loss
-from ..operators.tokens import VOCABULARY_SIZE, TokenSource, build_vocab, mask_prompt, tokenize, vocabulary_source
+from ..operators.tokens import (
+    VOCABULARY_SIZE,
+    TokenSource,
+    assign_batches,
+    build_vocab,
+    mask_prompt,
+    pad_to,
+    tokenize,
+    vocabulary_source,
+)
 
 EVAL_KEYS = ("dataset", "language", "split", "row_id")
 
@@ -27,6 +37,28 @@ def train_source(chat: DataFrame, max_size: int = VOCABULARY_SIZE) -> TokenSourc
     return vocabulary_source(build_vocab(chat.where(F.col("split") == "train"), max_size), max_size)
 
 
+def padded_batches(
+    chat: DataFrame,
+    source: TokenSource,
+    by: Sequence[str] = ("split",),
+    size: int = EVAL_BATCH_SIZE,
+    order: str = "ord",
+    max_len: int = MAX_TOKENS,
+    no_tag: str = "error",
+) -> DataFrame:
+    """Chat rows as padded batches: ``by, order, batch_id`` and the three arrays.
+
+    Batch numbers and lengths are worked out on narrow rows (keys and token counts). The text moves once, to meet
+    them; the arrays, several times the size of the text, are made afterwards and never move.
+    """
+    length = F.least(source.count(F.col("text")), F.lit(max_len)).alias("longest")
+    batched = assign_batches(chat.select(*by, order, length), size, order, by)
+    in_batch = W.partitionBy(*by, "batch_id")
+    placed = batched.select(order, "batch_id", F.max("longest").over(in_batch).alias("longest"))
+    tokens = token_table(chat.join(placed, order), source, [*by, order, "batch_id", "longest"], max_len, no_tag)
+    return pad_to(tokens)
+
+
 def row_losses(
     train: DataFrame, evaluated: DataFrame, vocab_size: int = VOCABULARY_SIZE, alpha: float = 1.0, keys: Sequence[str] = EVAL_KEYS
 ) -> DataFrame:

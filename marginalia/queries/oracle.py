@@ -506,5 +506,8 @@ QUERIES = {
 }
 
 
+QUERIES["t5_padded_batches"] = QUERIES["t5_pad"]
+
+
 def oracle_queries() -> dict[str, str]:
     return {name: sql(text) for name, text in QUERIES.items()}

@@ -26,7 +26,7 @@ from ..operators import tokens as TK
 from ..plans.blend import blend, code_chats, commit_chats
 from ..plans.code_corpus import clean_code, compact_code
 from ..plans.commit_corpus import clean_commits, compact_commits
-from ..plans.evaluation import row_losses, token_table, train_source
+from ..plans.evaluation import padded_batches, row_losses, token_table, train_source
 from ..session import configure, scratch_folder
 from ..sources import corpora as S
 from . import inputs as I
@@ -461,11 +461,20 @@ def _(spark, sf):
     return TK.assign_batches(I.code_split(spark, sf).select("ord", "split"), by=["split"])
 
 
+def _joined_batches(padded: DataFrame) -> DataFrame:
+    return padded.select("ord", "split", "batch_id", *[joined(c).alias(c) for c in ("input_ids", "attention_mask", "labels")])
+
+
 @query("t5_pad")
 def _(spark, sf):
     batched = TK.assign_batches(_tokens(spark, sf), by=["split"])
-    padded = TK.pad_batches(batched, by=["split"])
-    return padded.select("ord", "split", "batch_id", *[joined(c).alias(c) for c in ("input_ids", "attention_mask", "labels")])
+    return _joined_batches(TK.pad_batches(batched, by=["split"]))
+
+
+@query("t5_padded_batches")
+def _(spark, sf):
+    chat = _chat(spark, sf)
+    return _joined_batches(padded_batches(chat, train_source(chat)))
 
 
 @query("t6_arrays_only")

@@ -73,13 +73,21 @@ def _plain_path(col: str):
     return F.regexp_replace(F.col(col), "^([A-Za-z0-9+.-]+):/+", "$1:/")
 
 
-def write_corpus(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Write all splits. Rebalancing first gives files of even size: large splits are cut, small ones are merged."""
-    df.hint("rebalance", "split").write.mode(mode).partitionBy("split").parquet(path)
+def write_corpus(df: DataFrame, path: str, mode: str = "errorifexists", rebalance: bool = False) -> None:
+    """Write all splits. Each task writes at most one file per split, so the rows are not shuffled for it.
+
+    ``rebalance`` shuffles them for files of even size, which pays after a filter that leaves little of each task.
+    """
+    df = df.hint("rebalance", "split") if rebalance else df
+    df.write.mode(mode).partitionBy("split").parquet(path)
 
 
 def write_by_language(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Write one folder per language (safe name) and split."""
+    """Write one folder per language (safe name) and split.
+
+    There are many folders, so the rows are rebalanced first: large folders are cut into files of even size, and small
+    ones are not scattered over one file per task.
+    """
     named = df.withColumn("lang_dir", safe_name("language"))
     named.hint("rebalance", "lang_dir", "split").write.mode(mode).partitionBy("lang_dir", "split").parquet(path)
 
