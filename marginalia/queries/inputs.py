@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..constants import COMMIT_LANGUAGES
 from ..operators.bounds import few_values
 from ..operators.columns import with_fields
 from ..operators.ordering import with_position
 from ..operators.sampling import stratified_split
-from ..sources.corpora import materialize, spread_scan
+from ..sources.corpora import save_scratch, spread_scan
 
 COMMIT_GROUPS = len(COMMIT_LANGUAGES)
 
@@ -74,18 +77,36 @@ def code_split(spark: SparkSession, sf: str) -> DataFrame:
     return stratified_split(code_rows(spark, sf), "language", groups=language_bound(spark, sf))
 
 
+# Tables that several queries of one application read are written once, like the corpora saved between two steps.
+_SAVED: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+
+
+def saved(name: str, spark: SparkSession, sf: str, make: Callable[[], DataFrame], *partition_by: str) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _SAVED:
+        df = make()
+        _SAVED[key] = save_scratch(df, *partition_by), df.schema
+    path, schema = _SAVED[key]
+    return spark.read.schema(schema).parquet(path)
+
+
+def forget_saved() -> None:
+    """Let the next query write its inputs anew (so that a benchmark times all of its work)."""
+    _SAVED.clear()
+
+
 def commit_split(spark: SparkSession, sf: str) -> DataFrame:
-    """The commit rows are written once, as a raw corpus would be; the split reads them more than once."""
-    return stratified_split(materialize(commit_rows(spark, sf)), "language", groups=COMMIT_GROUPS)
+    """The commit rows are saved first, as a raw corpus would be; the split reads them more than once."""
+    raw = saved("commit_rows", spark, sf, lambda: commit_rows(spark, sf))
+    return stratified_split(raw, "language", groups=COMMIT_GROUPS)
 
 
 def saved_code(spark: SparkSession, sf: str) -> DataFrame:
-    """The split code rows, written once."""
-    return materialize(code_split(spark, sf), "split")
+    return saved("code_split", spark, sf, lambda: code_split(spark, sf), "split")
 
 
 def saved_commits(spark: SparkSession, sf: str) -> DataFrame:
-    return materialize(commit_split(spark, sf), "split")
+    return saved("commit_split", spark, sf, lambda: commit_split(spark, sf), "split")
 
 
 def raw_code(df: DataFrame) -> DataFrame:

@@ -431,15 +431,20 @@ def _(spark, sf):
     return TK.build_vocab(_chat(spark, sf).where("split = 'train'"))
 
 
+def _source(spark: SparkSession, sf: str) -> TK.TokenSource:
+    """Token source with the vocabulary of the train split of the code corpus."""
+    vocab = I.saved("vocab", spark, sf, lambda: TK.build_vocab(_chat(spark, sf).where("split = 'train'")))
+    return TK.vocabulary_source(vocab)
+
+
 def _tokens(spark: SparkSession, sf: str) -> DataFrame:
-    chat = _chat(spark, sf)
-    return token_table(chat, train_source(chat), ["ord", "language", "split"])
+    return token_table(_chat(spark, sf), _source(spark, sf), ["ord", "language", "split"])
 
 
 @query("t1_tokenize")
 def _(spark, sf):
     chat = _chat(spark, sf)
-    tokens = TK.tokenize(chat, train_source(chat))
+    tokens = TK.tokenize(chat, _source(spark, sf))
     return tokens.select("ord", joined("input_ids").alias("input_ids"), joined("attention_mask").alias("attention_mask"))
 
 
@@ -451,7 +456,7 @@ def _(spark, sf):
 @query("t3_no_tag")
 def _(spark, sf):
     chat = _chat(spark, sf)
-    source = train_source(chat)
+    source = _source(spark, sf)
     mixed = chat.select("ord", "text").unionByName(I.code_rows(spark, sf).select((-F.col("ord") - 1).alias("ord"), F.col("docstring").alias("text")))
     return token_table(mixed, source, ["ord"], no_tag="mask_all").select("ord", joined("labels").alias("labels"))
 
@@ -474,7 +479,7 @@ def _(spark, sf):
 @query("t5_padded_batches")
 def _(spark, sf):
     chat = _chat(spark, sf)
-    return _joined_batches(padded_batches(chat, train_source(chat)))
+    return _joined_batches(padded_batches(chat, _source(spark, sf)))
 
 
 @query("t6_arrays_only")
@@ -505,8 +510,12 @@ def _corpora(spark: SparkSession, sf: str) -> DataFrame:
 
 def _eval_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Token tables of the train split and of the other two."""
-    chat = _corpora(spark, sf)
-    tokens = S.materialize(token_table(chat, train_source(chat)), "split")
+
+    def tokenized() -> DataFrame:
+        chat = _corpora(spark, sf)
+        return token_table(chat, train_source(chat))
+
+    tokens = I.saved("tokens", spark, sf, tokenized, "split")
     return tokens.where("split = 'train'"), tokens.where("split <> 'train'")
 
 

@@ -108,13 +108,19 @@ def spread_scan(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
+def save_scratch(df: DataFrame, *partition_by: str) -> str:
+    """Write a table to a new folder of the shared scratch folder; the path."""
+    path = scratch_folder(df.sparkSession)
+    df.write.partitionBy(*partition_by).parquet(path)
+    return path
+
+
 def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write a table that several steps read to the shared scratch folder, and read it from there.
 
     This cuts the lineage: a lost executor costs a re-read, not a recomputation.
     """
-    path = scratch_folder(df.sparkSession)
-    df.write.partitionBy(*partition_by).parquet(path)
+    path = save_scratch(df, *partition_by)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
