@@ -3,7 +3,6 @@
 import hashlib
 
 import pytest
-from conftest import rows
 from pyspark.sql import functions as F
 
 from marginalia.operators import dedup as D
