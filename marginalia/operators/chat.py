@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import SPLITS
 from ..functions.chat import code_chat, commit_chat, extract_target, has_tag, mixed_chat, prompt_of, rest_of
 from ..functions.chat import until_end_tag
 from ..functions.profiles import Profile
@@ -35,12 +34,21 @@ def render_mixed(df: DataFrame, profile: Profile | str) -> DataFrame:
     return _text_only(with_fields(df, (*COMMIT_FIELDS, "code", "docstring")), mixed_chat(profile))
 
 
-def ensure_chat(df: DataFrame, gate: Column, profile: Profile | str, splits: Sequence[str] = SPLITS) -> DataFrame:
-    """Leave a table alone that has chat text already; otherwise gate each split (with fallback) and render."""
-    if "text" in df.columns:
+def ensure_chat(df: DataFrame, gate: Column, profile: Profile | str, splits: Sequence[str] | None = None) -> DataFrame:
+    """Leave the rows of a split that has chat text alone; gate (with fallback) and render those of the others.
+
+    A split has text if any of its rows has one; which those are is one row of aggregates. A table without splits that has
+    a text column is left alone as a whole.
+    """
+    fields = (*COMMIT_FIELDS, "code", "docstring")
+    if "text" not in df.columns:
+        return render_mixed(gate_or_all(with_fields(df, fields), gate, splits), profile)
+    if "split" not in df.columns:
         return df
-    df = with_fields(df, (*COMMIT_FIELDS, "code", "docstring"))
-    return render_mixed(gate_or_all(df, gate, splits), profile)
+    name = F.coalesce(F.col("split"), F.lit("\0"))
+    done = F.array_contains(df.agg(F.collect_set(F.when(F.col("text").isNotNull(), name)).alias("done")).scalar(), name)
+    rest = render_mixed(gate_or_all(with_fields(df.where(~done).drop("text"), fields), gate, splits), profile)
+    return _text_only(df.where(done), F.col("text")).unionByName(rest)
 
 
 def check_chat(df: DataFrame) -> DataFrame:

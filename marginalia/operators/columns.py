@@ -12,6 +12,7 @@ from ..functions.chat import code_chat
 from ..functions.profiles import Profile
 from ..functions.text import blank_if_null, clean, language_norm
 from .bounds import few_values
+from .ordering import with_rank
 
 KEYS = ("ord", "split")
 COMMIT_FIELDS = ("old_code", "old_contents", "new_code", "new_contents", "target", "subject", "message")
@@ -74,13 +75,21 @@ def label_names(df: DataFrame, col: str, at_most: int = 10_000) -> list[str]:
     return [v for (v,) in values]
 
 
+def label_table(df: DataFrame, col: str, out: str = "code") -> DataFrame:
+    """``col, out``: every distinct label and its 0-based rank, by a distributed rank of any number of labels."""
+    labels = df.select(col).where(F.col(col).isNotNull()).distinct()
+    return with_rank(labels, [F.asc(col)], "_rank").select(col, (F.col("_rank") - 1).cast("int").alias(out))
+
+
 def encode_label(df: DataFrame, col: str, names: Sequence[str] | None = None, out: str | None = None) -> DataFrame:
-    """Replace a label by its 0-based rank among the sorted distinct labels.
+    """Replace a label by its 0-based rank among the sorted distinct labels, or by its place in ``names``.
 
-    The names are a bounded list, so the code is an expression on it and the rows are not shuffled.
+    Without ``names`` the rows meet the table of labels in a join (null labels stay null).
     """
-    names = label_names(df, col) if names is None else list(names)
-    return df.withColumn(out or col, label_code(F.col(col), names))
+    if names is not None:
+        return df.withColumn(out or col, label_code(F.col(col), list(names)))
+    coded = df.join(label_table(df, col, "_code"), col, "left")
+    return coded.withColumn(out or col, F.col("_code")).drop("_code").select(*dict.fromkeys([*df.columns, out or col]))
 
 
 def label_code(value: Column, names: Sequence[str]) -> Column:

@@ -7,21 +7,19 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import SPLITS
 
-
-def gate_or_all(df: DataFrame, gate: Column, splits: Sequence[str] = SPLITS) -> DataFrame:
+def gate_or_all(df: DataFrame, gate: Column, splits: Sequence[str] | None = None) -> DataFrame:
     """Filter each split by ``gate``; a split of which nothing would be left is kept whole.
 
-    Which splits pass at all is one row of aggregates, read as a scalar subquery. The rows are not shuffled.
+    This holds for every split name (null too), or for those in ``splits`` alone. Which splits pass at all is one row of
+    aggregates, read as a scalar subquery. The rows are not shuffled.
     """
-    passing = df.agg(
-        F.array_compact(
-            F.array(*[F.when(F.bool_or((F.col("split") == s) & gate), F.lit(s)) for s in splits])
-        ).alias("passing")
-    ).scalar()
-    fallback = F.col("split").isin(list(splits)) & ~F.array_contains(passing, F.col("split"))
-    return df.where(gate | fallback)
+    name = F.coalesce(F.col("split"), F.lit("\0"))
+    passing = df.agg(F.collect_set(F.when(gate, name)).alias("passing")).scalar()
+    fallback = ~F.array_contains(passing, name)
+    if splits is not None:
+        fallback = fallback & F.coalesce(F.col("split").isin(list(splits)), F.lit(False))
+    return df.where(F.coalesce(gate, F.lit(False)) | fallback)
 
 
 def for_language(df: DataFrame, language: str, col: str = "language") -> DataFrame:

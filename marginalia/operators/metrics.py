@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,29 +23,29 @@ def valid_label(label: Column) -> Column:
     return label.isNotNull() & (label != IGNORE_LABEL)
 
 
-def loss_tables(train: DataFrame, vocab_size: int, alphas: Sequence[float] = (1.0,)) -> Column:
-    """Fit the add-alpha unigram model on the scored labels of ``train``, once for all ``alphas``.
+@dataclass(frozen=True)
+class UnigramFit:
+    """``label, n`` of the scored train labels, their total, and the number of ids there are."""
 
-    The result is a scalar subquery: per alpha an array with the loss -ln p of every id. ``vocab_size`` bounds it.
-    """
-    counts = (
-        train.select(F.explode("labels").alias("id"))
-        .where(valid_label(F.col("id")))
-        .groupBy("id")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    ids = train.sparkSession.range(vocab_size).select(F.col("id").cast("int").alias("id"))
-    dense = ids.join(counts, "id", "left").select(F.struct("id", F.coalesce("n", F.lit(0)).alias("n")).alias("e"))
-    fitted = dense.agg(
-        F.transform(F.sort_array(F.collect_list("e")), lambda e: e["n"]).alias("counts"), F.sum("e.n").alias("total")
-    )
+    counts: DataFrame
+    total: int
+    vocab_size: int
+
+    def loss(self, n: Column, alpha: float) -> Column:
+        """-ln p of a label that train has ``n`` times, with add-alpha smoothing."""
+        return -F.log((F.coalesce(n, F.lit(0)) + F.lit(float(alpha))) / F.lit(self.total + float(alpha) * self.vocab_size))
 
-    def table(alpha: float) -> Column:
-        return F.transform(
-            "counts", lambda n: -F.log((n + F.lit(alpha)) / (F.col("total") + F.lit(alpha * vocab_size)))
-        )
+    def checked(self, label: Column) -> Column:
+        """The label; an id that the vocabulary does not have is an error."""
+        outside = (label < 0) | (label >= self.vocab_size)
+        return F.when(outside, F.raise_error(F.format_string(f"label %d is not an id below {self.vocab_size}", label)).cast("int")).otherwise(label)
 
-    return fitted.select(F.array(*[table(float(a)) for a in alphas]).alias("tables")).scalar()
+
+def fit_unigram(train: DataFrame, vocab_size: int) -> UnigramFit:
+    """Count the scored labels of ``train`` (a table of any number of ids); only the total comes to the driver."""
+    labels = train.select(F.explode("labels").alias("label")).where(valid_label(F.col("label")))
+    counts = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return UnigramFit(counts, int(counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n), vocab_size)
 
 
 def shift_labels(df: DataFrame) -> DataFrame:
@@ -59,7 +60,7 @@ def unigram_losses(
 
     One row per model, row and position, masked positions included: a row without any scored label must still count.
     """
-    fitted = F.get(F.get(loss_tables(train, vocab_size, (alpha,)), F.lit(0)), F.col("label"))
+    fit = fit_unigram(train, vocab_size)
     tokens = shift_labels(evaluated).select(*keys, F.posexplode_outer("labels").alias("pos", "label"))
     scored = valid_label(F.col("label"))
     by_model = F.array(
@@ -67,7 +68,9 @@ def unigram_losses(
         F.struct(F.lit("uniform").alias("model"), F.lit(math.log(vocab_size)).alias("loss")),
     )
     return (
-        tokens.withColumn("_fitted", F.when(scored, fitted))
+        tokens.withColumn("label", F.when(scored, fit.checked(F.col("label"))).otherwise(F.col("label")))
+        .join(fit.counts, "label", "left")
+        .withColumn("_fitted", F.when(scored, fit.loss(F.col("n"), alpha)))
         .withColumn("_m", F.explode(by_model))
         .select(*keys, "pos", "label", "_m.model", F.when(scored, F.col("_m.loss")).otherwise(0.0).alias("loss"))
     )
@@ -90,21 +93,23 @@ def scored_labels() -> Column:
     return F.filter(F.slice("labels", F.lit(2), F.size("labels")), lambda x: x != IGNORE_LABEL)
 
 
-def score_rows(
-    evaluated: DataFrame, tables: Column, alphas: Sequence[float], keys: Sequence[str] = ROW_KEYS
-) -> DataFrame:
-    """The same row means straight from the label arrays: ``losses`` has one value per alpha.
+def score_rows(evaluated: DataFrame, fit: UnigramFit, alphas: Sequence[float], keys: Sequence[str] = ROW_KEYS) -> DataFrame:
+    """The same row means from the label arrays: ``losses`` has one value per alpha, one row per row of ``evaluated``.
 
-    Nothing is exploded or shuffled. ``tables`` comes from ``loss_tables``; the column that names it is read in one
-    place only, so that the optimizer folds it into the expression and no row carries it.
+    A row's labels are counted once, the counts meet the fit in one join for all alphas, and a row without any scored
+    label stays with losses of 0.
     """
-    named = evaluated.select(*keys, scored_labels().alias("_scored"), tables.alias("_tables"))
-    per_alpha = F.transform(
-        "_tables",
-        lambda t: F.aggregate("_scored", F.lit(0.0), lambda acc, x: acc + F.get(t, x))
-        / (F.size("_scored") + F.lit(LOSS_EPSILON)),
+    rows = evaluated.select(*keys, scored_labels().alias("_scored")).withColumn("_row", F.monotonically_increasing_id())
+    counted = rows.select("_row", *keys, F.explode_outer("_scored").alias("label")).groupBy("_row", *keys, "label").agg(F.count(F.lit(1)).alias("_m"))
+    met = counted.withColumn("label", fit.checked(F.col("label"))).join(fit.counts, "label", "left")
+    some = F.col("label").isNotNull()
+    tokens = F.coalesce(F.sum(F.when(some, F.col("_m"))), F.lit(0))
+    sums = [F.coalesce(F.sum(F.when(some, F.col("_m") * fit.loss(F.col("n"), a))), F.lit(0.0)) for a in alphas]
+    return (
+        met.groupBy("_row", *keys)
+        .agg(F.array(*[x / (tokens + F.lit(LOSS_EPSILON)) for x in sums]).alias("losses"), tokens.cast("int").alias("tokens"))
+        .drop("_row")
     )
-    return named.select(*keys, per_alpha.alias("losses"), F.size("_scored").alias("tokens"))
 
 
 def uniform_row_loss(vocab_size: int, tokens: Column) -> Column:
@@ -130,8 +135,8 @@ def ce_ppl(rows: DataFrame, by: Sequence[str] = (), weight: str = "row") -> Data
 
 
 def ce_by_language(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """All languages in one pass, largest first, then by cross-entropy."""
-    return ce_ppl(rows, [*by, "language"]).orderBy(F.desc("count"), "avg_ce")
+    """All languages in one pass, largest first, then by cross-entropy. Rows without a language are left out."""
+    return ce_ppl(rows.where(F.trim("language") != ""), [*by, "language"]).orderBy(F.desc("count"), "avg_ce")
 
 
 def ce_by_dataset(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -14,8 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..constants import SEED
-from ..session import group_limit_threshold
-from .bounds import SALTS, attach, spread
+from ..session import scratch_folder
+from .bounds import SALTS, attach, join_null_safe, spread
 
 BUCKET_BITS = 16
 HASH_DIGITS = 3
@@ -46,39 +46,38 @@ def carry_table(
 ) -> DataFrame:
     """Per (group, bucket): each measure over all rows of the group in earlier buckets (null if there are none).
 
-    A measure is an expression with ``"sum"`` or ``"max"``. A bucket holds 2**16 neighbouring order values and a
-    block 2**16 neighbouring buckets. The window runs over the buckets of one block, then over the blocks of one
-    group, so no task gets more than 65,536 bucket totals, whatever the size of the group.
+    A measure is an expression with ``"sum"`` or ``"max"``. Order values are read as digits of 16 bits: a bucket is what the
+    last digit leaves, a block what the last two leave, and so on. On each level a window runs over the places that share
+    all higher digits, so no task gets more than 65,536 totals, whatever the size of the group and the spread of its order
+    values. The bucket totals are written once.
     """
-    by = list(by)
-    bucket = F.shiftright(F.col(order), BUCKET_BITS)
+    by, names = list(by), list(measures)
     totals = (
-        df.withColumn("_bucket", bucket)
-        .groupBy(*by, "_bucket")
+        df.withColumn("_b1", F.shiftright(F.col(order), BUCKET_BITS))
+        .groupBy(*by, "_b1")
         .agg(*[_COMBINE[how](expr).alias(name) for name, (expr, how) in measures.items()])
-        .withColumn("_block", F.shiftright("_bucket", BUCKET_BITS))
-    )
-    in_block = _before([*by, "_block"], "_bucket")
-    inner = totals.select(
-        *by,
-        "_bucket",
-        "_block",
-        *[_COMBINE[how](name).over(in_block).alias(name) for name, (_, how) in measures.items()],
-    )
-    blocks = totals.groupBy(*by, "_block").agg(
-        *[_COMBINE[how](name).alias(name) for name, (_, how) in measures.items()]
-    )
-    across = _before(by, "_block")
-    outer = blocks.select(
-        *by,
-        "_block",
-        *[_COMBINE[how](name).over(across).alias(f"_outer_{name}") for name, (_, how) in measures.items()],
-    )
-    return inner.join(outer, [*by, "_block"]).select(
-        *by,
-        "_bucket",
-        *[_merge(how, F.col(name), F.col(f"_outer_{name}")).alias(name) for name, (_, how) in measures.items()],
     )
+    path = scratch_folder(df.sparkSession)
+    totals.write.parquet(path)
+    level = df.sparkSession.read.schema(totals.schema).parquet(path)
+    result = None
+    for n in (1, 2, 3):
+        here, above = f"_b{n}", f"_b{n + 1}"
+        level = level.withColumn(above, F.shiftright(here, BUCKET_BITS)) if n < 3 else level
+        window = _before([*by, above] if n < 3 else by, here)
+        sums = {name: _COMBINE[how](name).over(window) for name, (_, how) in measures.items()}
+        before = level.select(*by, here, *([above] if n < 3 else []), *[s.alias(f"_{n}_{name}") for name, s in sums.items()])
+        result = before if result is None else join_null_safe(result, before, [*by, here])
+        if n < 3:
+            level = level.groupBy(*by, above).agg(*[_COMBINE[how](name).alias(name) for name, (_, how) in measures.items()])
+    merged = []
+    for name in names:
+        how = measures[name][1]
+        value = F.col(f"_1_{name}")
+        for n in (2, 3):
+            value = _merge(how, value, F.col(f"_{n}_{name}"))
+        merged.append(value.alias(name))
+    return result.select(*by, F.col("_b1").alias("_bucket"), *merged)
 
 
 def with_position(df: DataFrame, order: str, by: Sequence[str] = (), name: str = "pos") -> DataFrame:
@@ -90,8 +89,7 @@ def with_position(df: DataFrame, order: str, by: Sequence[str] = (), name: str =
     carry = carry_table(df, by, order, {"_offset": (F.lit(1), "sum")})
     in_bucket = W.partitionBy(*by, "_bucket").orderBy(order)
     return (
-        df.withColumn("_bucket", F.shiftright(F.col(order), BUCKET_BITS))
-        .join(carry, [*by, "_bucket"])
+        join_null_safe(df.withColumn("_bucket", F.shiftright(F.col(order), BUCKET_BITS)), carry, [*by, "_bucket"])
         .withColumn(name, (F.row_number().over(in_bucket) + F.col("_offset")).cast("bigint"))
         .drop("_bucket", "_offset")
     )
@@ -106,12 +104,30 @@ def with_running_max(
     frame = (
         W.partitionBy(*by, "_bucket").orderBy(order).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
     )
-    out = df.withColumn("_bucket", F.shiftright(F.col(order), BUCKET_BITS)).join(carry, [*by, "_bucket"])
+    out = join_null_safe(df.withColumn("_bucket", F.shiftright(F.col(order), BUCKET_BITS)), carry, [*by, "_bucket"])
     for name, value in values.items():
         out = out.withColumn(name, F.greatest(F.max(value).over(frame), F.col(f"_carry_{name}")))
     return out.drop("_bucket", *[f"_carry_{n}" for n in values])
 
 
+# ---------------------------------------------------------------------------------------------------------
+# Rank over the whole table
+# ---------------------------------------------------------------------------------------------------------
+def with_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
+    """1-based rank of each row in the order of the whole table (the order must be total).
+
+    Rows are dealt to sampled ranges of the order and written, so the ranges stay what they are; each range is ranked by
+    itself and gets the number of rows before it. One row per range meets in one place.
+    """
+    path = scratch_folder(df.sparkSession)
+    df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    placed = df.sparkSession.read.parquet(path)
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
+    offsets = sizes.select("_part", F.coalesce(F.sum("_rows").over(_before([], "_part")), F.lit(0)).alias("_offset"))
+    rank = F.row_number().over(W.partitionBy("_part").orderBy(*order)) + F.col("_offset")
+    return placed.join(F.broadcast(offsets), "_part").withColumn(name, rank).drop("_part", "_offset")
+
+
 # ---------------------------------------------------------------------------------------------------------
 # Hash order
 # ---------------------------------------------------------------------------------------------------------
@@ -139,10 +155,9 @@ def with_shuffle_position(
     by = list(by)
     offsets = hash_offsets(df, by, row_key, seed, digits).drop("_rows")
     order = W.partitionBy(*by, "_prefix").orderBy("_key", row_key)
+    keyed = df.withColumn("_key", shuffle_key(row_key, seed)).withColumn("_prefix", F.left("_key", F.lit(digits)))
     return (
-        df.withColumn("_key", shuffle_key(row_key, seed))
-        .withColumn("_prefix", F.left("_key", F.lit(digits)))
-        .join(offsets, [*by, "_prefix"])
+        join_null_safe(keyed, offsets, [*by, "_prefix"])
         .withColumn(name, (F.row_number().over(order) + F.col("_offset")).cast("bigint"))
         .drop("_key", "_prefix", "_offset")
     )
@@ -192,13 +207,11 @@ def hash_cuts(
 def first_k(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], k: int, row_key: str) -> DataFrame:
     """The first ``k`` rows of each group.
 
-    Two row limits: per (group, salt), then per group. Each has a map-side part, so a task sends at most ``k`` rows
-    per group, a salted task gets 1/64 of that, and the last task at most 64 * k rows of a group.
+    Two row limits: per (group, salt), then per group. Up to spark.sql.optimizer.windowGroupLimitThreshold each has a
+    map-side part, so a task sends at most ``k`` rows per group; beyond it, a salted task ranks 1/64 of a group. The last
+    task gets at most 64 * k rows of a group.
     """
     by = list(by)
-    threshold = group_limit_threshold(df.sparkSession)
-    if k > threshold:
-        raise ValueError(f"k={k} is above spark.sql.optimizer.windowGroupLimitThreshold={threshold}")
     salted = W.partitionBy(*by, "_salt").orderBy(*order)
     final = W.partitionBy(*by).orderBy(*order)
     return (

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .metrics import loss_tables, perplexity, score_rows
+from .metrics import fit_unigram, perplexity, score_rows
 from .ordering import first_k, with_running_max
 
 METRICS = ("loss", "eval_loss", "learning_rate")
@@ -78,7 +78,7 @@ def sweep(train: DataFrame, evaluated: DataFrame, vocab_size: int, alphas: Seque
 
     Each row is scored for all values at once; only the few result rows are multiplied by the grid.
     """
-    scored = score_rows(evaluated, loss_tables(train, vocab_size, alphas), alphas, by)
+    scored = score_rows(evaluated, fit_unigram(train, vocab_size), alphas, by)
     means = scored.groupBy(*by).agg(
         F.count(F.lit(1)).alias("count"), *[F.avg(F.get("losses", F.lit(i))).alias(f"_a{i}") for i in range(len(alphas))]
     )

@@ -129,6 +129,23 @@ def tiny_slice(df: DataFrame, gate: Column, sizes: Mapping[str, int] = TINY_SLIC
     return sample_quota(df.where(gate), sizes, seed, order)
 
 
+def parts_of(total: int, names: Sequence[str], shares: Mapping[str, int] | None = None) -> dict[str, int]:
+    """How many of ``total`` rows each source gives: by percent, or evenly.
+
+    What rounding down leaves goes to the largest remainders (ties: in order), so the parts give the whole total. An even
+    mix of two is the exception of the mix recipe: half each, rounded down.
+    """
+    if shares is None and len(names) == 2:
+        return {name: total // 2 for name in names}
+    weights = {name: 1 for name in names} if shares is None else {name: shares[name] for name in names}
+    whole = len(names) if shares is None else 100
+    parts = {name: total * w // whole for name, w in weights.items()}
+    left = total * sum(weights.values()) // whole - sum(parts.values())
+    for name in sorted(names, key=lambda x: -(total * weights[x] % whole))[:left]:
+        parts[name] += 1
+    return parts
+
+
 def mix(
     sources: Mapping[str, DataFrame],
     totals: Mapping[str, int] = MIX_TOTALS,
@@ -138,12 +155,12 @@ def mix(
 ) -> DataFrame:
     """Mix of several sources by share (in percent), with a ``source`` column; an even mix by default.
 
-    Each source gives ``total * share div 100`` rows of a split, or all it has: a short source makes the mix smaller.
+    Each source gives its part of a split's total (see ``parts_of``), or all it has: a short source makes the mix smaller.
     ``shuffle_pos`` is the seeded random order of each split over all sources.
     """
-    shares = {name: 100 // len(sources) for name in sources} if shares is None else dict(shares)
+    quotas = {split: parts_of(total, list(sources), shares) for split, total in totals.items()}
     parts = [
-        sample_quota(df, {s: t * shares[name] // 100 for s, t in totals.items()}, seed, order).withColumn("source", F.lit(name))
+        sample_quota(df, {s: q[name] for s, q in quotas.items()}, seed, order).withColumn("source", F.lit(name))
         for name, df in sources.items()
     ]
     mixed = reduce(lambda a, b: a.unionByName(b), parts)

@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 from ..constants import EVAL_BATCH_SIZE, IGNORE_LABEL, MAX_TOKENS
 from ..functions.chat import has_tag, prompt_of
 from ..functions.text import Name, col
-from .ordering import with_position
+from .bounds import join_null_safe
+from .ordering import with_position, with_rank
 
 # Tags, the newline, words, and any other visible character by itself. A newline is always a token of its own, so the
 # tokens of a prompt (which ends with one) are a prefix of the tokens of the full text.
 TOKEN_PATTERN = r"<\|im_start\|>|<\|im_end\|>|\n|[\p{L}\p{N}_]+|[^ \t\r\f\x0b\n\p{L}\p{N}_]"
 PAD_ID, UNKNOWN_ID = 0, 1
 RESERVED = (("<pad>", PAD_ID), ("<unk>", UNKNOWN_ID))
-VOCABULARY_SIZE = 32_768
 
 
 def token_list(text: Name) -> Column:
@@ -34,63 +34,63 @@ def token_count(text: Name) -> Column:
 class TokenSource:
     """How text becomes ids: ``ids(text, max_len)`` gives at most ``max_len`` ids, ``count(text)`` their full number.
 
-    The default is ``vocabulary_source``. A caller with a tokenizer of their own passes Pandas UDFs here. ``lookup`` is
-    a value that ``ids`` reads as the column ``_lookup``.
+    For a caller with a tokenizer of their own (column functions or Pandas UDFs). ``VocabularySource`` is the default.
     """
 
     ids: Callable[[Column, int], Column]
     count: Callable[[Column], Column] = token_count
-    lookup: Column | None = None
 
 
-def build_vocab(df: DataFrame, max_size: int = VOCABULARY_SIZE, text: str = "text") -> DataFrame:
-    """``token, id, count`` for the most frequent tokens; ids follow count (descending), then token.
+@dataclass(frozen=True)
+class VocabularySource:
+    """Ids from a vocabulary table of any size (``token, id``); tokens it does not have get the unknown id."""
+
+    vocab: DataFrame
+    count: Callable[[Column], Column] = token_count
+
+    def encode(self, df: DataFrame, max_len: int, keys: Sequence[str]) -> DataFrame:
+        """Add ``input_ids``. ``keys`` name a row.
+
+        Texts are cut to ``max_len`` tokens before tokens become rows; those meet the vocabulary in an equi-join that
+        adaptive execution splits where a token is frequent, and the arrays are put together again by row and position.
+        """
+        placed = df.select(*keys, F.posexplode(F.slice(token_list("text"), 1, max_len)).alias("_pos", "token"))
+        found = placed.join(self.vocab.select("token", "id"), "token", "left")
+        entry = F.struct("_pos", F.coalesce("id", F.lit(UNKNOWN_ID)).alias("id"))
+        ids = found.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("_ids"))
+        joined = join_null_safe(df, ids, list(keys), "left")
+        made = F.transform(F.coalesce("_ids", F.array().cast("array<struct<_pos:int,id:int>>")), lambda x: x["id"])
+        return joined.withColumn("input_ids", F.when(F.col("text").isNotNull(), made)).drop("_ids")
 
-    Tokens are counted map-side first. The limit makes ``max_size`` a proved bound on the result.
+
+def build_vocab(df: DataFrame, text: str = "text") -> DataFrame:
+    """``token, id, count`` for every distinct token; ids follow count (descending), then token.
+
+    Tokens are counted map-side first; ids come from a distributed rank. Nothing is cut off.
     """
     counts = df.select(F.explode(token_list(text)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("count"))
-    top = counts.orderBy(F.desc("count"), "token").limit(max_size - len(RESERVED))
-    ranked = top.withColumn(
-        "id", (F.row_number().over(W.orderBy(F.desc("count"), "token")) + F.lit(len(RESERVED) - 1)).cast("int")
-    )
+    ranked = with_rank(counts, [F.desc("count"), F.asc("token")], "id")
+    made = ranked.select("token", (F.col("id") + F.lit(len(RESERVED) - 1)).cast("int").alias("id"), "count")
     reserved = df.sparkSession.createDataFrame([(t, i, 0) for t, i in RESERVED], "token string, id int, count bigint")
-    return ranked.select("token", "id", "count").unionByName(reserved)
+    return made.unionByName(reserved)
 
 
-def vocabulary_source(vocab: DataFrame, max_size: int = VOCABULARY_SIZE) -> TokenSource:
-    """Ids from a vocabulary table, looked up inside the row: no token is exploded, joined or shuffled.
+def vocabulary_source(vocab: DataFrame) -> VocabularySource:
+    return VocabularySource(vocab)
 
-    The vocabulary (``max_size`` bounds it) becomes one value, an array of small maps. A token hashes to one of them,
-    so a lookup reads about four entries whatever the size of the vocabulary.
-    """
-    slots = max(16, 1 << max(0, (max_size // 4 - 1).bit_length()))
-    slot = F.pmod(F.xxhash64("token"), F.lit(slots)).cast("int")
-    filled = vocab.groupBy(slot.alias("slot")).agg(F.sort_array(F.collect_list(F.struct("token", "id"))).alias("entries"))
-    empty = F.array().cast("array<struct<token:string,id:int>>")
-    dense = vocab.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot")).join(filled, "slot", "left")
-    table = dense.agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct("slot", F.coalesce("entries", empty).alias("entries")))),
-            lambda s: F.map_from_entries(s["entries"]),
-        ).alias("lookup")
-    ).scalar()
-
-    def token_id(token: Column) -> Column:
-        entries = F.get("_lookup", F.pmod(F.xxhash64(token), F.lit(slots)).cast("int"))
-        return F.coalesce(F.try_element_at(entries, token), F.lit(UNKNOWN_ID))
-
-    return TokenSource(lambda text, max_len: F.transform(F.slice(token_list(text), 1, max_len), token_id), lookup=table)
-
-
-def tokenize(df: DataFrame, source: TokenSource, max_len: int = MAX_TOKENS) -> DataFrame:
-    """Add ``input_ids``, cut to ``max_len``, and ``attention_mask``."""
-    # The lookup column is read in one place only, so that the optimizer folds it into the expression: no row carries it.
-    looked_up = df if source.lookup is None else df.withColumn("_lookup", source.lookup)
-    ids = looked_up.select(*df.columns, source.ids(F.col("text"), max_len).alias("input_ids"))
+
+def tokenize(
+    df: DataFrame, source: TokenSource | VocabularySource, max_len: int = MAX_TOKENS, keys: Sequence[str] = ("ord",)
+) -> DataFrame:
+    """Add ``input_ids``, cut to ``max_len``, and ``attention_mask``. ``keys`` name a row (for a vocabulary table)."""
+    if isinstance(source, VocabularySource):
+        ids = source.encode(df, max_len, keys)
+    else:
+        ids = df.withColumn("input_ids", source.ids(F.col("text"), max_len))
     return ids.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids")))
 
 
-def mask_prompt(df: DataFrame, source: TokenSource | None = None, no_tag: str = "error") -> DataFrame:
+def mask_prompt(df: DataFrame, source: TokenSource | VocabularySource | None = None, no_tag: str = "error") -> DataFrame:
     """Add ``labels``: the ids with everything up to and including the assistant tag set to -100.
 
     Text without a tag is an error, or is masked as a whole with ``no_tag="mask_all"``.
@@ -134,7 +134,7 @@ def pad_to(df: DataFrame, pad_id: int = PAD_ID) -> DataFrame:
     )
 
 
-def token_profile(df: DataFrame, by: Sequence[str] = ("split",), max_len: int = MAX_TOKENS, source: TokenSource | None = None) -> DataFrame:
+def token_profile(df: DataFrame, by: Sequence[str] = ("split",), max_len: int = MAX_TOKENS, source: TokenSource | VocabularySource | None = None) -> DataFrame:
     """Lengths of chat rows in tokens, the share cut at ``max_len`` and the share left without any label."""
     count = (source or TokenSource(lambda text, n: token_list(text))).count
     sized = df.select(*by, count(F.col("text")).alias("tokens"), F.coalesce(count(prompt_of("text")), F.lit(0)).alias("prompt"))

@@ -9,10 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..constants import EVAL_BATCH_SIZE, MAX_TOKENS
-from ..operators.metrics import loss_tables, score_rows, uniform_row_loss
+from ..operators.metrics import fit_unigram, score_rows, uniform_row_loss
 from ..operators.tokens import (
-    VOCABULARY_SIZE,
     TokenSource,
+    VocabularySource,
     assign_batches,
     build_vocab,
     mask_prompt,
@@ -25,21 +25,21 @@ EVAL_KEYS = ("dataset", "language", "split", "row_id")
 
 
 def token_table(
-    chat: DataFrame, source: TokenSource, keys: Sequence[str] = EVAL_KEYS, max_len: int = MAX_TOKENS, no_tag: str = "error"
+    chat: DataFrame, source: TokenSource | VocabularySource, keys: Sequence[str] = EVAL_KEYS, max_len: int = MAX_TOKENS, no_tag: str = "error"
 ) -> DataFrame:
-    """Chat rows as ``input_ids, attention_mask, labels``; the text is dropped. No shuffle."""
-    tokens = mask_prompt(tokenize(chat, source, max_len), source, no_tag)
+    """Chat rows as ``input_ids, attention_mask, labels``; the text is dropped. ``keys`` name a row."""
+    tokens = mask_prompt(tokenize(chat, source, max_len, keys), source, no_tag)
     return tokens.select(*keys, "input_ids", "attention_mask", "labels")
 
 
-def train_source(chat: DataFrame, max_size: int = VOCABULARY_SIZE) -> TokenSource:
+def train_source(chat: DataFrame) -> VocabularySource:
     """Token source with the vocabulary of the train split."""
-    return vocabulary_source(build_vocab(chat.where(F.col("split") == "train"), max_size), max_size)
+    return vocabulary_source(build_vocab(chat.where(F.col("split") == "train")))
 
 
 def padded_batches(
     chat: DataFrame,
-    source: TokenSource,
+    source: TokenSource | VocabularySource,
     by: Sequence[str] = ("split",),
     size: int = EVAL_BATCH_SIZE,
     order: str = "ord",
@@ -60,10 +60,10 @@ def padded_batches(
 
 
 def row_losses(
-    train: DataFrame, evaluated: DataFrame, vocab_size: int = VOCABULARY_SIZE, alpha: float = 1.0, keys: Sequence[str] = EVAL_KEYS
+    train: DataFrame, evaluated: DataFrame, vocab_size: int, alpha: float = 1.0, keys: Sequence[str] = EVAL_KEYS
 ) -> DataFrame:
-    """Row losses of the unigram model and of the uniform one. No shuffle of the evaluated rows."""
-    scored = score_rows(evaluated, loss_tables(train, vocab_size, (alpha,)), (alpha,), keys)
+    """Row losses of the unigram model and of the uniform one."""
+    scored = score_rows(evaluated, fit_unigram(train, vocab_size), (alpha,), keys)
     models = F.array(
         F.struct(F.lit("unigram").alias("model"), F.get("losses", F.lit(0)).alias("row_loss")),
         F.struct(F.lit("uniform").alias("model"), uniform_row_loss(vocab_size, F.col("tokens")).alias("row_loss")),

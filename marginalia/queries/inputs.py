@@ -49,7 +49,7 @@ def commit_rows(spark: SparkSession, sf: str) -> DataFrame:
         placed.withColumns({"g": F.expr("(p - 1) div 4"), "q": F.expr("(p - 1) % 4")})
         .groupBy("conv_id", "g")
         .agg(*[F.max(F.when(F.col("q") == i, F.col("text"))).alias(f) for i, f in enumerate(fields)])
-        .select((F.col("conv_id") * 100 + F.col("g")).alias("ord"), language.alias("language"), *fields)
+        .select((F.col("conv_id") * 1_000_000 + F.col("g")).alias("ord"), language.alias("language"), *fields)
     )
 
 

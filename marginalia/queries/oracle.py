@@ -24,7 +24,6 @@ SPACES = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\
 BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 TOKENS = r"<\|im_start\|>|<\|im_end\|>|\n|[\p{L}\p{N}_]+|[^ \t\r\f\x0b\n\p{L}\p{N}_]"
 TAG = "<|im_start|>assistant\n"
-VOCABULARY = 32768
 MATERIALIZED = ("chat_tokens", "vocab", "corpora_tokens", "corpora_vocab", "labels", "fit")
 
 
@@ -197,7 +196,7 @@ STEPS = {
         when 0 then split_part(text, chr(10), 1) || chr(10) || chr(10) || text
         when 1 then split_part(text, chr(10), 1) || chr(10) || ':param x: value'
         when 2 then split_part(text, chr(10), 1) else chr(10) || text end as docstring from documents""",
-    "commit_rows": """select conv_id*100 + g as ord, case cast(conv_id % 6 as int) when 0 then 'go' when 1 then 'java'
+    "commit_rows": """select conv_id*1000000 + g as ord, case cast(conv_id % 6 as int) when 0 then 'go' when 1 then 'java'
         when 2 then 'javascript' when 3 then 'php' when 4 then 'python' else 'ruby' end as language,
         max(case when q=0 then text end) as subject, max(case when q=1 then text end) as old_contents,
         max(case when q=2 then text end) as message, max(case when q=3 then text end) as new_contents
@@ -236,7 +235,7 @@ STEPS = {
     "chat_tokens": f"select *, regexp_extract_all(text, '{TOKENS}') as toks, {PROMPT} as prompt from chats",
     "vocab": f"""select token, cast(row_number() over (order by n desc, token) + 1 as int) as id, n as count from (
         select token, count(*) as n from (select unnest(toks) as token from chat_tokens where split = 'train')
-        group by token order by n desc, token limit {VOCABULARY - 2})""",
+        group by token order by n desc, token)""",
     "mixed_texts": """select ord, text from chats union all select -ord - 1, docstring from code_rows""",
     # Both corpora.
     "corpora": """select 'code' as dataset, language, split, ord as row_id, text from code_chat
@@ -244,15 +243,15 @@ STEPS = {
     "corpora_tokens": f"select *, regexp_extract_all(text, '{TOKENS}') as toks, {PROMPT} as prompt from corpora",
     "corpora_vocab": f"""select token, cast(row_number() over (order by n desc, token) + 1 as int) as id from (
         select token, count(*) as n from (select unnest(toks) as token from corpora_tokens where split = 'train')
-        group by token order by n desc, token limit {VOCABULARY - 2})""",
+        group by token order by n desc, token)""",
     # One row per position: the label at pos is scored by the loss at pos - 1 (0-based, position 0 has none).
     "labels": """select dataset, language, split, row_id, pos,
         case when pos < prompt then -100 else cast(coalesce(v.id, 1) as int) end as label from (
           select dataset, language, split, row_id, unnest(toks[1:1536]) as token,
             generate_subscripts(toks[1:1536], 1) - 1 as pos, prompt from corpora_tokens) t left join corpora_vocab v using (token)""",
     "fit": "select label, count(*) as n from labels where split = 'train' and label <> -100 group by label",
-    "losses": f"""select l.*, m.model, case when label = -100 then 0.0 when m.model = 'uniform' then ln({VOCABULARY}.0)
-        else -ln((coalesce(f.n, 0) + 1.0) / ((select sum(n) from fit) + 1.0 * {VOCABULARY})) end as loss
+    "losses": f"""select l.*, m.model, case when label = -100 then 0.0 when m.model = 'uniform' then ln((select count(*) + 2 from corpora_vocab)::double)
+        else -ln((coalesce(f.n, 0) + 1.0) / ((select sum(n) from fit) + 1.0 * (select count(*) + 2 from corpora_vocab))) end as loss
       from (select dataset, language, split, row_id, cast(pos - 1 as int) as pos, label from labels
             where pos > 0 and split <> 'train') l
       left join fit f using (label) cross join (select unnest(['unigram', 'uniform']) as model) m""",
@@ -312,10 +311,10 @@ BATCHED = "select ord, split, (row_number() over (partition by split order by or
 PAD = "{} || list_transform(range(m - len(ids)), lambda i: {})"
 
 
-def scores(by: str, extra: str = "") -> str:
+def scores(by: str, where: str = "true") -> str:
     return f"""select {by}, count(*) as count, round(avg(row_loss), 6) as avg_ce,
       round(case when avg(row_loss) < 20 then exp(avg(row_loss)) else 'infinity'::double end, 6) as perplexity
-      from row_losses group by {by} {extra}"""
+      from row_losses where {where} group by {by}"""
 
 
 QUERIES = {
@@ -339,7 +338,7 @@ QUERIES = {
     "c11_char_tests": f"""select ord, regexp_matches(s, '^\\p{{Lu}}') as upper, regexp_matches(s, '^\\p{{L}}') as alpha,
         {ends('s')} as sentence, (starts_with(s, 'The') or starts_with(s, 'In') or starts_with(s, 'La')) as prefix,
         cast(length(s) as int) as chars from (select ord, {summary(f'trim(docstring, {WS})')} as s from code_rows)""",
-    "c12_eq_ci": """select ord, lower(left(subject, 2)) = lower(left(message, 2)) as same, lower(subject) as lowered
+    "c12_eq_ci": """select ord, lower(subject) = lower(message) as same, lower(subject) as lowered
         from commit_rows""",
     "g1_good_summary": f"select ord, {G1} as ok from summaries",
     "g2_good_commit": f"""select ord, {sentence('target', 20, WEAK_COMMIT)} as ok from
@@ -442,21 +441,21 @@ QUERIES = {
         round(avg(case when tokens > 1536 then 1 else 0 end), 6) as share_truncated,
         round(avg(case when least(prompt, 1536) >= least(tokens, 1536) then 1 else 0 end), 6) as share_without_label
         from ({SIZED}) group by language, split""",
-    "e0_losses": """select dataset, language, split, row_id, pos, label, model, round(loss, 6) as loss from losses where split = 'test'""",
+    "e0_losses": """select dataset, language, split, row_id, pos, label, model, round(loss, 6) as loss from losses""",
     "e1_shift": """select dataset, row_id, array_to_string(list(label order by pos), ',') as labels from labels
         where pos > 0 and split <> 'train' group by dataset, row_id""",
     "e2_row_loss": "select model, dataset, language, split, row_id, round(row_loss, 6) as row_loss, tokens from row_losses",
     "e2_row_loss_arrays": """select dataset, language, split, row_id, cast(tokens as int) as tokens, model, round(row_loss, 6) as row_loss
         from row_losses""",
     "e3_ce_ppl": scores("model, split"),
-    "e4_language": scores("model, language"),
-    "e5_dataset": scores("model, dataset"),
+    "e4_language": scores("model, language", "split = 'test' and trim(language) <> ''"),
+    "e5_dataset": scores("model, dataset", "split = 'test'"),
     "e6_models": """select model, round(v, 6) as val_ce, round(exp(v), 6) as val_ppl, round(t, 6) as test_ce, round(exp(t), 6) as test_ppl
         from (select model, avg(row_loss) filter (where split = 'validation') as v, avg(row_loss) filter (where split = 'test') as t
               from row_losses group by model)""",
     "e7_compare": """select dataset, round(b, 6) as base_ce, round(t, 6) as tuned_ce, round(t - b, 6) as difference from (
         select dataset, avg(row_loss) filter (where model = 'uniform') as b, avg(row_loss) filter (where model = 'unigram') as t
-        from row_losses group by dataset)""",
+        from row_losses where split = 'test' group by dataset)""",
     "l1_curves": " union all ".join(curve(m, "filled") for m in ("loss", "eval_loss", "learning_rate")),
     "l2_metric": "select run, step, eval_loss as value from log_rows where eval_loss is not null",
     "l3_epochs": "select distinct run, filled as step from steps where epoch is not null and eval_loss is not null",
@@ -472,7 +471,7 @@ QUERIES = {
         cross join (select unnest([5e-5::double, 1e-4::double, 2e-4::double, 3e-4::double]) as learning_rate)""",
     "l7_sweep": f"""select split, alpha, count(*) as count, round(avg(row_loss), 6) as avg_ce, round(exp(avg(row_loss)), 6) as perplexity
         from (select split, alpha, row_id, dataset, sum(case when label = -100 then 0.0 else
-            -ln((coalesce(n, 0) + alpha) / ((select sum(n) from fit) + alpha * {VOCABULARY})) end)
+            -ln((coalesce(n, 0) + alpha) / ((select sum(n) from fit) + alpha * (select count(*) + 2 from corpora_vocab))) end)
             / (count(*) filter (where label <> -100) + 1e-9) as row_loss
           from (select * from labels where pos > 0 and split <> 'train') left join fit using (label)
           cross join (select unnest([0.1::double, 1.0::double, 10.0::double]) as alpha) group by split, alpha, row_id, dataset)

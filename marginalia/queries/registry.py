@@ -81,7 +81,7 @@ _code_text(
     head=lambda: T.preview_text("code", 800),
     cut=lambda: T.preview_text("code", 400, ellipsis=True),
 )
-_commit_text("c12_eq_ci", same=lambda: T.eq_ci(F.left("subject", F.lit(2)), F.left("message", F.lit(2))), lowered=lambda: F.lower("subject"))
+_commit_text("c12_eq_ci", same=lambda: T.eq_ci("subject", "message"), lowered=lambda: F.lower("subject"))
 
 
 @query("c3_fallback")
@@ -496,9 +496,6 @@ def _(spark, sf):
 
 
 # --- metrics ----------------------------------------------------------------------------------------------
-V = TK.VOCABULARY_SIZE
-
-
 def _corpora(spark: SparkSession, sf: str) -> DataFrame:
     """Chat rows of both corpora: ``dataset, language, split, row_id, text``."""
     code = code_chats(I.saved_code(spark, sf)).select(F.lit("code").alias("dataset"), "language", "split", F.col("ord").alias("row_id"), "text")
@@ -508,19 +505,31 @@ def _corpora(spark: SparkSession, sf: str) -> DataFrame:
     return code.unionByName(commits)
 
 
+def _corpora_vocab(spark: SparkSession, sf: str) -> DataFrame:
+    return I.saved("corpora_vocab", spark, sf, lambda: train_source(_corpora(spark, sf)).vocab)
+
+
+def _ids(spark: SparkSession, sf: str) -> int:
+    """How many ids the vocabulary of both corpora has."""
+    return _corpora_vocab(spark, sf).count()
+
+
 def _eval_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Token tables of the train split and of the other two."""
 
     def tokenized() -> DataFrame:
-        chat = _corpora(spark, sf)
-        return token_table(chat, train_source(chat))
+        return token_table(_corpora(spark, sf), TK.vocabulary_source(_corpora_vocab(spark, sf)))
 
     tokens = I.saved("tokens", spark, sf, tokenized, "split")
     return tokens.where("split = 'train'"), tokens.where("split <> 'train'")
 
 
 def _scores(spark: SparkSession, sf: str) -> DataFrame:
-    return row_losses(*_eval_tables(spark, sf))
+    return row_losses(*_eval_tables(spark, sf), _ids(spark, sf))
+
+
+def _test_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return _scores(spark, sf).where("split = 'test'")
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -530,7 +539,7 @@ def _rounded(df: DataFrame, *names: str) -> DataFrame:
 @query("e0_losses")
 def _(spark, sf):
     train, evaluated = _eval_tables(spark, sf)
-    return _rounded(E.unigram_losses(train, FL.for_language(evaluated, "test", "split"), V), "loss")
+    return _rounded(E.unigram_losses(train, evaluated, _ids(spark, sf)), "loss")
 
 
 @query("e1_shift")
@@ -542,7 +551,7 @@ def _(spark, sf):
 @query("e2_row_loss")
 def _(spark, sf):
     train, evaluated = _eval_tables(spark, sf)
-    return _rounded(E.row_loss(E.unigram_losses(train, evaluated, V)), "row_loss")
+    return _rounded(E.row_loss(E.unigram_losses(train, evaluated, _ids(spark, sf))), "row_loss")
 
 
 @query("e2_row_loss_arrays")
@@ -557,12 +566,12 @@ def _(spark, sf):
 
 @query("e4_language")
 def _(spark, sf):
-    return _rounded(E.ce_by_language(_scores(spark, sf), ["model"]), "avg_ce", "perplexity")
+    return _rounded(E.ce_by_language(_test_scores(spark, sf), ["model"]), "avg_ce", "perplexity")
 
 
 @query("e5_dataset")
 def _(spark, sf):
-    return _rounded(E.ce_by_dataset(_scores(spark, sf), ["model"]), "avg_ce", "perplexity")
+    return _rounded(E.ce_by_dataset(_test_scores(spark, sf), ["model"]), "avg_ce", "perplexity")
 
 
 @query("e6_models")
@@ -572,7 +581,7 @@ def _(spark, sf):
 
 @query("e7_compare")
 def _(spark, sf):
-    by_dataset = E.ce_by_dataset(_scores(spark, sf), ["model"])
+    by_dataset = E.ce_by_dataset(_test_scores(spark, sf), ["model"])
     base, tuned = (by_dataset.where(F.col("model") == m) for m in ("uniform", "unigram"))
     return _rounded(E.compare_runs(base, tuned), "base_ce", "tuned_ce", "difference")
 
@@ -613,7 +622,7 @@ def _(spark, sf):
 @query("l7_sweep")
 def _(spark, sf):
     train, evaluated = _eval_tables(spark, sf)
-    return _rounded(L.sweep(train, evaluated, V, SWEEP), "avg_ce", "perplexity")
+    return _rounded(L.sweep(train, evaluated, _ids(spark, sf), SWEEP), "avg_ce", "perplexity")
 
 
 def _run_metrics(spark: SparkSession, sf: str) -> DataFrame:

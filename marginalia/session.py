@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import posixpath
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -36,12 +35,9 @@ def group_limit_threshold(spark: SparkSession) -> int:
 def scratch_folder(spark: SparkSession) -> str:
     """A new folder name for a table that has to be written and read back.
 
-    It lies in the shared folder named by ``spark.checkpoint.dir``. Only a local session that names none gets a
-    temporary folder of this machine; on a cluster that would not be visible to the executors, so it is an error.
+    It lies in the shared folder named by ``spark.checkpoint.dir``; where that is unset, below the warehouse folder, which
+    a cluster shares too. Nothing is removed by itself: clear the ``marginalia-*`` folders when no job uses them.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is not set, and there is no shared folder to write to")
-        shared = tempfile.mkdtemp(prefix="marginalia-")
+    shared = shared or posixpath.join(spark.conf.get("spark.sql.warehouse.dir"), "scratch")
     return posixpath.join(shared, f"marginalia-{uuid.uuid4().hex}")

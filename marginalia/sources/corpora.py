@@ -27,10 +27,17 @@ def _read(spark: SparkSession, path: str | Sequence[str], fmt: str, schema: Stru
 
 
 def read_splits(
-    spark: SparkSession, paths: Mapping[str, str], fmt: str = "parquet", schema: StructType | str | None = None
+    spark: SparkSession,
+    paths: Mapping[str, str],
+    fmt: str = "parquet",
+    schema: StructType | str | None = None,
+    order: str | None = None,
 ) -> DataFrame:
-    """A corpus that arrives as named splits. The constant ``split`` removes whole inputs when it is filtered."""
-    return _tagged(spark, paths, "split", fmt, schema)
+    """A corpus that arrives as named splits. The constant ``split`` removes whole inputs when it is filtered.
+
+    ``order`` names a row number to add, unique over all inputs (see ``with_order``).
+    """
+    return _tagged(spark, paths, "split", fmt, schema, order)
 
 
 def read_tagged(
@@ -39,28 +46,38 @@ def read_tagged(
     tag_col: str = "language",
     fmt: str = "parquet",
     schema: StructType | str | None = None,
+    order: str | None = None,
 ) -> DataFrame:
-    """One table per tag (such as a language), combined; the tag replaces a column of that name."""
-    return _tagged(spark, paths, tag_col, fmt, schema)
+    """One table per tag (such as a language), combined; the tag replaces a column of that name.
+
+    ``order`` names a row number to add, unique over all inputs (see ``with_order``).
+    """
+    return _tagged(spark, paths, tag_col, fmt, schema, order)
 
 
-def _tagged(spark, paths, tag_col, fmt, schema) -> DataFrame:
-    result = None
+def _tagged(spark, paths, tag_col, fmt, schema, order) -> DataFrame:
+    result, files = None, 0
     for name, path in paths.items():
-        part = _read(spark, path, fmt, schema).withColumn(tag_col, F.lit(name))
+        part = _read(spark, path, fmt, schema)
+        if order:  # numbered before the union: the scan knows its files and row numbers
+            part, files = with_order(part, order, files), files + len(part.inputFiles())
+        part = part.withColumn(tag_col, F.lit(name))
         result = part if result is None else result.unionByName(part, allowMissingColumns=True)
     if result is None:
         raise ValueError("no inputs")
     return result
 
 
-def with_order(df: DataFrame, name: str = "ord") -> DataFrame:
+def with_order(df: DataFrame, name: str = "ord", first_file: int = 0) -> DataFrame:
     """Add a stable row number to a table read from Parquet: the number of its file, then the row in the file.
 
-    For tables without a natural key. Call it on the scan itself; the file list is known without reading data.
+    For tables without a natural key. Call it on the scan itself; the file list is known without reading data. Files are
+    numbered from ``first_file``; more than 2^23 files are an error.
     """
     files = sorted(df.inputFiles())
-    numbered = df.sparkSession.createDataFrame(list(enumerate(files)), "_file_no bigint, _file string")
+    if first_file + len(files) > 1 << (63 - FILE_BITS):
+        raise ValueError(f"row numbers have room for {1 << (63 - FILE_BITS)} files")
+    numbered = df.sparkSession.createDataFrame([(first_file + i, f) for i, f in enumerate(files)], "_file_no bigint, _file string")
     numbered = numbered.withColumn("_file", _plain_path("_file"))
     located = df.withColumns({"_file": _plain_path("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
     joined = attach(located, numbered, ["_file"], "_row", len(files), "left")
@@ -98,7 +115,9 @@ def read_corpus(spark: SparkSession, path: str, language: str | None = None) ->
     if language is None:
         return df
     if "lang_dir" in df.columns:
-        return df.where(F.col("lang_dir") == re.sub(UNSAFE_NAME, "_", language.lower()))
+        # two languages can share a folder (F# and F*), so the kept name decides
+        found = df.where(F.col("lang_dir") == re.sub(UNSAFE_NAME, "_", language.lower()))
+        return found.where(F.lower("language") == language.lower()) if "language" in df.columns else found
     return df.where(F.col("language") == language)
 
 

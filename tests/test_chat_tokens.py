@@ -71,12 +71,13 @@ def chat(spark):
 
 
 def test_vocabulary_and_ids(chat):
-    vocab = TK.build_vocab(chat, 8)
+    vocab = TK.build_vocab(chat.where("ord < 9"))
     table = {r["token"]: (r["id"], r["count"]) for r in vocab.collect()}
-    assert len(table) == 8 and table["<pad>"][0] == 0 and table["<unk>"][0] == 1
+    distinct = {t for (ts,) in rows(chat.where("ord < 9").select(TK.token_list("text"))) for t in ts}
+    assert set(table) == distinct | {"<pad>", "<unk>"} and table["<pad>"][0] == 0 and table["<unk>"][0] == 1
     ordered = sorted((t for t in table if t[0] != "<" or "im_" in t), key=lambda t: (-table[t][1], t))
-    assert [table[t][0] for t in ordered] == list(range(2, 8))
-    ids = {r["ord"]: r["input_ids"] for r in TK.tokenize(chat, TK.vocabulary_source(vocab, 8), 100).collect()}
+    assert [table[t][0] for t in ordered] == list(range(2, len(table)))
+    ids = {r["ord"]: r["input_ids"] for r in TK.tokenize(chat, TK.vocabulary_source(vocab), 100).collect()}
     tokens = {r["ord"]: r["t"] for r in chat.select("ord", TK.token_list("text").alias("t")).collect()}
     for o, ts in tokens.items():
         assert ids[o] == [table[t][0] if t in table else 1 for t in ts]

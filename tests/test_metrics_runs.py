@@ -2,6 +2,7 @@
 
 import math
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -31,8 +32,10 @@ def test_losses_by_rows_and_by_positions(spark):
         for k, v in expected.items():
             assert abs(got["unigram", k] - v) < 1e-9
         assert abs(got["uniform", 7] - math.log(size)) < 1e-6 and got["uniform", 8] == 0.0
-    plan = arrays._jdf.queryExecution().optimizedPlan().toString()
-    assert "_tables#" not in plan.split("Generate")[0]  # folded into the expression, not a column of the rows
+    outside = labels_table(spark, [(1, [2, 10])])
+    for scored in (row_losses(train, outside, size, alpha, KEYS), E.unigram_losses(train, outside, size, alpha, KEYS)):
+        with pytest.raises(Exception, match="label 10 is not an id"):
+            scored.collect()
     swept = {(r["alpha"]): r["avg_ce"] for r in L.sweep(train, evaluated.withColumn("split", F.lit("test")), size, [0.5, 2.0]).collect()}
     assert abs(swept[0.5] - sum(expected.values()) / 4) < 1e-9 and len(swept) == 2
 

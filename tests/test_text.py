@@ -25,21 +25,23 @@ def test_strip_and_collapse_follow_python(spark):
     assert got == [(v.strip(), re.sub(r"\s+", " ", v).strip()) for v in values]
 
 
-def expected_summary(doc):
-    taken = []
-    for line in (doc or "").splitlines():
-        if not line.strip() or line.strip().startswith(":"):
-            break
-        taken.append(line.strip())
-    return " ".join(taken) or None
-
-
 def test_summary(spark):
-    docs = [
-        "One.\n  Two.\n\nThree.", "\nlate", "Text.\n:param x: y", ":param x: y", "a\r\nb\r\rc", "", None, "end\n",
-        "a b\u0085c\x0bd\x0ce\x1cf", "   indented  ", "x\n \t \ny", " :x", "a\n\x1f\nb",
-    ]
-    assert [r[0] for r in evaluate(spark, docs, T.summary("s"))] == [expected_summary(d) for d in docs]
+    expected = {
+        "One.\n  Two.\n\nThree.": "One. Two.",
+        "\nlate": None,
+        "Text.\n:param x: y": "Text.",
+        ":param x: y": None,
+        "a\r\nb\r\rc": "a b",
+        "": None,
+        None: None,
+        "end\n": "end",
+        "a b\u0085c\x0bd\x0ce\x1cf": "a b c d e f",
+        "   indented  ": "indented",
+        "x\n \t \ny": "x",
+        " :x": None,
+        "a\n\x1f\nb": "a",
+    }
+    assert [r[0] for r in evaluate(spark, list(expected), T.summary("s"))] == list(expected.values())
     assert evaluate(spark, ["\n\n  A b.\nC\n\nD"], T.summary("s", skip_leading_blank=True)) == [("A b. C",)]
 
 
@@ -73,18 +75,25 @@ def test_target_chain_and_blank_explicit_target(spark):
 
 
 def test_hashes_names_lines_previews(spark):
-    values = [" code\n", "", None, "a\nb\n", "x" * 401, "C++", "Objective C", "java/script", "__"]
+    long = "x" * 401
+    expected = {
+        " code\n": ("c13367945d5d4c91047b3b50234aa7ab", 2, "_code_", " code\n"),
+        "": ("d41d8cd98f00b204e9800998ecf8427e", 1, "", ""),
+        None: ("d41d8cd98f00b204e9800998ecf8427e", None, None, None),
+        "a\nb\n": (None, 3, "a_b_", "a\nb\n"),
+        long: (None, 1, long, "x" * 400 + "..."),
+        "C++": (None, 1, "c++", "C++"),
+        "Objective C": (None, 1, "objective_c", "Objective C"),
+        "java/script": (None, 1, "java_script", "java/script"),
+        "__": (None, 1, "__", "__"),
+    }
     got = evaluate(
-        spark, values, T.content_hash("s"), T.line_count("s"), T.safe_name("s"), T.preview_text("s", 400, ellipsis=True)
+        spark, list(expected), T.content_hash("s"), T.line_count("s"), T.safe_name("s"), T.preview_text("s", 400, ellipsis=True)
     )
-    for v, (h, n, name, cut) in zip(values, got):
-        assert h == hashlib.md5((v or "").strip().encode()).hexdigest()
-        assert n == (None if v is None else v.count("\n") + 1)
-        assert name == (None if v is None else re.sub(r"[^a-zA-Z0-9_+-]+", "_", v.lower()))
-        assert cut == (None if v is None else v[:400] + ("..." if len(v) > 400 else ""))
+    for (h, *others), (want, *rest) in zip(got, expected.values()):
+        assert others == rest and (want is None or h == want)
     df = spark.createDataFrame([(" a ", None)], "b string, a string")
-    expected = hashlib.md5("a\n<SEP>\n".encode()).hexdigest()
-    assert rows(df.select(T.change_hash("b", "a"))) == [(expected,)]
+    assert rows(df.select(T.change_hash("b", "a"))) == [(hashlib.md5(b"a\n<SEP>\n").hexdigest(),)]
 
 
 def test_picks_language_and_formats(spark):
