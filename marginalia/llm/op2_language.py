@@ -31,7 +31,7 @@ def grams(data: np.ndarray, starts: np.ndarray, order: int) -> tuple[np.ndarray,
     lengths = np.diff(starts) - 1
     wide, codes = data.astype(np.uint64), np.zeros(len(data), np.uint64)
     for k in range(order + 1):
-        codes[k:] |= wide[: len(wide) - k] << np.uint64(8 * k)
+        codes[k:] |= wide[: max(0, len(wide) - k)] << np.uint64(8 * k)
     for j in range(order):
         at = starts[:-1][lengths > j] + j
         fixed = np.zeros(len(at), np.uint64)
@@ -77,7 +77,7 @@ class ContextTree:
             cost[open_[can]] -= np.log2(share[can] / room[can])
             if k:
                 gone[open_] = np.where(seen, level["excluded"][context] if len(level["contexts"]) else 0, 0)
-            known[open_] = np.where(seen, distinct, known[open_] * 0)
+            known[open_] = np.where(seen, distinct, 0)
             open_ = open_[~hit]
         cost[open_] += np.log2(256 - known[open_])
         return cost
