@@ -23,7 +23,6 @@ PERMUTATIONS = 64
 ROWS = 4
 BANDS = 2 * PERMUTATIONS // ROWS
 PERCENT = 75
-PIVOT_ROUNDS = 3
 
 
 def min_max_bands(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -100,14 +99,73 @@ def similar_size(a: str, b: str):
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
+def pivot_rounds(slots: DataFrame, sets: DataFrame, links: DataFrame | None, labels: DataFrame | None) -> tuple:
+    """Compare members (``rep, n, key, place``) with pivots of their buckets; the links, labels and slots still open.
+
+    The pivot of a bucket is first the member that shares the most buckets with others (the original of a group of edited
+    copies stands out), then the smallest set, then one by lot. Confirmed links are contracted to components; a bucket
+    whose members are all in one component is done.
+    """
+    sizes = slots.groupBy("key").agg(F.count("*").alias("m"))
+    central = slots.join(sizes, "key").groupBy("rep").agg(F.sum("m").alias("shared"))
+    slots = written(slots.join(central, "rep"))
+    lots = [F.struct(-F.col("shared"), "rep"), F.struct("n", "rep"), F.struct(F.xxhash64(F.lit("lot"), "rep"), "rep")]
+    for lot in [*lots, None]:
+        slots = slots.drop("label")
+        if labels is None:
+            slots = slots.withColumn("label", F.col("rep"))
+        else:
+            slots = slots.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+            open_ = slots.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+            slots = written(slots.join(open_, "key"))
+        if lot is None or slots.isEmpty():
+            break
+        chosen = F.min_by(F.struct(F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("label").alias("pl")), lot)
+        pivots = slots.groupBy("key").agg(chosen.alias("pivot")).select("key", "pivot.*")
+        met = slots.join(pivots, "key").where((F.col("label") != F.col("pl")) & similar_size("n", "pn"))
+        found = written(confirmed(met.select(*ordered("rep", "p")).distinct(), sets))
+        links = found if links is None else links.union(found)
+        labels = components(links)
+    return links, labels, slots
+
+
+def prefix_slots(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """Buckets by prefix shingle for the members of open band buckets.
+
+    With shingles in one order, rarest first, two sets of similarity t share a shingle among the first
+    n - ceil(t n) + 1 of each: no link is lost, and what many texts have in common is left out of most prefixes.
+    """
+    open_sets = written(sets.join(rest.select("rep").distinct(), "rep"))
+    each = open_sets.select("rep", F.explode("shingles").alias("key"))
+    common = each.groupBy("key").agg(F.count("*").alias("m"))
+    in_order = each.join(common, "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("m", "key"))).alias("keys"))
+    n = F.size("keys")
+    prefix = F.slice("keys", F.lit(1), (n - F.ceil(PERCENT * n / 100) + 1).cast("int"))
+    slots = in_order.select("rep", n.cast("bigint").alias("n"), F.posexplode(prefix).alias("place", "k"))
+    return written(slots.where("k.m > 1").select("rep", "n", F.col("k.key").alias("key"), (F.col("place") + 1).alias("place")))
+
+
+def pairs_across(slots: DataFrame) -> DataFrame:
+    """All pairs across components of a prefix bucket that can still be similar enough.
+
+    At the first shingle two sets share, at the places i and j, they have 1 + min(n - i, m - j) in common at most.
+    """
+    other = slots.select("key", F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("label").alias("pl"), F.col("place").alias("pp"))
+    most = 1 + F.least(F.col("n") - F.col("place"), F.col("pn") - F.col("pp"))
+    reach = (100 + PERCENT) * most >= PERCENT * (F.col("n") + F.col("pn"))
+    met = slots.join(other, "key").where((F.col("label") < F.col("pl")) & similar_size("n", "pn") & reach)
+    return met.select(*ordered("rep", "p")).distinct()
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``: one row per row of ``docs``.
 
     Texts with equal shingle sets are one class, so a group of copies of any size costs one representative (partial
     aggregates on the set's hash). Representatives meet in band buckets. No bucket is expanded into all of its pairs:
-    in each of three rounds every member is compared with one pivot of its bucket, confirmed links are contracted to
-    components, and buckets that lie within one component are done. What is left - buckets with members of several
-    components - gets all its pairs across components compared, so no link between different texts of a bucket is lost.
+    in up to three rounds every member is compared with one pivot of its bucket, confirmed links are contracted to
+    components, and buckets that lie within one component are done. Members of buckets with several components meet again
+    by the rare shingles they share (an exact filter), in pivot rounds and then in those pairs across components that
+    their sizes and places allow, so no link between different texts of a bucket is lost.
 
     A null or wordless text has no shingles, is linked with nothing and is kept. A null doc_id belongs to a component like
     any other row but never names it; without a row that has an id, its component is null and it is kept. Rows that repeat
@@ -125,7 +183,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     )
     slots = written(
         classes.select("rep", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "key")).select(
-            "rep", "n", F.xxhash64("band", "key").alias("key")
+            "rep", "n", F.xxhash64("band", "key").alias("key"), F.lit(0).alias("place")
         )
     )
     crowded = slots.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
@@ -137,30 +195,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         .groupBy("rep")
         .agg(F.any_value("shingles").alias("shingles"))
     )
-    links, labels = None, None
-    for turn in range(PIVOT_ROUNDS + 1):
-        if labels is None:
-            placed = slots.withColumn("label", F.col("rep"))
-        else:
-            placed = slots.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-            open_ = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-            placed = written(placed.join(open_, "key"))
-            slots = placed.select("rep", "n", "key")
-            if slots.isEmpty():
-                break
-        if turn < PIVOT_ROUNDS:
-            lot = F.struct(F.xxhash64(F.lit(turn), "rep"), F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("label").alias("pl"))
-            pivots = placed.groupBy("key").agg(F.min(lot).alias("pivot")).select("key", "pivot.p", "pivot.pn", "pivot.pl")
-            met = placed.join(pivots, "key").where((F.col("label") != F.col("pl")) & similar_size("n", "pn"))
-            pairs = met.select(*ordered("rep", "p")).distinct()
-        else:
-            other = placed.select("key", F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("label").alias("pl"))
-            met = placed.join(other, "key").where((F.col("label") < F.col("pl")) & similar_size("n", "pn"))
-            pairs = met.select(*ordered("rep", "p")).distinct()
-        found = written(confirmed(pairs, sets))
-        links = found if links is None else links.union(found)
-        labels = components(links)
-    grouped = classes.select(*key, F.col("rep").alias("node")).join(labels, "node", "left").select(*key, F.coalesce("label", "node").alias("label"))
+    links, labels, rest = pivot_rounds(slots, sets, None, None)
+    if not rest.isEmpty():
+        links, labels, rest = pivot_rounds(prefix_slots(rest, sets), sets, links, labels)
+        if not rest.isEmpty():
+            found = confirmed(pairs_across(rest), sets)
+            labels = components(links.union(written(found)))
+    nodes = classes.select(*key, F.col("rep").alias("node"))
+    labels = nodes.select("node", F.col("node").alias("label")).where("false") if labels is None else labels
+    grouped = nodes.join(labels, "node", "left").select(*key, F.coalesce("label", "node").alias("label"))
     # Empty sets and classes without an id are not in `grouped`; such rows stand alone.
     named_rows = rows.select("doc_id", *key).join(grouped, key, "left")
     component = F.coalesce("label", "doc_id")
