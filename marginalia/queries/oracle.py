@@ -505,7 +505,32 @@ QUERIES = {
 }
 
 
-QUERIES["t5_padded_batches"] = QUERIES["t5_pad"]
+SOME_NULL = "(select * replace (nullif(language, 'de') as language) from code_rows)"
+# An even mix of three: what rounding down leaves goes to the first sources.
+THIRDS = {"en": {"train": 34, "validation": 4, "test": 7}, "de": {"train": 33, "validation": 3, "test": 7}, "fr": {"train": 33, "validation": 3, "test": 6}}
+
+
+def third(name: str) -> str:
+    rows = f"(select * from code_split where language = '{name}')"
+    return f"select ord, language, split, '{name}' as source from ({quota_sample(rows, THIRDS[name])})"
+
+
+QUERIES |= {
+    "t5_padded_batches": QUERIES["t5_pad"],
+    "d2_sample_k_null": f"""select ord, language, code from (select *, row_number() over
+        (partition by language order by md5('42:' || ord), ord) as rn from {SOME_NULL}) where rn <= 50""",
+    "d4_stratified_null": f"select ord, language, split from ({split_of(SOME_NULL)})",
+    "d10_mix_three_sources": f"""select *, row_number() over
+        (partition by split order by md5('42:' || source || ':' || ord), source || ':' || ord) as shuffle_pos
+        from ({" union all ".join(third(name) for name in THIRDS)})""",
+    "t4_batches_null": f"""select ord, language, (row_number() over (partition by language order by ord) - 1) // 2 as batch_id
+        from {SOME_NULL}""",
+    "l4_last_large": QUERIES["l4_last"].replace("rn <= 10", "rn <= 20000"),
+    # One file a table: the row number is the row's place in it, and the second table's file is number 1.
+    "s2_file_order": "select row_number() over () - 1 as ord, doc_id from documents",
+    "s2_order": f"""select row_number() over () - 1 as ord, 'documents' as origin, doc_id, null as item_id from documents
+        union all select row_number() over () - 1 + {1 << 40}, 'benchmark', null, item_id from benchmark""",
+}
 
 
 def oracle_queries() -> dict[str, str]:

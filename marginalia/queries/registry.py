@@ -242,6 +242,16 @@ def _(spark, sf):
     return SA.sample_k(rows, 50, by=["language"], groups=I.language_bound(spark, sf)).select("ord", "language", "code")
 
 
+def _some_null(df: DataFrame) -> DataFrame:
+    """The rows with one language made null."""
+    return df.withColumn("language", F.nullif(F.col("language"), F.lit("de")))
+
+
+@query("d2_sample_k_null")
+def _(spark, sf):
+    return SA.sample_k(_some_null(I.code_rows(spark, sf)), 50, by=["language"]).select("ord", "language", "code")
+
+
 @query("d3_compact_code")
 def _(spark, sf):
     rows = D.compact(I.saved_code(spark, sf), "code", languages=I.language_bound(spark, sf))
@@ -270,6 +280,11 @@ def _(spark, sf):
     return I.commit_split(spark, sf).select("ord", "language", "split")
 
 
+@query("d4_stratified_null")
+def _(spark, sf):
+    return SA.stratified_split(_some_null(I.code_rows(spark, sf)), "language").select("ord", "language", "split")
+
+
 @query("d5_split_sizes")
 def _(spark, sf):
     return I.code_split(spark, sf).groupBy("language", "split").agg(F.count(F.lit(1)).alias("count"))
@@ -310,6 +325,12 @@ def _(spark, sf):
     return blend(I.saved_code(spark, sf), I.saved_commits(spark, sf), SMALL_QUOTAS, {"code": 70, "commit": 30})
 
 
+@query("d10_mix_three_sources")
+def _(spark, sf):
+    rows = I.saved_code(spark, sf).select("ord", "language", "split")
+    return SA.mix({name: FL.for_language(rows, name) for name in ("en", "de", "fr")}, SMALL_QUOTAS)
+
+
 # --- sets and counts --------------------------------------------------------------------------------------
 @query("u1_concat")
 def _(spark, sf):
@@ -470,6 +491,11 @@ def _joined_batches(padded: DataFrame) -> DataFrame:
     return padded.select("ord", "split", "batch_id", *[joined(c).alias(c) for c in ("input_ids", "attention_mask", "labels")])
 
 
+@query("t4_batches_null")
+def _(spark, sf):
+    return TK.assign_batches(_some_null(I.code_rows(spark, sf)).select("ord", "language"), by=["language"])
+
+
 @query("t5_pad")
 def _(spark, sf):
     batched = TK.assign_batches(_tokens(spark, sf), by=["split"])
@@ -607,6 +633,11 @@ def _(spark, sf):
     return L.last_logged(I.log_rows(spark, sf), 10)
 
 
+@query("l4_last_large")
+def _(spark, sf):
+    return L.last_logged(I.log_rows(spark, sf), 20_000)
+
+
 @query("l5_overlay")
 def _(spark, sf):
     log = I.log_rows(spark, sf)
@@ -698,6 +729,12 @@ def _(spark, sf):
     return S.with_order(I.table(spark, sf, "documents")).select("ord", "doc_id")
 
 
+@query("s2_order")
+def _(spark, sf):
+    tables = S.read_tagged(spark, {t: f"{sf}/{t}.parquet" for t in ("documents", "benchmark")}, "origin", order="ord")
+    return tables.select("ord", "origin", "doc_id", "item_id")
+
+
 def _saved(spark: SparkSession, sf: str) -> str:
     path = scratch_folder(spark)
     S.write_by_language(I.code_split(spark, sf), path)
