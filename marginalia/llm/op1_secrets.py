@@ -270,11 +270,28 @@ def training_windows(batches):
             yield pa.RecordBatch.from_arrays([pa.array(f, pa.list_(pa.int32())), pa.array(t, pa.list_(pa.int32()))], ["f", "t"])
 
 
+def varied(f: np.ndarray, t: np.ndarray, seed: int) -> np.ndarray:
+    """A copy of a window's features in which its secrets have another make-up and length and its keywords other names.
+
+    The patterns know few keywords and shapes; the copies keep the field from learning those by heart.
+    """
+    rng, f = np.random.default_rng(seed), f.copy()
+    for at in np.flatnonzero(t):
+        make, length = int(rng.integers(5, 9)), int(rng.integers(4, 11))
+        if f[at, 9] < 11:  # not a mark inside of the secret
+            f[at, 0], f[at, 9], f[at, 10] = make * 11 + length, make, length
+            f[at, 1] = int(rng.integers(1, 4)) * 8 + int(rng.integers(3, 8))
+    names = f[:, 2:8]
+    named_ = (names >= 130) & (names < 130 + len(KEYWORDS))
+    names[named_] = 130 + (names[named_] - 130 + int(rng.integers(1, len(KEYWORDS)))) % len(KEYWORDS)
+    return f
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE_TEXTS, doc_id: str = "doc_id", text: str = "text") -> Field:
     """Learn from at most ``sample`` texts that may hold a secret and as many others (lowest id hash first).
 
     The patterns' finds are the tags. The driver gets windows of feature numbers of those texts and trains on at most
-    3,000, those with a secret first. Without any text nothing is learned and nothing is ever tagged.
+    3,000, those with a secret first, and on varied copies of those. Without any text nothing is learned and nothing is ever tagged.
     """
     rows = named(docs, doc_id=doc_id, text=text).where("doc_id is not null and text is not null")
     hint = F.col("text").rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}")
@@ -284,6 +301,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE_TEXTS, doc_id: str = "doc_id", tex
     field = Field()
     if len(found):
         windows = sorted(((np.array(t), np.array(f)) for t, f in zip(found["t"], found["f"])), key=lambda w: (not w[0].any(), int(np.dot(w[1] % 1009, np.arange(len(w[1])) % 997) % 10007), w[1].tobytes()))[:SAMPLE_WINDOWS]
+        made = [(t, varied(f.reshape(-1, Tokens.GROUPS), t, i).reshape(-1)) for i, (t, f) in enumerate(windows) if t.any()]
+        windows = (windows + made)[: 2 * SAMPLE_WINDOWS]
         tags = np.full((len(windows), WINDOW), -1)
         features = np.zeros((len(windows), WINDOW, Tokens.GROUPS), np.int64)
         for i, (t, f) in enumerate(windows):
