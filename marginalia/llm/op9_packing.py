@@ -9,7 +9,9 @@ Pieces then find their window from their rank among the pieces of their length.
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +26,8 @@ from .shared import Shipped, mix, named, run_hashes, slices, written
 WINDOW = 2048
 END_ID = 1
 SUBS = 256
-CACHE_UNITS = 400_000
+CACHE_UNITS = 200_000
+TOGETHER = 1_000
 
 # --- fixed values: what the tokenizer's own pre-splitting does with these characters --------------------------------
 # letters: a-z, A-Z and the composed Latin-1 letters; each digit alone; runs of other printable ASCII characters.
@@ -53,6 +56,8 @@ class Units:
     """
 
     def __init__(self, tokenizer_path: str):
+        # Spark runs a task per core already; more threads would only hold more memory
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
@@ -71,12 +76,16 @@ class Units:
         known = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
         missing = np.flatnonzero(~known)
         if len(missing):
-            found = [x.ids for x in self.tokenizer.encode_batch(text_of(missing), add_special_tokens=False)]
-            sizes = np.array([len(x) for x in found], np.int64)
-            total = int(sizes.sum())
+            ids, sizes = array("I"), []
+            for at in range(0, len(missing), TOGETHER):  # the tokenizer's results are large: a few at a time
+                for x in self.tokenizer.encode_batch_fast(text_of(missing[at : at + TOGETHER]), add_special_tokens=False):
+                    some = x.ids
+                    ids.extend(some)
+                    sizes.append(len(some))
+            sizes, total = np.array(sizes, np.int64), len(ids)
             while self.used + total > len(self.pool):
                 self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
-            self.pool[self.used : self.used + total] = np.fromiter((i for x in found for i in x), np.uint32, total)
+            self.pool[self.used : self.used + total] = np.frombuffer(ids, np.uint32)
             rows = np.arange(len(self.begin), len(self.begin) + len(missing))
             self.begin = np.concatenate([self.begin, self.used + np.cumsum(sizes) - sizes])
             self.size = np.concatenate([self.size, sizes])
