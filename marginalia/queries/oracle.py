@@ -515,7 +515,20 @@ def third(name: str) -> str:
     return f"select ord, language, split, '{name}' as source from ({quota_sample(rows, THIRDS[name])})"
 
 
+COMPACT_CODE = compacted("cleaned_code", G3, CODE_HASH, QUOTAS)
+COMPACT_COMMITS = compacted(
+    "cleaned_commit", f"{lines('old_code')} + {lines('new_code')} between 3 and 350", PAIR_HASH.format("old_code", "new_code"), QUOTAS
+)
+MIX_CODE = f"(select ord, split, {CODE_CHATS['mix_code']} as text from ({COMPACT_CODE}) where {G5} and language = 'en')"
+MIX_COMMITS = f"""(select ord, split, {COMMIT_CHATS['mix_commit']} as text from
+    (select *, null as old_contents, null as new_contents from ({COMPACT_COMMITS})) where {G6} and language = 'python')"""
+HALVES = {"train": 1050, "validation": 150, "test": 300}
+MIXED_PATH = f"""select *, row_number() over (partition by split order by md5('42:' || source || ':' || ord), source || ':' || ord) as shuffle_pos
+    from (select *, 'code' as source from ({quota_sample(MIX_CODE, HALVES)})
+          union all select *, 'commit' from ({quota_sample(MIX_COMMITS, HALVES)}))"""
 QUERIES |= {
+    "pipeline_mix_counts": f"select source, split, count(*) as count from ({MIXED_PATH}) group by source, split",
+    "pipeline_mix_rows": f"select ord, source, split, text, shuffle_pos from ({MIXED_PATH})",
     "t5_padded_batches": QUERIES["t5_pad"],
     "d2_sample_k_null": f"""select ord, language, code from (select *, row_number() over
         (partition by language order by md5('42:' || ord), ord) as rn from {SOME_NULL}) where rn <= 50""",

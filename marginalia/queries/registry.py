@@ -397,6 +397,27 @@ def _(spark, sf):
     return A.corpus_matrix(compact_commits(cleaned))
 
 
+def _mixed_path(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole path: clean and compact both corpora, one language of each, mix, write, read back."""
+    code = S.materialize(clean_code(I.raw_code(I.code_split(spark, sf))), "split")
+    commits = S.materialize(clean_commits(I.commit_split(spark, sf)), "split")
+    code = FL.for_language(compact_code(code, languages=I.language_bound(spark, sf)), "en")
+    commits = FL.for_language(compact_commits(commits), "python")
+    path = scratch_folder(spark)
+    S.write_corpus(blend(code, commits), path)
+    return S.read_corpus(spark, path)
+
+
+@query("pipeline_mix_counts")
+def _(spark, sf):
+    return _mixed_path(spark, sf).groupBy("source", "split").agg(F.count(F.lit(1)).alias("count"))
+
+
+@query("pipeline_mix_rows")
+def _(spark, sf):
+    return _mixed_path(spark, sf).select("ord", "source", "split", "text", "shuffle_pos")
+
+
 # --- chat -------------------------------------------------------------------------------------------------
 CODE_PROFILES = ("mix_code", "code_by_language", "code_python_raw", "models_code", "final_code")
 COMMIT_PROFILES = ("mix_commit", "commit_brief", "commit_sweep", "models_commit", "final_commit")
