@@ -99,34 +99,34 @@ def similar_size(a: str, b: str):
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
-def pivot_rounds(slots: DataFrame, sets: DataFrame, links: DataFrame | None, labels: DataFrame | None) -> tuple:
+def by_pivots(slots: DataFrame, sets: DataFrame, links: DataFrame | None, labels: DataFrame | None, smallest: bool) -> tuple:
     """Compare members (``rep, n, key, place``) with pivots of their buckets; the links, labels and slots still open.
 
-    The pivot of a bucket is first the member that shares the most buckets with others (the original of a group of edited
-    copies stands out), then the smallest set, then one by lot. Confirmed links are contracted to components; a bucket
-    whose members are all in one component is done.
+    The pivot of a bucket is the member that shares the most buckets with others (the original of a group of edited copies
+    stands out) and, with ``smallest``, the smallest set too. Confirmed links are contracted to components; a bucket whose
+    members are all in one component is done.
     """
     sizes = slots.groupBy("key").agg(F.count("*").alias("m"))
     central = slots.join(sizes, "key").groupBy("rep").agg(F.sum("m").alias("shared"))
-    slots = written(slots.join(central, "rep"))
-    lots = [F.struct(-F.col("shared"), "rep"), F.struct("n", "rep"), F.struct(F.xxhash64(F.lit("lot"), "rep"), "rep")]
-    for lot in [*lots, None]:
-        slots = slots.drop("label")
-        if labels is None:
-            slots = slots.withColumn("label", F.col("rep"))
-        else:
-            slots = slots.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-            open_ = slots.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-            slots = written(slots.join(open_, "key"))
-        if lot is None or slots.isEmpty():
-            break
-        chosen = F.min_by(F.struct(F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("label").alias("pl")), lot)
-        pivots = slots.groupBy("key").agg(chosen.alias("pivot")).select("key", "pivot.*")
-        met = slots.join(pivots, "key").where((F.col("label") != F.col("pl")) & similar_size("n", "pn"))
-        found = written(confirmed(met.select(*ordered("rep", "p")).distinct(), sets))
-        links = found if links is None else links.union(found)
-        labels = components(links)
-    return links, labels, slots
+    slots = written(still_open(slots.join(central, "rep"), labels))
+    lots = [F.struct(-F.col("shared"), "rep"), *([F.struct("n", "rep")] if smallest else [])]
+    chosen = F.struct(F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("label").alias("pl"))
+    pivots = slots.groupBy("key").agg(F.array_distinct(F.array(*[F.min_by(chosen, lot) for lot in lots])).alias("pivots"))
+    met = slots.join(pivots.select("key", F.explode("pivots").alias("pivot")).select("key", "pivot.*"), "key")
+    met = met.where((F.col("label") != F.col("pl")) & similar_size("n", "pn"))
+    found = written(confirmed(met.select(*ordered("rep", "p")).distinct(), sets))
+    links = found if links is None else links.union(found)
+    labels = components(links)
+    return links, labels, written(still_open(slots.drop("label"), labels))
+
+
+def still_open(slots: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The slots with their members' labels, of buckets with more than one label."""
+    if labels is None:
+        return slots.withColumn("label", F.col("rep"))
+    placed = slots.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    many = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    return placed.join(many, "key")
 
 
 def prefix_slots(rest: DataFrame, sets: DataFrame) -> DataFrame:
@@ -162,10 +162,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     Texts with equal shingle sets are one class, so a group of copies of any size costs one representative (partial
     aggregates on the set's hash). Representatives meet in band buckets. No bucket is expanded into all of its pairs:
-    in up to three rounds every member is compared with one pivot of its bucket, confirmed links are contracted to
-    components, and buckets that lie within one component are done. Members of buckets with several components meet again
-    by the rare shingles they share (an exact filter), in pivot rounds and then in those pairs across components that
-    their sizes and places allow, so no link between different texts of a bucket is lost.
+    every member is compared with one pivot of its bucket, confirmed links are contracted to components, and buckets that
+    lie within one component are done. Members of buckets with several components meet again by the rare shingles they
+    share (an exact filter), first two pivots of each and then in those pairs across components that their sizes and places
+    allow, so no link between different texts of a bucket is lost.
 
     A null or wordless text has no shingles, is linked with nothing and is kept. A null doc_id belongs to a component like
     any other row but never names it; without a row that has an id, its component is null and it is kept. Rows that repeat
@@ -195,14 +195,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         .groupBy("rep")
         .agg(F.any_value("shingles").alias("shingles"))
     )
-    links, labels, rest = pivot_rounds(slots, sets, None, None)
+    links, labels, rest = by_pivots(slots, sets, None, None, False)
     if not rest.isEmpty():
-        links, labels, rest = pivot_rounds(prefix_slots(rest, sets), sets, links, labels)
+        links, labels, rest = by_pivots(prefix_slots(rest, sets), sets, links, labels, True)
         if not rest.isEmpty():
             found = confirmed(pairs_across(rest), sets)
             labels = components(links.union(written(found)))
     nodes = classes.select(*key, F.col("rep").alias("node"))
-    labels = nodes.select("node", F.col("node").alias("label")).where("false") if labels is None else labels
     grouped = nodes.join(labels, "node", "left").select(*key, F.coalesce("label", "node").alias("label"))
     # Empty sets and classes without an id are not in `grouped`; such rows stand alone.
     named_rows = rows.select("doc_id", *key).join(grouped, key, "left")
