@@ -11,10 +11,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField
 
+from ..operators.ordering import first_k
 from .shared import Shipped, append, joined, lowered, named, remainder, slices
 
 ORDER = 4
@@ -171,8 +172,8 @@ def fit(docs: DataFrame, order: int = ORDER, train_texts: int = TRAIN_TEXTS, doc
     is bounded by the sampled texts.
     """
     rows = named(docs, doc_id=doc_id, text=text, lang=lang).where("doc_id is not null and lang is not null and text is not null")
-    lot = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("n", F.row_number().over(lot)).where(F.col("n") <= train_texts).select("doc_id", "lang").distinct()
+    lot = [F.xxhash64("doc_id"), "doc_id"]
+    chosen = first_k(rows.select("doc_id", "lang"), ["lang"], lot, train_texts, "doc_id").select("doc_id", "lang").distinct()
     sample = rows.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", "text")
 
     def count(batches):
