@@ -1,12 +1,13 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
-Items are put into size classes. For a class whose smallest item has w words, windows of two fifths of w are fingerprinted:
-all of each item, and in a document one at every w/10 words. Similarity of 0.75 leaves at least 6/7 of an item's shingles
-untouched, in two runs at most while an item has no more than 74 words, so one run is long enough to hold a grid window
-that is also a window of the item, word for word; longer items rely on the radius. A fingerprint has 64 bits over the
-window's words, weighted by their counts. It is looked up in four tables by 16 bits each: fingerprints that differ in up
-to three bits share one of the four blocks, so none within that radius is missed. Each hit is placed as a window of the
-item's own size and confirmed by the weighted Jaccard similarity of its five-word shingles.
+Items are put into size classes. For a class whose smallest item has w words, windows of two fifths of w, but of 16 words
+at most, are fingerprinted: all of each item, and in a document one at every w/10 words, but at every 5 at least. So windows
+are parts of an item. Similarity of 0.75 leaves at least 6/7 of an item's shingles untouched; an edit takes four or five, so
+the longer an item, the more edits, but from 56 shingles on some untouched run keeps 16 shingles (20 words), and shorter items
+keep half of their words: room for a grid window that is also a window of the item, word for word, wherever the edits are. A
+fingerprint has 64 bits over the window's words, weighted by their counts. It is looked up in four tables by 16 bits each:
+fingerprints that differ in up to three bits share one of the four blocks, so none within that radius is missed. Around each
+hit, all windows of the item's own size that hold it are compared by the weighted Jaccard similarity of five-word shingles.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ BLOCK_BITS = 16
 SIMILARITY = 0.75
 ITEM_BLOCK = 5_000
 GROWTH = 1.25
+WINDOW = 16
+STEP = 5
 LONGEST_SUM = 255
 CHUNK_WORDS = 60_000
 
@@ -65,14 +68,13 @@ class SizeClass:
     """Items of ``least`` words or somewhat more: fingerprints of their windows in block tables."""
 
     def __init__(self, least: int, items: list[tuple[int, np.ndarray]]):
-        self.size, self.step = max(1, least * 2 // 5), max(1, least // 10)
-        owner, offset, prints = [], [], []
+        self.size, self.step = min(max(1, least * 2 // 5), WINDOW), min(max(1, least // 10), STEP)
+        owner, prints = [], []
         for number, words in items:
-            at = np.arange(len(words) - self.size + 1)
-            prints.append(Prints(words).of(at, self.size))
-            owner.append(np.full(len(at), number))
-            offset.append(at)
-        self.prints, self.owner, self.offset = (np.concatenate(x) for x in (prints, owner, offset))
+            every = Prints(words).of(np.arange(len(words) - self.size + 1), self.size)
+            prints.append(every[np.sort(np.unique(every, return_index=True)[1])])  # an item's equal windows are one
+            owner.append(np.full(len(prints[-1]), number))
+        self.prints, self.owner = np.concatenate(prints), np.concatenate(owner)
         self.tables = []
         for b in range(BLOCKS):
             value = block(self.prints, b)
@@ -110,8 +112,10 @@ class Items:
         self.ids = ids
         self.words = [words[a:b] for a, b in zip((ends - per).tolist(), ends.tolist())]
         self.counts = [shingle_counts(w) for w in self.words]
+        self.known = [np.sort(np.array(list(c), np.uint64)) for c in self.counts]
+        self.lengths = per
         ladder = [1]
-        while ladder[-1] < max((len(w) for w in self.words), default=0):
+        while ladder[-1] < min(10 * STEP, max((len(w) for w in self.words), default=0)):  # from there on, windows are the same
             ladder.append(max(ladder[-1] + 1, int(ladder[-1] * GROWTH)))
         by: dict[int, list] = {}
         for i, w in enumerate(self.words):
@@ -132,11 +136,50 @@ def shingle_counts(words: np.ndarray) -> Counter:
     return Counter(shingle_hashes(words, np.array([len(words)]), SHINGLE_WORDS)[0].tolist())
 
 
-def window_counts(shingles: np.ndarray, words: np.ndarray, start: int, size: int) -> Counter:
-    """Shingle counts of a window; ``shingles`` holds the hash of the five words at each place."""
+def best_window(shingles: np.ndarray, words: np.ndarray, spans: list[tuple[int, int]], size: int, known: np.ndarray, counts: Counter) -> tuple[float, int]:
+    """The highest weighted Jaccard similarity of a window of ``size`` words and its first place; 0 if none can reach the threshold.
+
+    ``shingles`` holds the hash of the five words at each place, ``known`` the item's distinct ones in order and ``counts``
+    how often each stands in it. Windows start in one of ``spans`` (first and last place, in order, apart).
+    """
     if size < SHINGLE_WORDS:
-        return shingle_counts(words[start : start + size])
-    return Counter(shingles[start : start + size - SHINGLE_WORDS + 1].tolist())
+        return max((weighted_jaccard(shingle_counts(words[p : p + size]), counts), -p) for a, b in spans for p in range(a, b + 1))
+    n = size - SHINGLE_WORDS + 1
+    total = n + counts.total()
+    most, place = 0, 0
+    for low, high in spans:
+        part = shingles[low : high + n]
+        at = np.minimum(np.searchsorted(known, part), len(known) - 1)
+        upto = np.concatenate([[0], np.cumsum(known[at] == part)])
+        # no window has more in common with the item than it has shingles of it
+        able = np.flatnonzero(upto[n:] - upto[:-n] >= SIMILARITY * total / (1 + SIMILARITY) - 1e-6)
+        if not len(able):
+            continue
+        first, last = int(able[0]), int(able[-1])
+        keys = part[first : last + n].tolist()
+        have: Counter = Counter()
+        both = 0
+        for i, key in enumerate(keys):
+            if key in counts:
+                have[key] += 1
+                both += have[key] <= counts[key]
+            if i >= n and keys[i - n] in counts:
+                both -= have[keys[i - n]] <= counts[keys[i - n]]
+                have[keys[i - n]] -= 1
+            if i >= n - 1 and both > most:
+                most, place = both, low + first + i - n + 1
+    return most / (total - most), -place
+
+
+def spans_of(lows: list[int], highs: list[int]) -> list[tuple[int, int]]:
+    """The union of the spans, in order and apart."""
+    out: list[tuple[int, int]] = []
+    for low, high in sorted(zip(lows, highs)):
+        if out and low <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(out[-1][1], high))
+        else:
+            out.append((low, high))
+    return out
 
 
 def weighted_jaccard(a: Counter, b: Counter) -> float:
@@ -149,7 +192,7 @@ def matches(words: np.ndarray, per: np.ndarray, items: Items) -> list[tuple[int,
     """``(text, item, first word, words, similarity)``: the best confirmed window of each item in each text."""
     ends = np.cumsum(per)
     begins = ends - per
-    tried: dict[tuple[int, int], set[int]] = {}
+    tried: dict[tuple[int, int], tuple[list[int], list[int]]] = {}
     for chunk in np.array_split(np.arange(len(per)), max(1, int(per.sum()) // CHUNK_WORDS)):
         if not len(chunk) or begins[chunk[0]] == ends[chunk[-1]]:
             continue
@@ -160,18 +203,22 @@ def matches(words: np.ndarray, per: np.ndarray, items: Items) -> list[tuple[int,
             text = np.repeat(chunk, n)
             at = begins[text] + (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * kind.step
             mine, other = kind.near(prints.of(at - low, kind.size))
-            for t, p, i, o in zip(text[mine].tolist(), at[mine].tolist(), kind.owner[other].tolist(), kind.offset[other].tolist()):
-                size = min(len(items.words[i]), int(per[t]))
-                for shift in (-1, 0, 1):
-                    place = min(max(p - o + shift, int(begins[t])), int(ends[t]) - size)
-                    tried.setdefault((t, i), set()).add(place)
+            text, at, item = text[mine], at[mine], kind.owner[other]
+            size = np.minimum(items.lengths[item], per[text])
+            # windows that hold the hit, and one more on either side, as a hit need not be word for word
+            lows = np.maximum(at + kind.size - size - 1, begins[text])
+            highs = np.minimum(at + 1, ends[text] - size)
+            for t, i, a, b in zip(text.tolist(), item.tolist(), lows.tolist(), highs.tolist()):
+                some = tried.setdefault((t, i), ([], []))
+                some[0].append(a)
+                some[1].append(b)
     out = []
     shingles = shingle_hashes(words, np.array([len(words)]), SHINGLE_WORDS)[0] if tried else None
-    for (t, i), places in sorted(tried.items()):
+    for (t, i), (lows, highs) in sorted(tried.items()):
         size = min(len(items.words[i]), int(per[t]))
-        best = max((weighted_jaccard(window_counts(shingles, words, p, size), items.counts[i]), -p) for p in places)
-        if best[0] >= SIMILARITY:
-            out.append((t, i, int(-best[1] - begins[t]), size, best[0]))
+        alike, place = best_window(shingles, words, spans_of(lows, highs), size, items.known[i], items.counts[i])
+        if alike >= SIMILARITY:
+            out.append((t, i, int(-place - begins[t]), size, alike))
     return out
 
 

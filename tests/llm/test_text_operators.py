@@ -218,6 +218,43 @@ def test_leaks_with_an_edit_anywhere_are_found(spark):
     assert op4_decontaminate.find_leaks(documents(spark, texts), benchmark.where("false")).count() == 0
 
 
+def spread(words, change, n):
+    """``n`` changes of one kind, evenly spread over the words."""
+    w = list(words)
+    for j in reversed(range(n)):
+        p = (j + 1) * len(words) // (n + 1)
+        w[p : p + (change != "insert")] = [] if change == "delete" else [f"{change}{j}"]
+    return w
+
+
+def test_long_items_with_several_spread_edits_are_found():
+    items, texts, want = [], [], set()
+    for i, n in enumerate((80, 100, 120, 150, 200, 250, 300)):
+        for seed in range(20):
+            w = [f"v{x}" for x in np.random.default_rng(1000 * n + seed).integers(0, 50_000, n)]
+            cases = [spread(w, kind, k) for kind in ("edit", "insert", "delete") for k in range(1, n // 30 + 1)]
+            cases.append(w[-n // 3 :] + w[: -n // 3])  # a part moved to the front
+            for changed in cases:
+                text = [f"a{seed + x}" for x in range(seed)] + changed + [f"z{x}" for x in range(40)]
+                kept = set(shingle_list(w))
+                if max(len(kept & set(shingle_list(text[p : p + n]))) for p in range(len(text) - n + 1)) * 7 >= 6 * (n - 4):
+                    want.add((len(texts), len(items)))
+                texts.append(" ".join(text))
+            items.append(" ".join(w))
+    found = op4_decontaminate.matches(*op4_decontaminate.text_words(pa.array(texts)), op4_decontaminate.Items(list(range(len(items))), items))
+    assert {(t, i) for t, i, *_ in found} == want and len(want) > 1000
+
+
+def test_similarity_of_texts_with_repeated_shingles_is_that_of_the_best_window():
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        w = [f"v{x}" for x in rng.integers(0, 2, 70)]
+        text = [f"v{x}" for x in rng.integers(0, 2, 30)] + spread(w, "edit", 1) + w[40:] + w[:20]
+        want = max((weighted(shingle_list(text[p : p + 70]), shingle_list(w)), -p) for p in range(len(text) - 69))
+        found = op4_decontaminate.matches(*op4_decontaminate.text_words(pa.array([" ".join(text)])), op4_decontaminate.Items([5], [" ".join(w)]))
+        assert [(-p, size, alike) for _, _, p, size, alike in found] == [(want[1], 70, want[0])] * (want[0] >= 0.75)
+
+
 def test_fingerprints_equal_the_definition():
     rng = np.random.default_rng(3)
     w = rng.integers(0, 2**63, 700, dtype=np.uint64)
