@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Shipped, named
+from .shared import Shipped, named, written
 
 SAMPLE = 8_000
 PROBES_FOR = 0.98
@@ -71,7 +71,9 @@ def scan(query: np.ndarray, query_id: int, rotated_query: np.ndarray, ids: np.nd
     live = np.flatnonzero(ids != query_id)
     if len(live) > k:
         first = live[:: max(1, len(live) // (4 * k))]
-        limit = np.sort(exact(vectors[first], query))[k - 1] ** 2
+        sampled = exact(vectors[first], query)
+        limit = np.sort(sampled)[k - 1] ** 2
+        safe = first[np.argsort(sampled, kind="stable")[:k]]  # so that k rows come back, however many the estimate rejects
         part, seen = np.zeros(len(ids)), 0
         for block in blocks:
             width = block.shape[0]
@@ -82,6 +84,7 @@ def scan(query: np.ndarray, query_id: int, rotated_query: np.ndarray, ids: np.nd
             if seen < d and len(live) > 4 * k:  # the k best so far tighten the limit by their exact distances
                 best = live[np.argpartition(part[live], k)[:k]]
                 limit = min(limit, exact(vectors[best], query).max() ** 2)
+        live = np.union1d(live, safe)
     far = exact(vectors[live], query)
     order = np.lexsort((ids[live], far))[:k]
     return ids[live][order], far[order]
@@ -91,8 +94,10 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, vec_id: str = "ve
     """``query_id, rank, vec_id, score``: each query's k nearest other vectors by Euclidean distance (double precision).
 
     Queries are the rows whose id is a multiple of ``every``. Null and zero vectors, those with a null, NaN or infinite
-    component, rows without an id and vectors of another size than most of the sample take no part. Ties go to the smaller
-    id; a repeated id counts once (its smallest distance). If there are at most k candidates, all of them come back.
+    component and rows without an id take no part. Distances are between vectors of one length: those of another length than
+    most are compared with all of their own. Ties go to the smaller id; a repeated id counts once (its smallest distance). If
+    there are at most k candidates, all of them come back; if there are more, k do: where the lists to probe hold too few
+    ids, a query takes further ones, nearest centroid first.
 
     Every usable row is indexed. A list is cut into blocks of about 4,096 rows by id hash, each block meets the queries
     that probe its list, and gives k rows for each; so a list with a third of all rows is many tasks' work.
@@ -103,21 +108,39 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, vec_id: str = "ve
     sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
     if sizes is None:
         return spark.createDataFrame([], shape)
-    rows = rows.where(F.size("v") == sizes.d)
-    sampled = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()
+    usual = int(sizes.d)
+    sampled = rows.where(F.size("v") == usual).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()
     index = Shipped(spark, ListIndex(np.array(sampled["v"].tolist(), float), k))
 
-    def place(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pd.DataFrame], held: np.ndarray | None) -> Iterator[pd.DataFrame]:
+        """Each vector with its list, or (with ``held``, how many ids a list has) with all lists it probes; -length for another length."""
         for b in batches:
-            if len(b):
-                order = index.value.order(np.array(b["v"].tolist(), float))[:, :most]
-                yield pd.DataFrame({"id": np.repeat(b["id"].to_numpy(), order.shape[1]), "v": b["v"].repeat(order.shape[1]).to_numpy(), "list": order.reshape(-1).astype(np.int32)})
+            lengths = b["v"].map(len).to_numpy()
+            some, other = b[lengths == usual], b[lengths != usual]
+            if len(some):
+                order = index.value.order(np.array(some["v"].tolist(), float))
+                n = np.ones(len(some), int)
+                if held is not None:
+                    enough = (np.cumsum(held[order], axis=1) <= k).sum(1) + 1
+                    n = np.minimum(np.maximum(enough, index.value.probes), order.shape[1])
+                lists = order[np.arange(order.shape[1]) < n[:, None]].astype(np.int32)
+                yield pd.DataFrame({"id": np.repeat(some["id"].to_numpy(), n), "v": some["v"].repeat(n).to_numpy(), "list": lists})
+            if len(other):
+                yield pd.DataFrame({"id": other["id"].to_numpy(), "v": other["v"].to_numpy(), "list": -lengths[lengths != usual].astype(np.int32)})
 
     parts = "id bigint, v array<double>, list int"
-    stored = rows.mapInPandas(lambda b: place(b, 1), parts)
-    asked = rows.where(F.col("id") % every == 0).dropDuplicates(["id"]).mapInPandas(lambda b: place(b, index.value.probes), parts)
-    # how many blocks a list has follows from its size; both sides are known for at most 256 lists
-    sized = stored.groupBy("list").agg(F.ceil(F.count("*") / LIST_BLOCK).cast("int").alias("cuts"))
+    stored = rows.mapInPandas(lambda b: place(b, None), parts)
+    dealt = written(stored.select("id", "list"))
+    # an id that stands in several lists counts in one of them, so any lists together hold at least the sum of distinct ids
+    held = np.zeros(len(index.value.centroids), np.int64)
+    for r in dealt.where("list >= 0").groupBy("id").agg(F.min("list").alias("list")).groupBy("list").count().collect():
+        held[r["list"]] = r["count"]
+    # a repeated id asks with one vector, of the usual length if it has one
+    first = F.min(F.struct(F.size("v") != usual, "v")).alias("first")
+    asked = rows.where(F.col("id") % every == 0).groupBy("id").agg(first).select("id", "first.v")
+    asked = asked.mapInPandas(lambda b: place(b, held), parts)
+    # how many blocks a list has follows from its size; there are at most 256 lists, and one for each other length
+    sized = dealt.groupBy("list").agg(F.ceil(F.count("*") / LIST_BLOCK).cast("int").alias("cuts"))
     stored = stored.join(F.broadcast(sized), "list").withColumn("cut", F.pmod(F.xxhash64(F.lit("cut"), "id"), "cuts").cast("int")).drop("cuts")
     asked = asked.join(F.broadcast(sized), "list").withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).drop("cuts")
 
@@ -126,11 +149,12 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, vec_id: str = "ve
         if len(candidates) and len(queries):
             candidates = candidates.drop_duplicates("id") if not candidates["id"].is_unique else candidates
             ids, stack = candidates["id"].to_numpy(), np.array(candidates["v"].tolist(), float)
-            turned = (stack @ index.value.rotation).T
+            rotation = index.value.rotation if stack.shape[1] == usual else np.empty((stack.shape[1], 0))  # no columns: all by exact distance
+            turned = (stack @ rotation).T
             columns = [np.ascontiguousarray(turned[i : i + COLUMNS]) for i in range(0, turned.shape[0], COLUMNS)]
             for q, v in zip(queries["id"].tolist(), queries["v"].tolist()):
                 v = np.array(v, float)
-                near, far = scan(v, q, v @ index.value.rotation, ids, stack, columns, k)
+                near, far = scan(v, q, v @ rotation, ids, stack, columns, k)
                 found.append(pd.DataFrame({"query_id": q, "vec_id": near, "score": far}))
         return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 

@@ -109,6 +109,23 @@ def test_long_words_and_nothing_to_learn_from(spark):
 
 
 # --- neighbours -----------------------------------------------------------------------------------------------------
+def test_small_lists_and_other_lengths_give_k_rows(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i * 10, v.tolist()) for i, v in enumerate(rng.normal(size=(140, 8)))]
+    rows += [(i, (v + 1000).tolist()) for i, v in zip((5000, 5100, 10), rng.normal(size=(3, 8)))]  # a list of their own; id 10 is in both
+    rows += [(100_000 + i * 50, rng.normal(size=5).tolist()) for i in range(30)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = defaultdict(list)
+    for r in op8_neighbours.nearest(table).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert set(got) == {i for i, _ in rows if i % 100 == 0}
+    assert all(len(set(v)) == 10 for v in got.values())
+    assert all((v >= 100_000) == (q >= 100_000) for q, found in got.items() for v in found)
+    five = {i: np.array(v) for i, v in rows if i >= 100_000}
+    for q in (i for i in five if i % 100 == 0):
+        assert got[q] == sorted((i for i in five if i != q), key=lambda i: np.linalg.norm(five[i] - five[q]))[:10]
+
+
 def test_neighbours_against_brute_force(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 32)).astype(np.float32)
