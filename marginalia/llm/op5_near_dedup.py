@@ -44,20 +44,24 @@ def min_max_bands(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return keys
 
 
+def set_keys(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A 128-bit hash of each shingle set, in two words (0 for empty sets)."""
+    full = sizes > 0
+    k = np.zeros((2, len(sizes)), np.uint64)
+    if full.any():
+        first = (np.cumsum(sizes) - sizes)[full]
+        for i, seed in enumerate(stream(17, 2)):
+            k[i, full] = np.add.reduceat(mix(hashes ^ seed), first)
+    return k
+
+
 def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``doc_id, n_shingles, k1, k2, bands``: the size and a 128-bit hash of each shingle set, and its band keys."""
-    seeds = stream(17, 2)
     for batch in batches:
         for part in slices(batch, "text"):
             hashes, sizes = text_shingles(part.column(1))
-            full = sizes > 0
-            n, first = int(full.sum()), (np.cumsum(sizes) - sizes)[full]
-            k = np.zeros((2, len(sizes)), np.uint64)
-            bands = np.empty((0, BANDS), np.uint64)
-            if n:
-                bands = min_max_bands(hashes, sizes[full])
-                for i in range(2):
-                    k[i, full] = np.add.reduceat(mix(hashes ^ seeds[i]), first)
+            full, k = sizes > 0, set_keys(hashes, sizes)
+            bands = min_max_bands(hashes, sizes[full]) if full.any() else np.empty((0, BANDS), np.uint64)
             ends = np.concatenate([[0], np.cumsum(full * BANDS)])
             yield pa.RecordBatch.from_arrays(
                 [
@@ -72,26 +76,30 @@ def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``rep, shingles``: each text's distinct shingle hashes."""
+    """``n_shingles, k1, k2, shingles``: each text's distinct shingle hashes and the set's hash."""
     for batch in batches:
         for part in slices(batch, "text"):
             hashes, sizes = text_shingles(part.column(1))
             ends = np.concatenate([[0], np.cumsum(sizes)])
             sets = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column(0), sets], ["rep", "shingles"])
+            k = set_keys(hashes, sizes).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64()), pa.array(k[0]), pa.array(k[1]), sets], ["n_shingles", "k1", "k2", "shingles"])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those pairs (``a, b``) whose full sets meet the threshold."""
-    left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
+    """Links ``a, b`` between the documents of those pairs of classes (``a, b``, each a class and its document) whose full sets meet the threshold."""
+    left = sets.select(F.col("rep").alias("ra"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("rep").alias("rb"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    tried = pairs.join(left, "a").join(right, "b").withColumn("both", both)
+    flat = pairs.select(F.col("a.rep").alias("ra"), F.col("b.rep").alias("rb"), F.col("a.doc").alias("a"), F.col("b.doc").alias("b"))
+    tried = flat.join(left, "ra").join(right, "rb").withColumn("both", both)
     return tried.where(100 * F.col("both") >= PERCENT * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
 
 
-def ordered(a: str, b: str) -> list:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+def ordered() -> list:
+    """A class and the other one (``p``, of ``pd``), as ``a, b`` in the order of their numbers."""
+    here, there = F.struct("rep", "doc"), F.struct(F.col("p").alias("rep"), F.col("pd").alias("doc"))
+    return [F.least(here, there).alias("a"), F.greatest(here, there).alias("b")]
 
 
 def similar_size(a: str, b: str):
@@ -100,7 +108,7 @@ def similar_size(a: str, b: str):
 
 
 def by_pivots(slots: DataFrame, sets: DataFrame, links: DataFrame | None, labels: DataFrame | None, smallest: bool) -> tuple:
-    """Compare members (``rep, n, key, place``) with pivots of their buckets; the links, labels and slots still open.
+    """Compare members (class ``rep`` of ``doc``, ``n, key, place``) with pivots of their buckets; the links, labels and slots still open.
 
     The pivot of a bucket is the member that shares the most buckets with others (the original of a group of edited copies
     stands out) and, with ``smallest``, the smallest set too. Confirmed links are contracted to components; a bucket whose
@@ -110,11 +118,11 @@ def by_pivots(slots: DataFrame, sets: DataFrame, links: DataFrame | None, labels
     central = slots.join(sizes, "key").groupBy("rep").agg(F.sum("m").alias("shared"))
     slots = written(still_open(slots.join(central, "rep"), labels))
     lots = [F.struct(-F.col("shared"), "rep"), *([F.struct("n", "rep")] if smallest else [])]
-    chosen = F.struct(F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("label").alias("pl"))
+    chosen = F.struct(F.col("rep").alias("p"), F.col("doc").alias("pd"), F.col("n").alias("pn"), F.col("label").alias("pl"))
     pivots = slots.groupBy("key").agg(F.array_distinct(F.array(*[F.min_by(chosen, lot) for lot in lots])).alias("pivots"))
     met = slots.join(pivots.select("key", F.explode("pivots").alias("pivot")).select("key", "pivot.*"), "key")
     met = met.where((F.col("label") != F.col("pl")) & similar_size("n", "pn"))
-    found = written(confirmed(met.select(*ordered("rep", "p")).distinct(), sets))
+    found = written(confirmed(met.select(*ordered()).distinct(), sets))
     links = found if links is None else links.union(found)
     labels = components(links)
     return links, labels, written(still_open(slots.drop("label"), labels))
@@ -123,8 +131,8 @@ def by_pivots(slots: DataFrame, sets: DataFrame, links: DataFrame | None, labels
 def still_open(slots: DataFrame, labels: DataFrame | None) -> DataFrame:
     """The slots with their members' labels, of buckets with more than one label."""
     if labels is None:
-        return slots.withColumn("label", F.col("rep"))
-    placed = slots.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        return slots.withColumn("label", F.col("doc"))
+    placed = slots.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
     many = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
     return placed.join(many, "key")
 
@@ -135,14 +143,14 @@ def prefix_slots(rest: DataFrame, sets: DataFrame) -> DataFrame:
     With shingles in one order, rarest first, two sets of similarity t share a shingle among the first
     n - ceil(t n) + 1 of each: no link is lost, and what many texts have in common is left out of most prefixes.
     """
-    open_sets = written(sets.join(rest.select("rep").distinct(), "rep"))
-    each = open_sets.select("rep", F.explode("shingles").alias("key"))
+    open_sets = written(sets.join(rest.select("rep", "doc").distinct(), "rep"))
+    each = open_sets.select("rep", "doc", F.explode("shingles").alias("key"))
     common = each.groupBy("key").agg(F.count("*").alias("m"))
-    in_order = each.join(common, "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("m", "key"))).alias("keys"))
+    in_order = each.join(common, "key").groupBy("rep", "doc").agg(F.sort_array(F.collect_list(F.struct("m", "key"))).alias("keys"))
     n = F.size("keys")
     prefix = F.slice("keys", F.lit(1), (n - F.ceil(PERCENT * n / 100) + 1).cast("int"))
-    slots = in_order.select("rep", n.cast("bigint").alias("n"), F.posexplode(prefix).alias("place", "k"))
-    return written(slots.where("k.m > 1").select("rep", "n", F.col("k.key").alias("key"), (F.col("place") + 1).alias("place")))
+    slots = in_order.select("rep", "doc", n.cast("bigint").alias("n"), F.posexplode(prefix).alias("place", "k"))
+    return written(slots.where("k.m > 1").select("rep", "doc", "n", F.col("k.key").alias("key"), (F.col("place") + 1).alias("place")))
 
 
 def pairs_across(slots: DataFrame) -> DataFrame:
@@ -150,11 +158,11 @@ def pairs_across(slots: DataFrame) -> DataFrame:
 
     At the first shingle two sets share, at the places i and j, they have 1 + min(n - i, m - j) in common at most.
     """
-    other = slots.select("key", F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("label").alias("pl"), F.col("place").alias("pp"))
+    other = slots.select("key", F.col("rep").alias("p"), F.col("doc").alias("pd"), F.col("n").alias("pn"), F.col("label").alias("pl"), F.col("place").alias("pp"))
     most = 1 + F.least(F.col("n") - F.col("place"), F.col("pn") - F.col("pp"))
     reach = (100 + PERCENT) * most >= PERCENT * (F.col("n") + F.col("pn"))
     met = slots.join(other, "key").where((F.col("label") < F.col("pl")) & similar_size("n", "pn") & reach)
-    return met.select(*ordered("rep", "p")).distinct()
+    return met.select(*ordered()).distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -176,24 +184,29 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     shape = "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, bands array<bigint>"
     rows = written(source.mapInArrow(signatures, shape))
     key = ["n_shingles", "k1", "k2"]
+    # classes have numbers of their own, as a document with several texts can name several of them
     classes = written(
         rows.where("n_shingles > 0 and doc_id is not null")
         .groupBy(*key)
-        .agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
+        .agg(F.min("doc_id").alias("doc"), F.min_by("bands", "doc_id").alias("bands"))
+        .withColumn("rep", F.monotonically_increasing_id())
     )
     slots = written(
-        classes.select("rep", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "key")).select(
-            "rep", "n", F.xxhash64("band", "key").alias("key"), F.lit(0).alias("place")
+        classes.select("rep", "doc", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "key")).select(
+            "rep", "doc", "n", F.xxhash64("band", "key").alias("key"), F.lit(0).alias("place")
         )
     )
     crowded = slots.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
     slots = written(slots.join(crowded, "key"))
-    wanted = written(slots.select(F.col("rep").alias("doc_id")).distinct())
+    wanted = written(slots.select("rep").distinct().join(classes.select("rep", "doc", *key), "rep"))
+    of = wanted.select(F.col("doc").alias("doc_id")).distinct()
     sets = written(
-        keep_keys(source, wanted, "doc_id", wanted.count())
-        .mapInArrow(shingle_sets, "rep bigint, shingles array<bigint>")
-        .groupBy("rep")
+        keep_keys(source, of, "doc_id", wanted.count())
+        .mapInArrow(shingle_sets, "n_shingles bigint, k1 bigint, k2 bigint, shingles array<bigint>")
+        .groupBy(*key)
         .agg(F.any_value("shingles").alias("shingles"))
+        .join(wanted.select("rep", *key), key)
+        .select("rep", "shingles")
     )
     links, labels, rest = by_pivots(slots, sets, None, None, False)
     if not rest.isEmpty():
@@ -201,7 +214,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         if not rest.isEmpty():
             found = confirmed(pairs_across(rest), sets)
             labels = components(links.union(written(found)))
-    nodes = classes.select(*key, F.col("rep").alias("node"))
+    nodes = classes.select(*key, F.col("doc").alias("node"))
     grouped = nodes.join(labels, "node", "left").select(*key, F.coalesce("label", "node").alias("label"))
     # Empty sets and classes without an id are not in `grouped`; such rows stand alone.
     named_rows = rows.select("doc_id", *key).join(grouped, key, "left")

@@ -327,6 +327,14 @@ def test_null_ids_repeated_rows_and_empty_tables(spark):
     assert op5_near_dedup.near_duplicates(docs.where("false")).count() == 0
 
 
+def test_a_document_with_several_texts_is_in_the_groups_of_each(spark):
+    bases = [prose(500 + i, 60) for i in range(30)]
+    rows = [(1, t) for t in bases] + [(10 + i, edited(t, [30])) for i, t in enumerate(bases)] + [(100 + i, prose(700 + i, 60)) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {(r.doc_id, r.component_id) for r in op5_near_dedup.near_duplicates(docs).collect()}
+    assert got == {(1, 1)} | {(10 + i, 1) for i in range(30)} | {(100 + i, 100 + i) for i in range(5)}
+
+
 def test_components_of_chains_stars_and_rings(spark):
     links = [(i, i + 1) for i in range(30)] + [(100, i) for i in range(101, 140)] + [(200, 201), (201, 202), (202, 200), (7, 7)]
     got = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
