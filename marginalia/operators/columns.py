@@ -97,7 +97,16 @@ def label_code(value: Column, names: Sequence[str]) -> Column:
     return F.when(position > 0, (position - 1).cast("int"))
 
 
-def decode_label(df: DataFrame, col: str, names: Sequence[str], out: str | None = None) -> DataFrame:
+def decode_label(
+    df: DataFrame, col: str, names: Sequence[str] | None = None, out: str | None = None, labels: DataFrame | None = None
+) -> DataFrame:
+    """Replace a code by its label: by its place in ``names``, or without them by a join with ``labels`` (label, code)."""
+    if names is None:
+        if labels is None:
+            raise ValueError("decode_label takes names or a label table")
+        label, code = labels.columns
+        named = df.join(labels.select(F.col(code).alias("_code"), F.col(label).alias("_label")), F.col(col) == F.col("_code"), "left")
+        return named.withColumn(out or col, F.col("_label")).select(*dict.fromkeys([*df.columns, out or col]))
     decoded = F.try_element_at(F.array(*[F.lit(n) for n in names]), F.col(col).cast("int") + 1)
     return df.withColumn(out or col, decoded)
 

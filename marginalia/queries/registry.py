@@ -202,9 +202,8 @@ def _(spark, sf):
 @query("p5_decode")
 def _(spark, sf):
     rows = P.keep(I.code_rows(spark, sf), ["ord", "language"])
-    names = P.label_names(rows, "language")
-    coded = P.encode_label(rows, "language", names)
-    return P.decode_label(coded, "language", names)
+    coded = P.encode_label(rows, "language")
+    return P.decode_label(coded, "language", labels=P.label_table(rows, "language"))
 
 
 @query("p6_first_nonempty")

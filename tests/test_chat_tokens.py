@@ -127,3 +127,11 @@ def test_profile(chat):
     tokens = [len(t) for (t,) in rows(chat.select(TK.token_list("text")))]
     assert got["rows"] == 6 and got["max_tokens"] == max(tokens)
     assert got["share_truncated"] == sum(t > 6 for t in tokens) / 6
+
+
+def test_p5_decode_answers_for_many_labels(spark, monkeypatch):
+    from marginalia.queries import all_queries, registry
+
+    many = spark.range(10_500).selectExpr("id as ord", "if(id % 1000 = 7, null, concat('l', id)) as language")
+    monkeypatch.setattr(registry.I, "code_rows", lambda spark, sf: many)
+    assert sorted(rows(all_queries()["p5_decode"](spark, ""), "ord", "language"), key=repr) == sorted(rows(many), key=repr)
