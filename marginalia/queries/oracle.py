@@ -536,6 +536,9 @@ QUERIES |= {
     "d10_mix_three_sources": f"""select *, row_number() over
         (partition by split order by md5('42:' || source || ':' || ord), source || ':' || ord) as shuffle_pos
         from ({" union all ".join(third(name) for name in THIRDS)})""",
+    "r8_pairs_whole": f"""select ord, left(t, 400) || case when length(t) > 400 then '...' else '' end as truth,
+        left(p, 400) || case when length(p) > 400 then '...' else '' end as prediction, p = t as exact from (
+        select ord, trim(split_part({DOC}, '<|im_end|>', 1), {WS}) as t, trim(split_part(code, '<|im_end|>', 1), {WS}) as p from code_rows)""",
     "t4_batches_null": f"""select ord, language, (row_number() over (partition by language order by ord) - 1) // 2 as batch_id
         from {SOME_NULL}""",
     "l4_last_large": QUERIES["l4_last"].replace("rn <= 10", "rn <= 20000"),

@@ -466,6 +466,14 @@ def _(spark, sf):
     return C.compare_pairs(rows.select("ord", guess.alias("prediction")), C.render_code(rows, "mix_code"))
 
 
+@query("r8_pairs_whole")
+def _(spark, sf):
+    """r8_pairs with the whole code as the guess."""
+    rows = I.code_rows(spark, sf)
+    guess = F.concat("code", F.lit(" <|im_end|>\n"))
+    return C.compare_pairs(rows.select("ord", guess.alias("prediction")), C.render_code(rows, "mix_code"))
+
+
 # --- tokens -----------------------------------------------------------------------------------------------
 @query("t0_vocab")
 def _(spark, sf):
