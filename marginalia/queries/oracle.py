@@ -539,6 +539,13 @@ QUERIES |= {
     "r8_pairs_whole": f"""select ord, left(t, 400) || case when length(t) > 400 then '...' else '' end as truth,
         left(p, 400) || case when length(p) > 400 then '...' else '' end as prediction, p = t as exact from (
         select ord, trim(split_part({DOC}, '<|im_end|>', 1), {WS}) as t, trim(split_part(code, '<|im_end|>', 1), {WS}) as p from code_rows)""",
+    "l1_curves_null": " union all ".join(
+        curve(m, "filled").replace("select run,", "select nullif(run, 1) as run,") for m in ("loss", "eval_loss", "learning_rate")
+    ),
+    "s1_order": f"""select row_number() over () - 1 as ord, 'train' as split, doc_id, null as item_id, null as conv_id, null as turn from documents
+        union all select row_number() over () - 1 + {1 << 40}, 'validation', null, item_id, null, null from benchmark
+        union all select row_number() over () - 1 + {2 << 40}, 'test', null, null, conv_id, turn from conversations""",
+    "s5_read_shared_folder": "select ord, split, code from code_split where language = 'en'",
     "t4_batches_null": f"""select ord, language, (row_number() over (partition by language order by ord) - 1) // 2 as batch_id
         from {SOME_NULL}""",
     "l4_last_large": QUERIES["l4_last"].replace("rn <= 10", "rn <= 20000"),

@@ -646,6 +646,11 @@ def _(spark, sf):
     return L.log_curves(I.log_rows(spark, sf))
 
 
+@query("l1_curves_null")
+def _(spark, sf):
+    return L.log_curves(I.log_rows(spark, sf).withColumn("run", F.expr("nullif(run, 1)")))
+
+
 @query("l2_metric")
 def _(spark, sf):
     return L.log_metric(I.log_rows(spark, sf), "eval_loss")
@@ -746,6 +751,13 @@ def _(spark, sf):
     return corpus.groupBy("split").agg(F.count(F.lit(1)).alias("count"), F.sum(F.length("text")).alias("chars"))
 
 
+@query("s1_order")
+def _(spark, sf):
+    names = dict(zip(SPLITS, ("documents", "benchmark", "conversations")))
+    corpus = S.read_splits(spark, {s: f"{sf}/{t}.parquet" for s, t in names.items()}, order="ord")
+    return corpus.select("ord", "split", "doc_id", "item_id", "conv_id", "turn")
+
+
 @query("s2_tagged")
 def _(spark, sf):
     tables = S.read_tagged(spark, {t: f"{sf}/{t}.parquet" for t in ("documents", "benchmark")}, "origin")
@@ -786,6 +798,14 @@ def _(spark, sf):
     return S.read_corpus(spark, _saved(spark, sf), "FR").select("ord", "split", "code")
 
 
+@query("s5_read_shared_folder")
+def _(spark, sf):
+    path = scratch_folder(spark)
+    name = F.expr("case language when 'en' then 'F#' when 'fr' then 'F*' else language end")
+    S.write_by_language(I.code_split(spark, sf).withColumn("language", name), path)
+    return S.read_corpus(spark, path, "f#").select("ord", "split", "code")
+
+
 @query("s6_partitions")
 def _(spark, sf):
     return S.list_partitions(S.read_corpus(spark, _saved(spark, sf)))
