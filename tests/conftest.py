@@ -24,8 +24,3 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield configure(session)
     session.stop()
-
-
-def rows(df, *cols):
-    """Rows as tuples."""
-    return [tuple(r) for r in (df.select(*cols) if cols else df).collect()]

@@ -1,7 +1,7 @@
 """Chat rendering and parsing, token tables, batches."""
 
 import pytest
-from conftest import rows
+from tuples import rows
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 

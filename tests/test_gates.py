@@ -1,6 +1,6 @@
 """Gates at the edge of each rule."""
 
-from conftest import rows
+from tuples import rows
 from pyspark.sql import functions as F
 
 from marginalia.functions import gates as G

@@ -3,7 +3,7 @@
 import math
 
 import pytest
-from conftest import rows
+from tuples import rows
 from pyspark.sql import functions as F
 
 from marginalia.operators import metrics as E

@@ -1,7 +1,7 @@
 """Reading, writing, checking and streaming."""
 
 import pytest
-from conftest import rows
+from tuples import rows
 from pyspark.sql import functions as F
 
 from marginalia.operators.sets import concat, distinct_values, sorted_values

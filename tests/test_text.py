@@ -3,7 +3,7 @@
 import hashlib
 import re
 
-from conftest import rows
+from tuples import rows
 from pyspark.sql import functions as F
 
 from marginalia.constants import LINE_BREAK, SPACE_CLASS, UNICODE_SPACES
