@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_secrets, op2_language, op3_licenses, op4_decontaminate, op5_near_dedup, op6_sharding, op7_lattice, op8_neighbours, op9_packing, op10_quality
+from . import op1_secrets, op2_language, op3_licenses, op4_decontaminate, op5_near_dedup, op6_sharding, op7_lattice, op8_neighbours, op9_packing, op10_quality, op13_whitening
 from .shared import remainder
 
 SHARDS = 40
@@ -73,6 +73,10 @@ def op10_quality_score(spark: SparkSession, sf: str) -> DataFrame:
     return op10_quality.with_quality(docs, model).select("doc_id", held_out(5, 0), "score", "predicted")
 
 
+def op13_whitened(spark: SparkSession, sf: str) -> DataFrame:
+    return op13_whitening.whiten(table(spark, sf, "embeddings"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = (
         op1_secret_scan,
@@ -85,10 +89,11 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_nearest,
         op9_packed,
         op10_quality_score,
+        op13_whitened,
     )
     return {f.__name__: f for f in made}
 
 
 def llm_oracle() -> dict[str, str]:
-    """None of the ten has SQL of its own: hashes, trained models and searches are tested against brute force."""
+    """None of them has SQL of its own: hashes, trained models and searches are tested against brute force."""
     return {}
