@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import os
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,13 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import Shipped, mix, named, run_hashes, slices, written
+from .shared import Recent, Shipped, mix, named, run_hashes, slices, written
 
 WINDOW = 2048
 END_ID = 1
 SUBS = 256
-CACHE_UNITS = 200_000
-TOGETHER = 1_000
+UNITS_ROOM = 40 << 20
+TOGETHER = 500
 
 # --- fixed values: what the tokenizer's own pre-splitting does with these characters --------------------------------
 # letters: a-z, A-Z and the composed Latin-1 letters; each digit alone; runs of other printable ASCII characters.
@@ -35,6 +34,7 @@ TOGETHER = 1_000
 # a word with one of those goes to the tokenizer whole.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 SPACE, LETTER, DIGIT, OTHER, WHOLE = range(5)
+WORD_END = "</w>"  # ends the last piece of every word in the vocabulary
 # --- end of fixed values --------------------------------------------------------------------------------------------
 
 
@@ -50,9 +50,9 @@ def character_classes() -> np.ndarray:
 
 
 class Units:
-    """Ids of text units, looked up by hash; new units go to the tokenizer once.
+    """Ids of text units, looked up by hash; units that were not met lately go to the tokenizer.
 
-    The store is emptied when it holds ``CACHE_UNITS`` units, so a task's memory is bounded; ids never depend on it.
+    Words end in ids of their own, so units that are one word each go to the tokenizer many to a string.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -62,39 +62,32 @@ class Units:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.encode_special_tokens = True
-        self.clear()
-
-    def clear(self) -> None:
-        self.keys, self.rows = np.empty(0, np.uint64), np.empty(0, np.int64)
-        self.begin, self.size, self.pool, self.used = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(1 << 16, np.uint32), 0
-
-    def rows_of(self, keys: np.ndarray, text_of) -> np.ndarray:
-        """Rows of ``begin`` and ``size`` for distinct keys; ``text_of(indices)`` gives the texts of missing ones."""
-        if len(self.keys) + len(keys) > CACHE_UNITS:
-            self.clear()
-        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-        known = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
-        missing = np.flatnonzero(~known)
-        if len(missing):
-            ids, sizes = array("I"), []
-            for at in range(0, len(missing), TOGETHER):  # the tokenizer's results are large: a few at a time
-                for x in self.tokenizer.encode_batch_fast(text_of(missing[at : at + TOGETHER]), add_special_tokens=False):
-                    some = x.ids
-                    ids.extend(some)
-                    sizes.append(len(some))
-            sizes, total = np.array(sizes, np.int64), len(ids)
-            while self.used + total > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
-            self.pool[self.used : self.used + total] = np.frombuffer(ids, np.uint32)
-            rows = np.arange(len(self.begin), len(self.begin) + len(missing))
-            self.begin = np.concatenate([self.begin, self.used + np.cumsum(sizes) - sizes])
-            self.size = np.concatenate([self.size, sizes])
-            self.used += total
-            keys_, rows_ = np.concatenate([self.keys, keys[missing]]), np.concatenate([self.rows, rows])
-            order = np.argsort(keys_)
-            self.keys, self.rows = keys_[order], rows_[order]
-            at = np.searchsorted(self.keys, keys)
-        return self.rows[at]
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for piece, i in vocabulary.items() if piece.endswith(WORD_END)]] = True
+        self.store = Recent(UNITS_ROOM, lambda ids: len(ids) + 170)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def of(self, texts: list[str], single: list[bool]) -> list[bytes]:
+        """Ids of each text as bytes; ``single`` says which are one word."""
+        out, alone = [b""] * len(texts), [i for i, s in enumerate(single) if not s]
+        joined_ = [i for i, s in enumerate(single) if s]
+        for begin in range(0, len(joined_), TOGETHER):  # the tokenizer's results are large: a few at a time
+            some = joined_[begin : begin + TOGETHER]
+            (ids,) = self.encode([" ".join([texts[i] for i in some])])
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(some):
+                alone += some
+                continue
+            for i, a, b in zip(some, [0, *ends[:-1].tolist()], ends.tolist()):
+                out[i] = ids[a:b].tobytes()
+        for begin in range(0, len(alone), TOGETHER):
+            some = alone[begin : begin + TOGETHER]
+            for i, ids in zip(some, self.encode([texts[i] for i in some])):
+                out[i] = ids.tobytes()
+        return out
 
 
 def token_ids(column: pa.Array, units: Units, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,15 +121,17 @@ def token_ids(column: pa.Array, units: Units, kinds: np.ndarray) -> tuple[np.nda
     hashes = mix(run_hashes(plain, starts, ends, 3) + kind[starts].astype(np.uint64))
     keys, first, unit = np.unique(hashes, return_index=True, return_inverse=True)
 
-    def text_of(indices: np.ndarray) -> list[str]:
-        return [whole[a:b] for a, b in zip(starts[first[indices]].tolist(), ends[first[indices]].tolist())]
+    def made(new: list[int]) -> list[bytes]:
+        a, b = starts[first[new]], ends[first[new]]
+        return units.of([whole[x:y] for x, y in zip(a.tolist(), b.tolist())], (kind[a] != WHOLE).tolist())
 
-    row = units.rows_of(keys, text_of)[unit]
-    n, begin = units.size[row], units.begin[row]
+    found = units.store.of(keys.tolist(), made)
+    size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+    n, begin = size[unit], (np.cumsum(size) - size)[unit]
     out_first = np.cumsum(n) - n
     total = int(n.sum())
     at = np.arange(total) - np.repeat(out_first - begin, n)
-    ids = units.pool[at]
+    ids = np.frombuffer(b"".join(found), np.uint32)[at]
     bounds = np.append(out_first, total)[np.searchsorted(starts, text_at)]
     return ids, np.diff(bounds)
 
