@@ -17,6 +17,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     # Quotas go up to 2,100 per group; the default of 1,000 would plan them without a map-side row limit.
     "spark.sql.optimizer.windowGroupLimitThreshold": str(GROUP_LIMIT_THRESHOLD),
+    # Batches of 10,000 rows of long texts are tens of megabytes outside the heap, several times over for each task.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
 }
 
 
