@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .shared import Recent, Shipped, joined, named, run_hashes, slices, written
 
 MOST_PAIRS = 2_000_000
-UNITS_ROOM = 32 << 20
+UNITS_ROOM = 120 << 20
 TOGETHER = 1 << 13
 GALLOP = 4096
 FLUSH = 1 << 20
@@ -182,7 +182,7 @@ def alignments(a_file: str, b_file: str, keep_groups: bool):
     """Task function: one row per document, with its distinct linked pairs and how often it has each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, store, number = Pair(a_file, b_file), Recent(UNITS_ROOM, lambda f: len(f[4]) + len(f[5]) + 300), TaskContext.get().partitionId() << 33
+        pair, store, number = Pair(a_file, b_file), Recent(UNITS_ROOM, lambda f: len(f[4]) + len(f[5]) + 320), TaskContext.get().partitionId() << 33
         word = "<u4" if pair.narrow else "<u8"
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):

@@ -106,21 +106,19 @@ def posting_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     A chunk is a run of a task's rows with about 24 MB of text and fewer than 65,536 rows; its number is (task, counter).
     """
     task, number = TaskContext.get().partitionId(), 0
+    parts, size, held = [], 0, 0
     for batch in batches:
-        parts, size = [], 0
         for part in slices(batch, "text"):
-            if parts and (size + part.num_rows > MOST or len(parts) * (4 << 20) >= CHUNK_BYTES):
-                yield from one_chunk(parts, (task << 33) + number)
-                parts, size, number = [], 0, number + 1
             for at in range(0, part.num_rows, MOST):
-                if at:
+                some = part.slice(at, MOST)
+                if parts and (size + some.num_rows > MOST or held >= CHUNK_BYTES):
                     yield from one_chunk(parts, (task << 33) + number)
-                    parts, size, number = [], 0, number + 1
-                parts.append(part.slice(at, MOST))
-                size += parts[-1].num_rows
-        if parts:
-            yield from one_chunk(parts, (task << 33) + number)
-            number += 1
+                    parts, size, held, number = [], 0, 0, number + 1
+                parts.append(some)
+                size += some.num_rows
+                held += some.nbytes
+    if parts:
+        yield from one_chunk(parts, (task << 33) + number)
 
 
 def one_chunk(parts: list[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:

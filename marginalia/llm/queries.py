@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_secrets, op2_language, op3_licenses, op4_decontaminate, op5_near_dedup, op6_sharding, op7_lattice, op8_neighbours, op9_packing, op10_quality, op13_whitening
+from ..session import configure
+from . import op1_secrets, op2_language, op3_licenses, op4_decontaminate, op5_near_dedup, op6_sharding, op7_lattice, op8_neighbours, op9_packing, op10_quality, op11_alignment, op13_whitening
 from .shared import remainder
 
 SHARDS = 40
@@ -21,7 +22,7 @@ def vocabulary_file(name: str) -> str:
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return configure(spark).read.parquet(f"{sf}/{name}.parquet")
 
 
 def held_out(divisor: int, left: int) -> Column:
@@ -73,6 +74,11 @@ def op10_quality_score(spark: SparkSession, sf: str) -> DataFrame:
     return op10_quality.with_quality(docs, model).select("doc_id", held_out(5, 0), "score", "predicted")
 
 
+def op11_alignment_counts(spark: SparkSession, sf: str) -> DataFrame:
+    files = [vocabulary_file(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return op11_alignment.align_tokenizers(table(spark, sf, "documents"), *files)
+
+
 def op13_whitened(spark: SparkSession, sf: str) -> DataFrame:
     return op13_whitening.whiten(table(spark, sf, "embeddings"))
 
@@ -89,6 +95,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_nearest,
         op9_packed,
         op10_quality_score,
+        op11_alignment_counts,
         op13_whitened,
     )
     return {f.__name__: f for f in made}

@@ -16,7 +16,7 @@ from pyspark.sql.types import StructField, StructType
 from ..session import scratch_folder
 
 SHINGLE_WORDS = 5
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def remainder(doc_id: str | Column, divisor: int) -> Column:
