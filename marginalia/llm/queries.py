@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import op1_secrets, op2_language, op3_licenses, op4_decontaminate, op5_near_dedup, op6_sharding, op7_lattice, op8_neighbours, op9_packing, op10_quality, op11_alignment, op13_whitening
+from . import op1_secrets, op2_language, op3_licenses, op4_decontaminate, op5_near_dedup, op6_sharding, op7_lattice, op8_neighbours, op9_packing, op10_quality, op11_alignment, op12_substrings, op13_whitening
 from .shared import remainder
 
 SHARDS = 40
@@ -79,6 +79,10 @@ def op11_alignment_counts(spark: SparkSession, sf: str) -> DataFrame:
     return op11_alignment.align_tokenizers(table(spark, sf, "documents"), *files)
 
 
+def op12_kept_words(spark: SparkSession, sf: str) -> DataFrame:
+    return op12_substrings.remove_repeats(table(spark, sf, "documents"))
+
+
 def op13_whitened(spark: SparkSession, sf: str) -> DataFrame:
     return op13_whitening.whiten(table(spark, sf, "embeddings"))
 
@@ -96,6 +100,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_packed,
         op10_quality_score,
         op11_alignment_counts,
+        op12_kept_words,
         op13_whitened,
     )
     return {f.__name__: f for f in made}
