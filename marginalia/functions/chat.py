@@ -95,6 +95,12 @@ def prompt_of(text: Name) -> Column:
     return F.when(at > 0, F.left(col(text), at + F.lit(len(ASSISTANT_TAG) - 1)))
 
 
+def prompt_end(text: Name) -> Column:
+    """Code points up to the end of the first assistant tag; null without a tag."""
+    at = F.instr(col(text), ASSISTANT_TAG)
+    return F.when(at > 0, at + F.lit(len(ASSISTANT_TAG) - 1))
+
+
 def rest_of(text: Name) -> Column:
     """Everything after the first assistant tag; null without a tag."""
     at = F.instr(col(text), ASSISTANT_TAG)

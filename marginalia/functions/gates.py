@@ -19,6 +19,7 @@ from .text import (
     line_count,
     target_or_fallback,
 )
+from .unicode import letter_char, upper_char
 
 
 def _flag(condition: Column) -> Column:
@@ -28,12 +29,12 @@ def _flag(condition: Column) -> Column:
 def _sentence(c: Name, min_len: int, weak_starts: tuple[str, ...]) -> Column:
     """At least ``min_len`` characters, upper-case start, sentence end, none of the weak starts."""
     weak, ends = "|".join(weak_starts), "".join(SENTENCE_ENDS)
-    return _flag(F.rlike(col(c), F.lit(rf"(?s)\A(?!{weak})\p{{IsUppercase}}.{{{min_len - 2},}}[{ends}]\z")))
+    return _flag(F.rlike(col(c), F.lit(rf"(?s)\A(?!{weak}){upper_char()}.{{{min_len - 2},}}[{ends}]\z")))
 
 
 def _wordy(text: Column, min_len: int = 10) -> Column:
     """At least ``min_len`` characters, of which the first is a letter."""
-    return _flag(F.rlike(text, F.lit(rf"(?s)\A\p{{L}}.{{{min_len - 1},}}")))
+    return _flag(F.rlike(text, F.lit(rf"(?s)\A{letter_char()}.{{{min_len - 1},}}")))
 
 
 def _within(count: Column, lo: int, hi: int) -> Column:

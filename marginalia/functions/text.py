@@ -15,6 +15,7 @@ from ..constants import (
     UNICODE_SPACES,
     UNSAFE_NAME,
 )
+from . import unicode
 
 Name = Column | str
 
@@ -73,8 +74,13 @@ def summary(c: Name, skip_leading_blank: bool = False) -> Column:
     return F.nullif(F.array_join(once(lines, block), " "), F.lit(""))
 
 
+def lower(c: Name) -> Column:
+    """Lower case with the character tables of Python, which are newer than the JVM's."""
+    return once(col(c), unicode.lower)
+
+
 def eq_ci(a: Name, b: Name) -> Column:
-    return F.lower(col(a)) == F.lower(col(b))
+    return lower(a) == lower(b)
 
 
 def commit_target(
@@ -123,7 +129,7 @@ def line_count(c: Name) -> Column:
 
 def safe_name(c: Name) -> Column:
     """Lower-case folder name; runs of unsafe characters become one underscore."""
-    return F.regexp_replace(F.lower(col(c)), UNSAFE_NAME, "_")
+    return F.regexp_replace(lower(c), UNSAFE_NAME, "_")
 
 
 def content_hash(c: Name) -> Column:
@@ -141,11 +147,11 @@ def preview_text(c: Name, n: int, ellipsis: bool = False) -> Column:
 
 
 def starts_upper(c: Name) -> Column:
-    return F.rlike(col(c), F.lit(r"^\p{IsUppercase}"))
+    return F.rlike(col(c), F.lit("^" + unicode.upper_char()))
 
 
 def starts_alpha(c: Name) -> Column:
-    return F.rlike(col(c), F.lit(r"^\p{L}"))
+    return F.rlike(col(c), F.lit("^" + unicode.letter_char()))
 
 
 def starts_any(c: Name, prefixes: Iterable[str]) -> Column:
@@ -164,7 +170,7 @@ def _any(conditions: Iterable[Column]) -> Column:
 
 
 def language_norm(c: Name, default: str = "code") -> Column:
-    return F.lower(F.coalesce(F.nullif(col(c), F.lit("")), F.lit(default)))
+    return lower(F.coalesce(F.nullif(col(c), F.lit("")), F.lit(default)))
 
 
 def fixed(c: Name, digits: int) -> Column:

@@ -23,6 +23,36 @@ def valid_label(label: Column) -> Column:
     return label.isNotNull() & (label != IGNORE_LABEL)
 
 
+# A double is cut into bins of these bits behind the binary point; each bin is a whole number, and their sums are exact.
+BINS = (16, 39, 62)
+
+
+def exact_sum(value: Column, only: Column | None = None) -> Column:
+    """Sum of doubles that does not depend on the order or the partitioning of the rows, not even in its last bit.
+
+    Each value is taken apart into three whole numbers (parts down to 2^-16, 2^-39 and 2^-62; what is finer is dropped), whose
+    sums are exact for up to 2^40 rows of values below 2^22 (a sum beyond a long is an error, never a wrong result). Values
+    that are not finite make the sum so too. Nulls and rows without ``only`` are left out; without any value the sum is null.
+    """
+    value = value if only is None else F.when(only, value)
+    finite = F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
+    parts, rest, before = [], finite, 0
+    for bits in BINS:
+        scaled = rest * F.lit(float(1 << (bits - before)))
+        whole = F.floor(scaled)
+        parts.append(F.sum(whole) / F.lit(float(1 << bits)))
+        rest, before = scaled - whole, bits
+    other = F.sum(F.when(finite.isNull(), value))  # null, NaN or infinite
+    total = parts[0] + (parts[1] + parts[2])
+    return F.when(other.isNull(), total).otherwise(other)
+
+
+def exact_avg(value: Column, only: Column | None = None) -> Column:
+    """Mean of the values that are not null, from their exact sum."""
+    value = value if only is None else F.when(only, value)
+    return exact_sum(value) / F.nullif(F.count(value), F.lit(0))
+
+
 @dataclass(frozen=True)
 class UnigramFit:
     """``label, n`` of the scored train labels, their total, and the number of ids there are."""
@@ -83,7 +113,7 @@ def row_loss(losses: DataFrame, keys: Sequence[str] = ("model", *ROW_KEYS)) -> D
     """
     scored = valid_label(F.col("label"))
     return losses.groupBy(*keys).agg(
-        (F.sum(F.when(scored, F.col("loss")).otherwise(0.0)) / (F.count_if(scored) + F.lit(LOSS_EPSILON))).alias("row_loss"),
+        (F.coalesce(exact_sum(F.col("loss"), scored), F.lit(0.0)) / (F.count_if(scored) + F.lit(LOSS_EPSILON))).alias("row_loss"),
         F.count_if(scored).alias("tokens"),
     )
 
@@ -96,20 +126,16 @@ def scored_labels() -> Column:
 def score_rows(evaluated: DataFrame, fit: UnigramFit, alphas: Sequence[float], keys: Sequence[str] = ROW_KEYS) -> DataFrame:
     """The same row means from the label arrays: ``losses`` has one value per alpha, one row per row of ``evaluated``.
 
-    A row's labels are counted once, the counts meet the fit in one join for all alphas, and a row without any scored
-    label stays with losses of 0.
+    ``keys`` name a row. Its labels are counted once, the counts meet the fit in one join for all alphas, and a row without any
+    scored label stays with losses of 0.
     """
-    rows = evaluated.select(*keys, scored_labels().alias("_scored")).withColumn("_row", F.monotonically_increasing_id())
-    counted = rows.select("_row", *keys, F.explode_outer("_scored").alias("label")).groupBy("_row", *keys, "label").agg(F.count(F.lit(1)).alias("_m"))
+    rows = evaluated.select(*keys, scored_labels().alias("_scored"))
+    counted = rows.select(*keys, F.explode_outer("_scored").alias("label")).groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("_m"))
     met = counted.withColumn("label", fit.checked(F.col("label"))).join(fit.counts, "label", "left")
     some = F.col("label").isNotNull()
     tokens = F.coalesce(F.sum(F.when(some, F.col("_m"))), F.lit(0))
-    sums = [F.coalesce(F.sum(F.when(some, F.col("_m") * fit.loss(F.col("n"), a))), F.lit(0.0)) for a in alphas]
-    return (
-        met.groupBy("_row", *keys)
-        .agg(F.array(*[x / (tokens + F.lit(LOSS_EPSILON)) for x in sums]).alias("losses"), tokens.cast("int").alias("tokens"))
-        .drop("_row")
-    )
+    sums = [F.coalesce(exact_sum(F.col("_m") * fit.loss(F.col("n"), a), some), F.lit(0.0)) for a in alphas]
+    return met.groupBy(*keys).agg(F.array(*[x / (tokens + F.lit(LOSS_EPSILON)) for x in sums]).alias("losses"), tokens.cast("int").alias("tokens"))
 
 
 def uniform_row_loss(vocab_size: int, tokens: Column) -> Column:
@@ -122,11 +148,14 @@ def perplexity(ce: Column) -> Column:
 
 
 def ce_ppl(rows: DataFrame, by: Sequence[str] = (), weight: str = "row") -> DataFrame:
-    """``count, avg_ce, perplexity`` per group. Each row weighs the same, or each token with ``weight="token"``."""
+    """``count, avg_ce, perplexity`` per group, the same to the last bit however the rows are partitioned.
+
+    Each row weighs the same, or each token with ``weight="token"``.
+    """
     if weight == "token":
-        ce = F.sum(F.col("row_loss") * (F.col("tokens") + F.lit(LOSS_EPSILON))) / F.nullif(F.sum("tokens"), F.lit(0))
+        ce = exact_sum(F.col("row_loss") * (F.col("tokens") + F.lit(LOSS_EPSILON))) / F.nullif(F.sum("tokens"), F.lit(0))
     else:
-        ce = F.avg("row_loss")
+        ce = exact_avg(F.col("row_loss"))
     return (
         rows.groupBy(*by)
         .agg(F.count(F.lit(1)).alias("count"), F.coalesce(ce, F.lit(0.0)).alias("avg_ce"))
@@ -145,8 +174,8 @@ def ce_by_dataset(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def model_summary(rows: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
     """Validation and test side by side, best test result first. A split without rows gives null."""
-    val = F.avg(F.when(F.col("split") == "validation", F.col("row_loss")))
-    test = F.avg(F.when(F.col("split") == "test", F.col("row_loss")))
+    val = exact_avg(F.col("row_loss"), F.col("split") == "validation")
+    test = exact_avg(F.col("row_loss"), F.col("split") == "test")
     summary = rows.groupBy(*by).agg(val.alias("val_ce"), test.alias("test_ce"))
     return summary.select(
         *by,

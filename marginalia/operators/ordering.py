@@ -33,6 +33,13 @@ def shuffle_key(key: str | Column, seed: int = SEED) -> Column:
 _COMBINE = {"sum": F.sum, "max": F.max}
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """The table written to the shared scratch folder and read from there, so that it is worked out once."""
+    path = scratch_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _before(by: Sequence[str], order: str):
     return W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
 
@@ -57,9 +64,7 @@ def carry_table(
         .groupBy(*by, "_b1")
         .agg(*[_COMBINE[how](expr).alias(name) for name, (expr, how) in measures.items()])
     )
-    path = scratch_folder(df.sparkSession)
-    totals.write.parquet(path)
-    level = df.sparkSession.read.schema(totals.schema).parquet(path)
+    level = _kept(totals)
     result = None
     for n in (1, 2, 3):
         here, above = f"_b{n}", f"_b{n + 1}"
@@ -116,18 +121,51 @@ def with_running_max(
 def with_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
     """1-based rank of each row in the order of the whole table (the order must be total).
 
-    Rows are dealt to sampled ranges of the order and written, so the ranges stay what they are; each range is ranked by
-    itself and gets the number of rows before it. One row per range meets in one place.
+    The rows are worked out and written once, as ranges are sampled from them before they are dealt. Dealt rows are written
+    too, so the ranges stay what they are; each range is ranked by itself and gets the number of rows before it. One row per
+    range meets in one place.
     """
-    path = scratch_folder(df.sparkSession)
-    df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).write.parquet(path)
-    placed = df.sparkSession.read.parquet(path)
+    placed = _kept(_kept(df).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
     offsets = sizes.select("_part", F.coalesce(F.sum("_rows").over(_before([], "_part")), F.lit(0)).alias("_offset"))
     rank = F.row_number().over(W.partitionBy("_part").orderBy(*order)) + F.col("_offset")
     return placed.join(F.broadcast(offsets), "_part").withColumn(name, rank).drop("_part", "_offset")
 
 
+# ---------------------------------------------------------------------------------------------------------
+# Quantiles
+# ---------------------------------------------------------------------------------------------------------
+def exact_quantiles(df: DataFrame, values: Mapping[str, Column], by: Sequence[str], permilles: Sequence[int]) -> DataFrame:
+    """``by, measure, rows, p<permille / 10>...``: exact discrete quantiles of whole numbers, one row per group and measure.
+
+    The quantile at p permille of n values is the one with rank ceil(n p / 1000), at least 1. Rows are counted per group and
+    value with a map-side part; running counts over that histogram (by buckets of 65,536 values) tell which value holds a
+    rank. No row is sorted and no group meets in one task. Null values count as rows, not as values; a group without values
+    has null quantiles.
+    """
+    by = list(by)
+    listed = F.explode(F.array(*[F.struct(F.lit(name).alias("measure"), v.cast("bigint").alias("_value")) for name, v in values.items()]))
+    keys = [*by, "measure"]
+    counted = df.select(*by, listed.alias("_m")).select(*by, "_m.measure", "_m._value").groupBy(*keys, "_value").agg(F.count(F.lit(1)).alias("_n"))
+    histogram = _kept(counted)
+    known = F.when(F.col("_value").isNotNull(), F.col("_n")).otherwise(F.lit(0))
+    totals = histogram.groupBy(*keys).agg(F.sum("_n").alias("rows"), F.sum(known).alias("_all"))
+    carry = carry_table(histogram, keys, "_value", {"_offset": (known, "sum")})
+    inside = W.partitionBy(*keys, "_bucket").orderBy("_value").rowsBetween(W.unboundedPreceding, 0)
+    running = (
+        join_null_safe(histogram.withColumn("_bucket", F.shiftright("_value", BUCKET_BITS)), carry, [*keys, "_bucket"])
+        .withColumn("_upto", F.sum(known).over(inside) + F.col("_offset"))
+        .drop("_bucket", "_offset")
+    )
+    placed = join_null_safe(running, totals, keys)
+    quantiles = []
+    for p in permilles:
+        rank = F.greatest(F.expr(f"(_all * {int(p)} + 999) div 1000"), F.lit(1))
+        here = (F.col("_upto") >= rank) & (F.col("_upto") - known < rank)
+        quantiles.append(F.max(F.when(here, F.col("_value"))).alias("p" + f"{p / 10:g}".replace(".", "_")))
+    return placed.groupBy(*keys, "rows").agg(*quantiles)
+
+
 # ---------------------------------------------------------------------------------------------------------
 # Hash order
 # ---------------------------------------------------------------------------------------------------------

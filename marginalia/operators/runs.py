@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .metrics import fit_unigram, perplexity, score_rows
+from .metrics import ROW_KEYS, exact_avg, fit_unigram, perplexity, score_rows
 from .ordering import first_k, with_running_max
 
 METRICS = ("loss", "eval_loss", "learning_rate")
@@ -73,14 +73,15 @@ def grid(spark: SparkSession, **axes: Sequence) -> DataFrame:
     return with_grid(spark.range(1), **axes).drop("id")
 
 
-def sweep(train: DataFrame, evaluated: DataFrame, vocab_size: int, alphas: Sequence[float], by: Sequence[str] = ("split",)) -> DataFrame:
+def sweep(train: DataFrame, evaluated: DataFrame, vocab_size: int, alphas: Sequence[float], by: Sequence[str] = ("split",), keys: Sequence[str] = ROW_KEYS) -> DataFrame:
     """``alpha, count, avg_ce, perplexity`` per group for all values of the sweep, in one pass.
 
-    Each row is scored for all values at once; only the few result rows are multiplied by the grid.
+    ``keys`` name a row and hold ``by``. Each row is scored for all values at once; only the few result rows are multiplied by
+    the grid.
     """
-    scored = score_rows(evaluated, fit_unigram(train, vocab_size), alphas, by)
+    scored = score_rows(evaluated, fit_unigram(train, vocab_size), alphas, keys)
     means = scored.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("count"), *[F.avg(F.get("losses", F.lit(i))).alias(f"_a{i}") for i in range(len(alphas))]
+        F.count(F.lit(1)).alias("count"), *[exact_avg(F.get("losses", F.lit(i))).alias(f"_a{i}") for i in range(len(alphas))]
     )
     rows = F.array(*[F.struct(F.lit(float(a)).alias("alpha"), F.col(f"_a{i}").alias("avg_ce")) for i, a in enumerate(alphas)])
     return (

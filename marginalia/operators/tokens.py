@@ -9,11 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..constants import EVAL_BATCH_SIZE, IGNORE_LABEL, MAX_TOKENS
-from ..functions.chat import has_tag, prompt_of
+from ..constants import BROADCAST_ROW_BOUND, EVAL_BATCH_SIZE, IGNORE_LABEL, MAX_TOKENS
+from ..functions.chat import has_tag, prompt_end, prompt_of
 from ..functions.text import Name, col
-from .bounds import join_null_safe
-from .ordering import with_position, with_rank
+from .ordering import exact_quantiles, with_position, with_rank
 
 # Tags, the newline, words, and any other visible character by itself. A newline is always a token of its own, so the
 # tokens of a prompt (which ends with one) are a prefix of the tokens of the full text.
@@ -22,12 +21,19 @@ PAD_ID, UNKNOWN_ID = 0, 1
 RESERVED = (("<pad>", PAD_ID), ("<unk>", UNKNOWN_ID))
 
 
-def token_list(text: Name) -> Column:
-    return F.regexp_extract_all(col(text), F.lit(TOKEN_PATTERN), F.lit(0))
+# What the pattern above skips. With it in front, the matches of a text lie end to end, so their lengths add up to places.
+SKIPPED = r"[ \t\r\f\x0b]*"
+# White space belongs to the word after it, as in byte-level subword vocabularies: such a token can begin before the end of a
+# prompt and end after it.
+LEADING_SPACE_PATTERN = r"\s*[^\s]+"
 
 
-def token_count(text: Name) -> Column:
-    return F.regexp_count(col(text), F.lit(TOKEN_PATTERN))
+def token_list(text: Name, pattern: str = TOKEN_PATTERN) -> Column:
+    return F.regexp_extract_all(col(text), F.lit(pattern), F.lit(0))
+
+
+def token_count(text: Name, pattern: str = TOKEN_PATTERN) -> Column:
+    return F.regexp_count(col(text), F.lit(pattern))
 
 
 @dataclass(frozen=True)
@@ -35,40 +41,75 @@ class TokenSource:
     """How text becomes ids: ``ids(text, max_len)`` gives at most ``max_len`` ids, ``count(text)`` their full number.
 
     For a caller with a tokenizer of their own (column functions or Pandas UDFs). ``VocabularySource`` is the default.
+    ``ends(text, max_len)``, if the tokenizer can tell, gives the code point after each token.
     """
 
     ids: Callable[[Column, int], Column]
     count: Callable[[Column], Column] = token_count
+    ends: Callable[[Column, int], Column] | None = None
 
 
 @dataclass(frozen=True)
 class VocabularySource:
-    """Ids from a vocabulary table of any size (``token, id``); tokens it does not have get the unknown id."""
+    """Ids from a vocabulary table of any size (``token, id``); tokens it does not have get the unknown id.
 
-    vocab: DataFrame
-    count: Callable[[Column], Column] = token_count
+    Ids follow the count, so the tokens with an id below the broadcast bound are the frequent ones, and they are no more rows
+    than that. They meet the text in a broadcast join, and no token is shuffled. Only if the vocabulary has more, the tokens
+    that were not found, rare ones all of them, meet the rest in a shuffled join.
+    """
 
-    def encode(self, df: DataFrame, max_len: int, keys: Sequence[str]) -> DataFrame:
-        """Add ``input_ids``. ``keys`` name a row.
+    vocab: DataFrame
+    pattern: str = TOKEN_PATTERN
+    skipped: str = SKIPPED
+    bound: int = BROADCAST_ROW_BOUND
 
-        Texts are cut to ``max_len`` tokens before tokens become rows; those meet the vocabulary in an equi-join that
-        adaptive execution splits where a token is frequent, and the arrays are put together again by row and position.
-        """
-        placed = df.select(*keys, F.posexplode(F.slice(token_list("text"), 1, max_len)).alias("_pos", "token"))
-        found = placed.join(self.vocab.select("token", "id"), "token", "left")
-        entry = F.struct("_pos", F.coalesce("id", F.lit(UNKNOWN_ID)).alias("id"))
-        ids = found.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("_ids"))
-        joined = join_null_safe(df, ids, list(keys), "left")
-        made = F.transform(F.coalesce("_ids", F.array().cast("array<struct<_pos:int,id:int>>")), lambda x: x["id"])
-        return joined.withColumn("input_ids", F.when(F.col("text").isNotNull(), made)).drop("_ids")
+    def count(self, text: Name) -> Column:
+        return token_count(text, self.pattern)
 
+    def ids(
+        self, df: DataFrame, max_len: int, keys: Sequence[str], carried: Sequence[str] = (), ends: bool = False, dealt: bool = False
+    ) -> DataFrame:
+        """``keys``, ``carried`` (narrow columns that follow from the keys), ``input_ids`` and, on request, ``token_ends``.
 
-def build_vocab(df: DataFrame, text: str = "text") -> DataFrame:
+        ``keys`` name a row. The texts move once, to their keys, and are cut to ``max_len`` tokens there; the tokens become
+        rows, meet the vocabulary and become arrays again where they are. ``dealt`` says that ``df`` is partitioned by some of
+        its keys already. ``token_ends`` are places after the tokens, in code points.
+        """
+        names = [*keys, *carried]
+        rows = df if dealt else df.repartition(*[F.col(k) for k in keys])
+        piece = F.regexp_extract_all("text", F.lit(self.skipped + f"(?:{self.pattern})"), F.lit(0)) if ends else token_list("text", self.pattern)
+        some = F.col("text").isNotNull().alias("_some")
+        placed = rows.select(*names, some, F.posexplode_outer(F.slice(piece, 1, max_len)).alias("_pos", "_piece"))
+        entry = [F.col("_pos")]
+        if ends:
+            before = W.partitionBy(*names).orderBy("_pos").rowsBetween(W.unboundedPreceding, 0)
+            placed = placed.withColumn("_end", F.sum(F.length("_piece")).over(before).cast("int"))
+            entry.append(F.col("_end"))
+        token = F.regexp_extract("_piece", f"^{self.skipped}((?s:.*))$", 1) if ends and self.skipped else F.col("_piece")
+        placed = placed.withColumn("token", token).drop("_piece")
+        head = F.broadcast(self.vocab.where(F.col("id") < self.bound).select("token", "id"))
+        found = placed.join(head, "token", "left")
+        tail = self.vocab.where(F.col("id") >= self.bound).select("token", "id")
+        if not tail.isEmpty():
+            known = F.col("id").isNotNull() | F.col("token").isNull()
+            rest = found.where(~known).drop("id").join(tail, "token", "left")
+            found = found.where(known).unionByName(rest)
+        made = F.struct(*entry, F.coalesce("id", F.lit(UNKNOWN_ID)).alias("id"))
+        lists = found.groupBy(*names, "_some").agg(F.sort_array(F.collect_list(F.when(F.col("token").isNotNull(), made))).alias("_ids"))
+
+        def arrays(field: str) -> Column:
+            return F.when(F.col("_some"), F.transform("_ids", lambda x: x[field]))
+
+        more = [arrays("_end").alias("token_ends")] if ends else []
+        return lists.select(*names, arrays("id").alias("input_ids"), *more)
+
+
+def build_vocab(df: DataFrame, text: str = "text", pattern: str = TOKEN_PATTERN) -> DataFrame:
     """``token, id, count`` for every distinct token; ids follow count (descending), then token.
 
     Tokens are counted map-side first; ids come from a distributed rank. Nothing is cut off.
     """
-    counts = df.select(F.explode(token_list(text)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("count"))
+    counts = df.select(F.explode(token_list(text, pattern)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("count"))
     ranked = with_rank(counts, [F.desc("count"), F.asc("token")], "id")
     made = ranked.select("token", (F.col("id") + F.lit(len(RESERVED) - 1)).cast("int").alias("id"), "count")
     reserved = df.sparkSession.createDataFrame([(t, i, 0) for t, i in RESERVED], "token string, id int, count bigint")
@@ -82,31 +123,70 @@ def vocabulary_source(vocab: DataFrame) -> VocabularySource:
 def tokenize(
     df: DataFrame, source: TokenSource | VocabularySource, max_len: int = MAX_TOKENS, keys: Sequence[str] = ("ord",)
 ) -> DataFrame:
-    """Add ``input_ids``, cut to ``max_len``, and ``attention_mask``. ``keys`` name a row (for a vocabulary table)."""
+    """Add ``input_ids``, cut to ``max_len``, and ``attention_mask``. ``keys`` name a row (for a vocabulary table).
+
+    With a vocabulary table the other columns meet the arrays again in a join by the keys; who needs only narrow ones, takes
+    them along with ``VocabularySource.ids``.
+    """
     if isinstance(source, VocabularySource):
-        ids = source.encode(df, max_len, keys)
+        # one struct as the key: null keys are equal inside of it, and the join finds the arrays dealt by it
+        named = df.withColumn("_row", F.struct(*keys))
+        ids = named.join(source.ids(named, max_len, ["_row"]), "_row").drop("_row")
     else:
         ids = df.withColumn("input_ids", source.ids(F.col("text"), max_len))
-    return ids.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids")))
+    return with_attention(ids)
 
 
-def mask_prompt(df: DataFrame, source: TokenSource | VocabularySource | None = None, no_tag: str = "error") -> DataFrame:
-    """Add ``labels``: the ids with everything up to and including the assistant tag set to -100.
+def with_attention(df: DataFrame) -> DataFrame:
+    return df.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids")))
 
-    Text without a tag is an error, or is masked as a whole with ``no_tag="mask_all"``.
-    """
+
+def masked_labels(cut: Column, tagged: Column, no_tag: str) -> Column:
+    """The ids with the first ``cut`` set to -100; where there is no tag, an error or all of them."""
     if no_tag not in ("error", "mask_all"):
         raise ValueError(f"no_tag must be 'error' or 'mask_all', not {no_tag!r}")
-    count = (source or TokenSource(lambda text, n: token_list(text))).count
-    size, cut = F.size("input_ids"), F.col("_cut")
+    size = F.size("input_ids")
+    cut = F.least(cut, size)
     masked = F.concat(F.array_repeat(F.lit(IGNORE_LABEL), cut), F.slice("input_ids", cut + 1, size))
     untagged = (
         F.array_repeat(F.lit(IGNORE_LABEL), size)
         if no_tag == "mask_all"
         else F.raise_error(F.lit("assistant tag not found")).cast("array<int>")
     )
-    counted = df.withColumn("_cut", F.least(count(prompt_of("text")), size))
-    return counted.withColumn("labels", F.when(has_tag("text"), masked).otherwise(untagged)).drop("_cut")
+    return F.when(tagged, masked).otherwise(untagged)
+
+
+def mask_prompt(df: DataFrame, source: TokenSource | VocabularySource | None = None, no_tag: str = "error") -> DataFrame:
+    """Add ``labels``: the ids with everything up to and including the assistant tag set to -100.
+
+    The prompt is tokenised by itself, and as many ids are masked as it has tokens. Text without a tag is an error, or is
+    masked as a whole with ``no_tag="mask_all"``.
+    """
+    count = source.count if source else token_count
+    return df.withColumn("labels", masked_labels(count(prompt_of("text")), has_tag("text"), no_tag))
+
+
+def mask_by_offsets(df: DataFrame, no_tag: str = "error") -> DataFrame:
+    """Add ``labels`` by the tokens' places (``token_ends``): -100 for every token that ends with the tag or before it.
+
+    This holds for any tokenizer. A token that begins in the tag and ends after it carries the first of the answer and
+    keeps its label. ``df`` has ``prompt_end``, the place after the tag, or null without a tag.
+    """
+    ends = F.size(F.filter("token_ends", lambda end: end <= F.col("prompt_end")))
+    return df.withColumn("labels", masked_labels(ends, F.col("prompt_end").isNotNull(), no_tag))
+
+
+def tokens_with_ends(
+    df: DataFrame, source: TokenSource | VocabularySource, max_len: int = MAX_TOKENS, keys: Sequence[str] = ("ord",)
+) -> DataFrame:
+    """``keys, prompt_end, input_ids, token_ends``: what ``mask_by_offsets`` needs."""
+    placed = df.withColumn("prompt_end", prompt_end("text"))
+    if isinstance(source, VocabularySource):
+        return source.ids(placed, max_len, keys, ["prompt_end"], ends=True)
+    if source.ends is None:
+        raise ValueError("the token source does not tell where its tokens end")
+    text = F.col("text")
+    return placed.select(*keys, "prompt_end", source.ids(text, max_len).alias("input_ids"), source.ends(text, max_len).alias("token_ends"))
 
 
 def arrays_only(df: DataFrame, keys: Sequence[str] = ("ord",)) -> DataFrame:
@@ -136,7 +216,7 @@ def pad_to(df: DataFrame, pad_id: int = PAD_ID) -> DataFrame:
 
 def token_profile(df: DataFrame, by: Sequence[str] = ("split",), max_len: int = MAX_TOKENS, source: TokenSource | VocabularySource | None = None) -> DataFrame:
     """Lengths of chat rows in tokens, the share cut at ``max_len`` and the share left without any label."""
-    count = (source or TokenSource(lambda text, n: token_list(text))).count
+    count = source.count if source else token_count
     sized = df.select(*by, count(F.col("text")).alias("tokens"), F.coalesce(count(prompt_of("text")), F.lit(0)).alias("prompt"))
     no_label = F.least("prompt", F.lit(max_len)) >= F.least("tokens", F.lit(max_len))
     return sized.groupBy(*by).agg(
@@ -148,3 +228,23 @@ def token_profile(df: DataFrame, by: Sequence[str] = ("split",), max_len: int =
         F.avg((F.col("tokens") > max_len).cast("int")).alias("share_truncated"),
         F.avg(no_label.cast("int")).alias("share_without_label"),
     )
+
+
+LENGTHS = ("tokens", "prompt", "target")
+PERMILLES = (500, 900, 990, 999)
+
+
+def token_percentiles(
+    df: DataFrame,
+    by: Sequence[str] = ("split",),
+    permilles: Sequence[int] = PERMILLES,
+    source: TokenSource | VocabularySource | None = None,
+) -> DataFrame:
+    """``by, measure, rows, p50, p90, ...``: exact percentiles of the tokens of chat rows, of their prompts and of their targets.
+
+    They tell how much a cut loses. A text without a tag has no prompt and is all target, as in ``token_profile``.
+    """
+    count = source.count if source else token_count
+    sized = df.select(*by, count(F.col("text")).alias("tokens"), F.coalesce(count(prompt_of("text")), F.lit(0)).alias("prompt"))
+    values = {"tokens": F.col("tokens"), "prompt": F.col("prompt"), "target": F.col("tokens") - F.col("prompt")}
+    return exact_quantiles(sized, values, by, permilles)

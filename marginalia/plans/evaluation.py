@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..constants import EVAL_BATCH_SIZE, MAX_TOKENS
+from ..functions.chat import prompt_of
 from ..operators.metrics import fit_unigram, score_rows, uniform_row_loss
 from ..operators.tokens import (
     TokenSource,
@@ -16,19 +17,36 @@ from ..operators.tokens import (
     assign_batches,
     build_vocab,
     mask_prompt,
+    masked_labels,
     pad_to,
     tokenize,
     vocabulary_source,
+    with_attention,
 )
 
 EVAL_KEYS = ("dataset", "language", "split", "row_id")
 
 
 def token_table(
-    chat: DataFrame, source: TokenSource | VocabularySource, keys: Sequence[str] = EVAL_KEYS, max_len: int = MAX_TOKENS, no_tag: str = "error"
+    chat: DataFrame,
+    source: TokenSource | VocabularySource,
+    keys: Sequence[str] = EVAL_KEYS,
+    max_len: int = MAX_TOKENS,
+    no_tag: str = "error",
+    dealt: bool = False,
 ) -> DataFrame:
-    """Chat rows as ``input_ids, attention_mask, labels``; the text is dropped. ``keys`` name a row."""
-    tokens = mask_prompt(tokenize(chat, source, max_len, keys), source, no_tag)
+    """Chat rows as ``input_ids, attention_mask, labels``; the text is dropped. ``keys`` name a row.
+
+    With a vocabulary table the prompt is counted before the text becomes tokens, so the text moves once (not at all if
+    ``chat`` is partitioned by some of the keys, ``dealt``), and the arrays never do.
+    """
+    if isinstance(source, VocabularySource):
+        sized = chat.select(*keys, "text", source.count(prompt_of("text")).alias("_cut"))
+        ids = with_attention(source.ids(sized, max_len, keys, ["_cut"], dealt=dealt))
+        labels = masked_labels(F.col("_cut"), F.col("_cut").isNotNull(), no_tag)
+        tokens = ids.withColumn("labels", labels)
+    else:
+        tokens = mask_prompt(tokenize(chat, source, max_len, keys), source, no_tag)
     return tokens.select(*keys, "input_ids", "attention_mask", "labels")
 
 
@@ -49,14 +67,15 @@ def padded_batches(
     """Chat rows as padded batches: ``by, order, batch_id`` and the three arrays.
 
     Batch numbers and lengths are worked out on narrow rows (keys and token counts). The text moves once, to meet
-    them; the arrays, several times the size of the text, are made afterwards and never move.
+    them; the arrays, several times the size of the text, are made where it is.
     """
     length = F.least(source.count(F.col("text")), F.lit(max_len)).alias("longest")
     batched = assign_batches(chat.select(*by, order, length), size, order, by)
     in_batch = W.partitionBy(*by, "batch_id")
     placed = batched.select(order, "batch_id", F.max("longest").over(in_batch).alias("longest"))
-    tokens = token_table(chat.join(placed, order), source, [*by, order, "batch_id", "longest"], max_len, no_tag)
-    return pad_to(tokens)
+    # the join deals the texts by their order value, so the arrays can be put together there
+    met = chat.join(placed.hint("shuffle_merge"), order)
+    return pad_to(token_table(met, source, [*by, order, "batch_id", "longest"], max_len, no_tag, dealt=True))
 
 
 def row_losses(

@@ -24,7 +24,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def code_rows(spark: SparkSession, sf: str) -> DataFrame:
     """``ord, language, code, docstring``; four docstring shapes. A table of few files is spread over the cores."""
-    documents = spread_scan(table(spark, sf, "documents"), "doc_id")
+    return code_columns(spread_scan(table(spark, sf, "documents"), "doc_id"))
+
+
+def code_columns(documents: DataFrame) -> DataFrame:
     first = F.split_part("text", F.lit("\n"), F.lit(1))
     shape = F.col("doc_id") % 4
     docstring = (

@@ -556,5 +556,31 @@ QUERIES |= {
 }
 
 
+LEADING = "\\s*[^\\s]+"
+QUERIES |= {
+    "g_stream_clean": "select ord, language, code, docstring from cleaned_code",
+    "t7_percentiles": f"""select language, split, measure, count(*) as rows, cast(quantile_disc(v, 0.5) as bigint) as p50,
+        cast(quantile_disc(v, 0.9) as bigint) as p90, cast(quantile_disc(v, 0.99) as bigint) as p99,
+        cast(quantile_disc(v, 0.999) as bigint) as p99_9 from (
+          select language, split, 'tokens' as measure, tokens as v from ({SIZED}) union all
+          select language, split, 'prompt', prompt from ({SIZED}) union all
+          select language, split, 'target', tokens - prompt from ({SIZED})) group by language, split, measure""",
+    "t2_mask_offsets": f"""select * from (with
+      places as (select ord, split, toks, pos, token, sum(length(token)) over (partition by ord order by pos) as upto,
+          instr(text, {lit(TAG)}) + {len(TAG) - 1} as tag_end from (
+        select ord, split, text, toks, unnest(toks) as token, generate_subscripts(toks, 1) as pos from (
+          select ord, split, text, regexp_extract_all(text, '{LEADING}') as toks from chats))),
+      pieces as (select token, cast(row_number() over (order by n desc, token) + 1 as int) as id from (
+        select token, count(*) as n from places where split = 'train' group by token))
+      select ord, array_to_string(list(upto order by pos), ',') as token_ends,
+        array_to_string(list(case when upto <= tag_end then -100 else coalesce(id, 1) end order by pos), ',') as labels
+      from places left join pieces using (token) where pos <= 1536 group by ord)""",
+    "r4_pass_through": f"""select ord, source, split, language, coalesce(code, message) as text from mixed_split where split = 'train'
+        union all select ord, source, split, language, {MIXED_CHATS['final_mixed']} as text from (
+        select *, bool_or(ok) over (partition by split) as passes from (
+          select *, {G11} and split <> 'validation' as ok from mixed_split where split <> 'train')) where ok or not passes""",
+}
+
+
 def oracle_queries() -> dict[str, str]:
     return {name: sql(text) for name, text in QUERIES.items()}

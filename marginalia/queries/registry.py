@@ -29,6 +29,7 @@ from ..plans.commit_corpus import clean_commits, compact_commits
 from ..plans.evaluation import padded_batches, row_losses, token_table, train_source
 from ..session import configure, scratch_folder
 from ..sources import corpora as S
+from ..streaming.ingest import clean_available
 from . import inputs as I
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,7 +82,7 @@ _code_text(
     head=lambda: T.preview_text("code", 800),
     cut=lambda: T.preview_text("code", 400, ellipsis=True),
 )
-_commit_text("c12_eq_ci", same=lambda: T.eq_ci("subject", "message"), lowered=lambda: F.lower("subject"))
+_commit_text("c12_eq_ci", same=lambda: T.eq_ci("subject", "message"), lowered=lambda: T.lower("subject"))
 
 
 @query("c3_fallback")
@@ -162,6 +163,16 @@ def _(spark, sf):
     return FL.for_language(I.code_rows(spark, sf), "fr").select("ord", "language", "code")
 
 
+@query("g_stream_clean")
+def _(spark, sf):
+    """Cleaning as the files come in; the second run goes on from the checkpoint of the first and finds nothing new."""
+    # a pattern, as the table can be one file or a folder of files
+    path, state, source = scratch_folder(spark), scratch_folder(spark), f"{sf}/documents.parque[t]"
+    for _run in range(2):
+        clean_available(spark, source, lambda docs: clean_code(I.raw_code(I.code_columns(docs))), path, state, partition_by=["language"])
+    return S.read_corpus(spark, path).select("ord", "language", "code", "docstring")
+
+
 @query("g14_gate_report")
 def _(spark, sf):
     gates = {
@@ -436,6 +447,14 @@ def _(spark, sf):
     return C.ensure_chat(mixed, G.good_example_relaxed() & (F.col("split") != "validation"), "final_mixed")
 
 
+@query("r4_pass_through")
+def _(spark, sf):
+    """A table of which the train split has chat text already (here: the bare code) and the others do not."""
+    mixed = P.with_fields(I.mixed_rows(I.saved_code(spark, sf), I.saved_commits(spark, sf)), P.COMMIT_FIELDS)
+    ready = mixed.withColumn("text", F.when(F.col("split") == "train", F.coalesce("code", "message")))
+    return C.ensure_chat(ready, G.good_example_relaxed() & (F.col("split") != "validation"), "final_mixed")
+
+
 def _chat(spark: SparkSession, sf: str) -> DataFrame:
     """Chat rows of the code corpus, with split and normalised language."""
     rows = I.saved_code(spark, sf)
@@ -502,6 +521,16 @@ def _(spark, sf):
     return _tokens(spark, sf).select("ord", joined("labels").alias("labels"))
 
 
+@query("t2_mask_offsets")
+def _(spark, sf):
+    """Tokens that begin with white space: the first one of the answer begins in the tag, and keeps its label."""
+    chat = _chat(spark, sf)
+    vocab = TK.build_vocab(chat.where("split = 'train'"), pattern=TK.LEADING_SPACE_PATTERN)
+    source = TK.VocabularySource(S.materialize(vocab), TK.LEADING_SPACE_PATTERN, skipped="")
+    masked = TK.mask_by_offsets(TK.tokens_with_ends(chat, source))
+    return masked.select("ord", joined("token_ends").alias("token_ends"), joined("labels").alias("labels"))
+
+
 @query("t3_no_tag")
 def _(spark, sf):
     chat = _chat(spark, sf)
@@ -549,6 +578,11 @@ def _(spark, sf):
     return profile.withColumns({c: F.round(c, 6) for c in shares})
 
 
+@query("t7_percentiles")
+def _(spark, sf):
+    return TK.token_percentiles(_chat(spark, sf), ["language", "split"])
+
+
 # --- metrics ----------------------------------------------------------------------------------------------
 def _corpora(spark: SparkSession, sf: str) -> DataFrame:
     """Chat rows of both corpora: ``dataset, language, split, row_id, text``."""
@@ -808,21 +842,18 @@ def _(spark, sf):
 
 @query("s6_partitions")
 def _(spark, sf):
-    return S.list_partitions(S.read_corpus(spark, _saved(spark, sf)))
+    return S.list_partitions(spark, _saved(spark, sf))
 
 
 @query("s6_missing")
 def _(spark, sf):
-    saved = S.read_corpus(spark, _saved(spark, sf))
-    return S.missing_partitions(saved, [("fr", "train"), ("fr", "holdout"), ("python", "train")])
+    return S.missing_partitions(spark, _saved(spark, sf), [("fr", "train"), ("fr", "holdout"), ("python", "train")])
 
 
 @query("s7_verify")
 def _(spark, sf):
     path = scratch_folder(spark)
-    rows = I.code_split(spark, sf)
-    S.write_corpus(rows, path)
-    return S.verify_written(rows, path)
+    return S.verify_counts(spark, path, S.write_counted(I.code_split(spark, sf), path))
 
 
 @query("s8_inline")

@@ -8,14 +8,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..constants import SPLITS, UNSAFE_NAME
-from ..functions.text import preview_text, safe_name
+from ..functions.text import lower, preview_text, safe_name
 from ..operators.bounds import attach
+from ..operators.ordering import with_rank
 from ..session import scratch_folder
 
 FILE_BITS = 40
@@ -56,37 +58,42 @@ def read_tagged(
 
 
 def _tagged(spark, paths, tag_col, fmt, schema, order) -> DataFrame:
-    result, files = None, 0
-    for name, path in paths.items():
-        part = _read(spark, path, fmt, schema)
-        if order:  # numbered before the union: the scan knows its files and row numbers
-            part, files = with_order(part, order, files), files + len(part.inputFiles())
-        part = part.withColumn(tag_col, F.lit(name))
-        result = part if result is None else result.unionByName(part, allowMissingColumns=True)
-    if result is None:
+    if not paths:
         raise ValueError("no inputs")
-    return result
+    parts = [_read(spark, path, fmt, schema) for path in paths.values()]
+    if order:  # numbered before the union: the scan knows its files and row numbers
+        parts = _ordered(parts, order)
+    tagged = [part.withColumn(tag_col, F.lit(name)) for name, part in zip(paths, parts)]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
 
 
-def with_order(df: DataFrame, name: str = "ord", first_file: int = 0) -> DataFrame:
+def with_order(df: DataFrame, name: str = "ord") -> DataFrame:
     """Add a stable row number to a table read from Parquet: the number of its file, then the row in the file.
 
-    For tables without a natural key. Call it on the scan itself; the file list is known without reading data. Files are
-    numbered from ``first_file``; more than 2^23 files are an error.
+    For tables without a natural key. Call it on the scan itself. More than 2^23 files are an error.
     """
-    files = sorted(df.inputFiles())
-    if first_file + len(files) > 1 << (63 - FILE_BITS):
+    return _ordered([df], name)[0]
+
+
+def _ordered(parts: Sequence[DataFrame], name: str) -> list[DataFrame]:
+    """Row numbers for several scans. Files with rows are ranked in Spark, by their scan, then by path; only their number is known here."""
+    paths = [p.select(F.lit(i).alias("_scan"), _plain_path("_metadata.file_path").alias("_file")).distinct() for i, p in enumerate(parts)]
+    ranked = materialize(with_rank(reduce(DataFrame.union, paths), [F.col("_scan"), F.col("_file")], "_file_no"))
+    files = ranked.count()
+    if files > 1 << (63 - FILE_BITS):
         raise ValueError(f"row numbers have room for {1 << (63 - FILE_BITS)} files")
-    numbered = df.sparkSession.createDataFrame([(first_file + i, f) for i, f in enumerate(files)], "_file_no bigint, _file string")
-    numbered = numbered.withColumn("_file", _plain_path("_file"))
-    located = df.withColumns({"_file": _plain_path("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
-    joined = attach(located, numbered, ["_file"], "_row", len(files), "left")
-    number = F.coalesce("_file_no", F.raise_error(F.lit("file is not in the listing")).cast("bigint"))
-    return joined.withColumn(name, F.shiftleft(number, FILE_BITS) + F.col("_row")).drop("_file", "_file_no", "_row")
+    out = []
+    for i, part in enumerate(parts):
+        located = part.withColumns({"_file": _plain_path("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
+        own = ranked.where(F.col("_scan") == i).select("_file", "_file_no")
+        joined = attach(located, own, ["_file"], "_row", files, "left")
+        number = F.coalesce(F.col("_file_no") - 1, F.raise_error(F.lit("the files changed while they were numbered")).cast("bigint"))
+        out.append(joined.withColumn(name, F.shiftleft(number, FILE_BITS) + F.col("_row")).drop("_file", "_file_no", "_row"))
+    return out
 
 
 def _plain_path(col: str):
-    """The listing and the file metadata differ in the slashes after the scheme."""
+    """File systems differ in the slashes after the scheme."""
     return F.regexp_replace(F.col(col), "^([A-Za-z0-9+.-]+):/+", "$1:/")
 
 
@@ -117,7 +124,7 @@ def read_corpus(spark: SparkSession, path: str, language: str | None = None) ->
     if "lang_dir" in df.columns:
         # two languages can share a folder (F# and F*), so the kept name decides
         found = df.where(F.col("lang_dir") == re.sub(UNSAFE_NAME, "_", language.lower()))
-        return found.where(F.lower("language") == language.lower()) if "language" in df.columns else found
+        return found.where(lower("language") == language.lower()) if "language" in df.columns else found
     return df.where(F.col("language") == language)
 
 
@@ -143,24 +150,51 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def list_partitions(df: DataFrame, cols: Sequence[str] = ("lang_dir", "split")) -> DataFrame:
-    return df.select(*cols).distinct()
+def list_partitions(spark: SparkSession, path: str, cols: Sequence[str] = ("lang_dir", "split")) -> DataFrame:
+    """The key combinations that a saved corpus has, as strings. They are folder names: files are listed, none is opened."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    return files.select(*[F.col(c).cast("string").alias(c) for c in cols]).distinct()
 
 
-def missing_partitions(df: DataFrame, required: Sequence[Sequence[str]], cols: Sequence[str] = ("lang_dir", "split")) -> DataFrame:
-    """The required key combinations that have no rows."""
+def missing_partitions(spark: SparkSession, path: str, required: Sequence[Sequence[str]], cols: Sequence[str] = ("lang_dir", "split")) -> DataFrame:
+    """The required key combinations that a saved corpus does not have."""
     schema = ", ".join(f"`{c}` string" for c in cols)
-    wanted = df.sparkSession.createDataFrame([tuple(r) for r in required], schema)
-    return wanted.join(list_partitions(df, cols), list(cols), "left_anti")
+    wanted = spark.createDataFrame([tuple(r) for r in required], schema)
+    return wanted.join(list_partitions(spark, path, cols), list(cols), "left_anti")
 
 
-def assert_partitions(df: DataFrame, required: Sequence[Sequence[str]], cols: Sequence[str] = ("lang_dir", "split")) -> None:
-    """Raise if a required key combination has no rows (an action on the key columns)."""
-    missing = [tuple(r) for r in missing_partitions(df, required, cols).collect()]
+def assert_partitions(spark: SparkSession, path: str, required: Sequence[Sequence[str]], cols: Sequence[str] = ("lang_dir", "split")) -> None:
+    """Raise if a saved corpus does not have a required key combination."""
+    missing = [tuple(r) for r in missing_partitions(spark, path, required, cols).collect()]
     if missing:
         raise FileNotFoundError(f"missing partitions {cols}: {missing}")
 
 
+OTHER_SPLITS = "(other)"
+
+
+def write_counted(df: DataFrame, path: str, splits: Sequence[str] = SPLITS, mode: str = "errorifexists") -> dict[str, int]:
+    """``write_corpus``, with the rows of each split counted by the write itself; the input is evaluated once.
+
+    Rows of splits that are not in ``splits`` (null too) are counted together, as ``(other)``.
+    """
+    seen = Observation()
+    known = F.coalesce(F.col("split").isin(list(splits)), F.lit(False))
+    counts = [F.count_if(F.col("split") == s).alias(f"n{i}") for i, s in enumerate(splits)]
+    write_corpus(df.observe(seen, *counts, F.count_if(~known).alias("other")), path, mode)
+    found = seen.get
+    return {**{s: found[f"n{i}"] for i, s in enumerate(splits)}, OTHER_SPLITS: found["other"]}
+
+
+def verify_counts(spark: SparkSession, path: str, written: Mapping[str, int]) -> DataFrame:
+    """Rows per split as counted in the write and as the files have them (by their footers), and whether they agree."""
+    splits = [s for s in written if s != OTHER_SPLITS]
+    expected = spark.createDataFrame([(s, n) for s, n in written.items() if n], "split string, expected bigint")
+    name = F.when(F.col("split").isin(splits), F.col("split")).otherwise(F.lit(OTHER_SPLITS))
+    found = spark.read.parquet(path).groupBy(name.alias("split")).agg(F.count(F.lit(1)).alias("found"))
+    return expected.join(found, "split", "full_outer").withColumn("same", F.col("expected").eqNullSafe(F.col("found")))
+
+
 def verify_written(df: DataFrame, path: str) -> DataFrame:
     """Rows per split before writing and after reading back, and whether they agree."""
     read_back = df.sparkSession.read.parquet(path)

@@ -1,5 +1,8 @@
 """Chat rendering and parsing, token tables, batches."""
 
+import random
+import re
+
 import pytest
 from tuples import rows
 from pyspark.sql import functions as F
@@ -8,7 +11,9 @@ from pyspark.sql.types import ArrayType, IntegerType
 from marginalia.constants import ASSISTANT_TAG
 from marginalia.operators import chat as C
 from marginalia.operators import tokens as TK
+from marginalia.operators.ordering import exact_quantiles
 from marginalia.operators.columns import decode_label, encode_label, normalize_code, normalize_commit, with_text
+from marginalia.sources.corpora import materialize
 
 
 def test_code_chat_word_for_word(spark):
@@ -135,3 +140,61 @@ def test_p5_decode_answers_for_many_labels(spark, monkeypatch):
     many = spark.range(10_500).selectExpr("id as ord", "if(id % 1000 = 7, null, concat('l', id)) as language")
     monkeypatch.setattr(registry.I, "code_rows", lambda spark, sf: many)
     assert sorted(rows(all_queries()["p5_decode"](spark, ""), "ord", "language"), key=repr) == sorted(rows(many), key=repr)
+
+
+def test_masks_by_offsets_with_tokens_across_the_tag(spark):
+    """White space belongs to the word after it, so the answer's first token begins with the tag's newline."""
+    answers = ["Return it", " x", "\n\nlong answer here", "", "é東 wide 😀 text", "a  b"]
+    texts = ["<|im_start|>user\nsay so<|im_end|>\n" + ASSISTANT_TAG + a for a in answers] + ["no tag at all", ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(99, None)], "ord long, text string")
+    vocab = TK.build_vocab(df, pattern=TK.LEADING_SPACE_PATTERN)
+    ids = {r["token"]: r["id"] for r in vocab.collect()}
+    for source, pattern in (
+        (TK.VocabularySource(vocab, TK.LEADING_SPACE_PATTERN, skipped=""), r"\s*[^\s]+"),
+        (TK.VocabularySource(vocab, TK.LEADING_SPACE_PATTERN, skipped="", bound=7), r"\s*[^\s]+"),  # most of the vocabulary by shuffle
+        (TK.VocabularySource(vocab), None),
+    ):
+        got = {r["ord"]: r for r in TK.mask_by_offsets(TK.tokens_with_ends(df, source), no_tag="mask_all").collect()}
+        assert set(got) == {*range(len(texts)), 99} and got[99]["input_ids"] is None
+        for i, text in enumerate(texts):
+            r, end = got[i], text.find(ASSISTANT_TAG) + len(ASSISTANT_TAG)
+            tagged = ASSISTANT_TAG in text
+            if pattern:
+                found = [(m.end(), ids[m.group()]) for m in re.finditer(pattern, text)]
+                assert list(zip(r["token_ends"], r["input_ids"])) == found
+                assert r["labels"] == [-100 if not tagged or e <= end else x for e, x in found]
+                if i == 0:  # "\nReturn" begins in the tag and is kept
+                    assert r["labels"][-2] == ids["\nReturn"]
+            else:
+                found = [text[:e] for e in r["token_ends"]]
+                assert all(not f[-1:].isspace() or f[-1] == "\n" for f in found)
+                assert sum(x == -100 for x in r["labels"]) == (sum(len(f) <= end for f in found) if tagged else len(found))
+
+
+def test_the_rare_tokens_join_by_shuffle(spark):
+    rng = random.Random(3)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.4)) % 500}" for _ in range(rng.randint(0, 60))) for _ in range(200)] + [None, ""]
+    df = spark.createDataFrame([(None if i == 5 else i, t) for i, t in enumerate(texts)], "ord long, text string")
+    vocab = TK.build_vocab(df.where("ord < 150"))
+    whole = {r["ord"]: r for r in TK.tokenize(df, TK.VocabularySource(vocab)).collect()}
+    split = {r["ord"]: r for r in TK.tokenize(df, TK.VocabularySource(vocab, bound=10)).collect()}
+    assert whole == split and len(whole) == 202 and whole[200]["input_ids"] is None and whole[201]["input_ids"] == []
+    known = {r["token"]: r["id"] for r in vocab.collect()}
+    for i, t in enumerate(texts[:200]):
+        assert whole[None if i == 5 else i]["input_ids"] == [known.get(x, 1) for x in t.split()]
+    plan = TK.VocabularySource(materialize(vocab)).ids(df, 1536, ["ord"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("REPARTITION_BY_COL") == 1  # the texts move once, no token does
+
+
+def test_percentiles_by_a_histogram(spark):
+    rng = random.Random(8)
+    data = [(g, None if rng.random() < 0.05 else int(rng.paretovariate(0.3)) % 10**9) for g in ("a", "b", None) for _ in range({"a": 1, "b": 999, None: 2000}[g])]
+    data += [("none", None)] * 3
+    df = spark.createDataFrame(data, "g string, v long").repartition(7)
+    got = {r["g"]: r for r in exact_quantiles(df, {"v": F.col("v")}, ["g"], [0, 1, 500, 900, 999, 1000]).collect()}
+    assert set(got) == {"a", "b", None, "none"}
+    for g, r in got.items():
+        values = sorted(v for x, v in data if x == g and v is not None)
+        assert r["rows"] == sum(x == g for x, _ in data)
+        for p, name in ((0, "p0"), (1, "p0_1"), (500, "p50"), (900, "p90"), (999, "p99_9"), (1000, "p100")):
+            assert r[name] == (values[max(-(-len(values) * p // 1000), 1) - 1] if values else None)

@@ -1,6 +1,7 @@
 """Losses, metrics, logs and the choice of a best run."""
 
 import math
+import random
 
 import pytest
 from tuples import rows
@@ -36,7 +37,7 @@ def test_losses_by_rows_and_by_positions(spark):
     for scored in (row_losses(train, outside, size, alpha, KEYS), E.unigram_losses(train, outside, size, alpha, KEYS)):
         with pytest.raises(Exception, match="label 10 is not an id"):
             scored.collect()
-    swept = {(r["alpha"]): r["avg_ce"] for r in L.sweep(train, evaluated.withColumn("split", F.lit("test")), size, [0.5, 2.0]).collect()}
+    swept = {(r["alpha"]): r["avg_ce"] for r in L.sweep(train, evaluated.withColumn("split", F.lit("test")), size, [0.5, 2.0], keys=("split", "row_id")).collect()}
     assert abs(swept[0.5] - sum(expected.values()) / 4) < 1e-9 and len(swept) == 2
 
 
@@ -104,3 +105,29 @@ def test_counts(spark):
     assert sorted(rows(A.corpus_matrix(df.dropna(), totals=True)), key=repr) == sorted(
         [("Go", 1, 0, 1), ("go", 0, 0, 1), ("ada", 1, 0, 0), (None, 2, 0, 2)], key=repr
     )
+
+
+def test_sums_are_equal_to_the_last_bit_for_any_partitioning(spark):
+    rng = random.Random(6)
+    data = [(i, rng.choice(["a", "b"]), rng.choice([rng.expovariate(0.3), 1e-7 * rng.random(), 12.0 + rng.random()]), rng.randint(1, 9)) for i in range(20_000)]
+    table = spark.createDataFrame([(g, "test", x, t, i) for i, g, x, t in data], "model string, split string, row_loss double, tokens long, row_id long")
+    results = set()
+    for n in (1, 7, 64):
+        some = table.repartition(n, F.rand(n)) if n > 1 else table.coalesce(1)
+        plain = E.ce_ppl(some, ["model"]).collect() + E.ce_ppl(some, ["model"], weight="token").collect()
+        results.add(tuple(sorted((r["model"], r["avg_ce"].hex(), r["perplexity"].hex()) for r in plain)))
+        results.add(tuple(sorted((r["model"], r["test_ce"].hex()) for r in E.model_summary(some).collect())) + ("summary",))
+    assert len(results) == 2
+    for r in E.ce_ppl(table, ["model"]).collect():
+        exact = math.fsum(x for _, g, x, _ in data if g == r["model"]) / r["count"]
+        assert abs(r["avg_ce"] - exact) < 1e-15 * max(1.0, exact) * 4
+
+
+def test_sums_of_odd_values(spark):
+    inf, nan = math.inf, math.nan
+    cases = {"none": [None], "empty": [], "inf": [1.0, inf], "both": [inf, -inf], "nan": [nan, 1.0], "negative": [-0.1, -2.5, 0.1], "some": [None, 0.25, 0.5]}
+    df = spark.createDataFrame([(k, v) for k, vs in cases.items() for v in vs], "k string, v double")
+    got = {r["k"]: r["s"] for r in df.groupBy("k").agg(E.exact_sum(F.col("v")).alias("s")).collect()}
+    assert got["none"] is None and got["inf"] == inf and math.isnan(got["both"]) and math.isnan(got["nan"])
+    assert abs(got["negative"] + 2.5) < 1e-15 and got["some"] == 0.75
+    assert df.where("k = 'empty'").agg(E.exact_sum(F.col("v")).alias("s")).first()["s"] is None

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from marginalia.operators.sets import concat, distinct_values, sorted_values
 from marginalia.plans.code_corpus import clean_code
 from marginalia.sources import corpora as S
-from marginalia.streaming.ingest import clean_into, watch_folder
+from marginalia.streaming.ingest import clean_available, clean_into, watch_folder
 
 
 @pytest.fixture(scope="module")
@@ -28,10 +28,14 @@ def test_language_folders_are_pruned(spark, corpus, tmp_path):
     scan = back.where("split = 'test'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(lang_dir" in scan
     whole = S.read_corpus(spark, path)
-    assert sorted(rows(S.list_partitions(whole))) == sorted((d, s) for d in ("c++", "objective_c", "go") for s in ("train", "test"))
-    S.assert_partitions(whole, [("go", "train")])
+    assert whole.count() == 60
+    listed = S.list_partitions(spark, path)
+    assert sorted(rows(listed)) == sorted((d, s) for d in ("c++", "objective_c", "go") for s in ("train", "test"))
+    plan = listed._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" not in plan and "FileScan binaryFile [lang_dir" in plan and "ReadSchema: struct<>" in plan
+    S.assert_partitions(spark, path, [("go", "train")])
     with pytest.raises(FileNotFoundError):
-        S.assert_partitions(whole, [("go", "validation")])
+        S.assert_partitions(spark, path, [("go", "validation")])
 
 
 def test_write_and_verify(spark, corpus, tmp_path):
@@ -42,6 +46,25 @@ def test_write_and_verify(spark, corpus, tmp_path):
     assert {r["split"]: r["same"] for r in wrong.collect()} == {"train": False, "test": True, "extra": False}
 
 
+def test_write_counts_its_rows(spark, corpus, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            calls.add(b.num_rows)
+            yield b
+
+    path = str(tmp_path / "counted")
+    some = corpus.withColumn("split", F.expr("case when ord < 3 then 'extra' when ord < 5 then null else split end"))
+    counts = S.write_counted(some.mapInArrow(counted, some.schema), path)
+    assert calls.value == 60 and counts == {"train": 44, "validation": 0, "test": 11, "(other)": 5}
+    checked = S.verify_counts(spark, path, counts)
+    assert {r["split"]: (r["expected"], r["found"], r["same"]) for r in checked.collect()} == {s: (n, n, True) for s, n in counts.items() if n}
+    assert "ReadSchema: struct<>" in checked._jdf.queryExecution().executedPlan().toString()  # row counts come from the footers
+    wrong = S.verify_counts(spark, path, {**counts, "train": 1, "test": 0}).collect()
+    assert {r["split"]: r["same"] for r in wrong} == {"train": False, "test": False, "(other)": True}
+
+
 def test_splits_tags_and_order(spark, corpus, tmp_path):
     one, two = str(tmp_path / "one"), str(tmp_path / "two")
     corpus.where("ord < 30").select("ord", "text").repartition(3).write.parquet(one)
@@ -86,3 +109,24 @@ def test_cleaning_a_stream_gives_the_batch_result(spark, tmp_path):
     clean_into(stream, clean_code, target, str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
     expected = sorted(rows(clean_code(raw), "ord", "docstring"))
     assert len(expected) == 20 and sorted(rows(spark.read.parquet(target), "ord", "docstring")) == expected
+
+
+def test_a_stopped_stream_goes_on(spark, tmp_path):
+    raw = spark.range(90).select(
+        F.col("id").alias("ord"),
+        F.when(F.col("id") % 3 == 0, "test").otherwise("train").alias("split"),
+        F.lit("a\nb\nc").alias("func_code_string"),
+        F.when(F.col("id") % 2 == 0, "Return the number of the items given.").otherwise("too short.").alias("func_documentation_string"),
+    )
+    source, target, state = (str(tmp_path / n) for n in ("raw", "clean", "state"))
+    raw.where("ord < 40").repartition(4).write.parquet(source)
+    stream = watch_folder(spark, source, raw.schema, files_per_batch=1)
+    running = clean_into(stream, clean_code, target, state).trigger(availableNow=True).start()
+    while not running.recentProgress and running.isActive:
+        running.awaitTermination(0.05)
+    running.stop()  # half-way
+    raw.where("ord >= 40").repartition(3).write.mode("append").parquet(source)
+    for _ in range(2):  # the second run finds nothing new
+        clean_available(spark, source, clean_code, target, state, raw.schema, files_per_batch=2)
+    expected = sorted(rows(clean_code(raw), "ord", "split", "docstring"))
+    assert len(expected) == 45 and sorted(rows(spark.read.parquet(target), "ord", "split", "docstring")) == expected

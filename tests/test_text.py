@@ -105,3 +105,12 @@ def test_picks_language_and_formats(spark):
 
 def test_patterns_compile_as_python_regexes():
     assert re.fullmatch(SPACE_CLASS, " ") and re.fullmatch(LINE_BREAK, "\r\n")
+
+
+def test_character_tests_follow_python_over_all_planes_in_use(spark):
+    points = spark.range(1, 0x30000).where("id not between 55296 and 57343").select(F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')").alias("c"))
+    got = points.select("c", T.starts_upper("c").alias("upper"), T.starts_alpha("c").alias("alpha"), T.lower("c").alias("lower")).collect()
+    assert len(got) == 0x2FFFF - 2048
+    assert not [hex(ord(r["c"])) for r in got if r["upper"] != r["c"].isupper()]
+    assert not [hex(ord(r["c"])) for r in got if r["alpha"] != r["c"].isalpha()]
+    assert not [hex(ord(r["c"])) for r in got if r["lower"] != r["c"].lower()]
