@@ -75,7 +75,7 @@ def summary(c: Name, skip_leading_blank: bool = False) -> Column:
 
 
 def lower(c: Name) -> Column:
-    """Lower case with the character tables of Python, which are newer than the JVM's."""
+    """Lower case with the character tables of Python."""
     return once(col(c), unicode.lower)
 
 

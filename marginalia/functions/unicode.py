@@ -1,11 +1,12 @@
 """Character classes as Python's string methods have them, for native expressions.
 
-The JVM's own tables follow an older Unicode version. These are built from Python's by rule: ranges of code points for a
+The engine's own tables follow other Unicode versions. These are built from Python's by rule: ranges of code points for a
 pattern, pairs of characters for a translation. The driver builds each once; the executors see literals.
 """
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 from functools import cache
 
@@ -50,12 +51,18 @@ def letter_char() -> str:
 
 @cache
 def lower_pairs() -> tuple[str, str]:
-    """Characters beyond ASCII with a lower case of one character, and those."""
-    pairs = [(c, c.lower()) for c in _others() if c != FINAL_SIGMA and c.lower() != c and len(c.lower()) == 1]
+    """Characters with a lower case of one character that does not depend on others, and those."""
+    letters = [*string.ascii_uppercase, *_others()]
+    pairs = [(c, c.lower()) for c in letters if c != FINAL_SIGMA and c.lower() != c and len(c.lower()) == 1]
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
 def lower(c: Column) -> Column:
-    """Lower case as ``str.lower``; plain ASCII, by far the most, takes the short way."""
+    """Lower case as ``str.lower``. Plain ASCII, by far the most, takes the short way.
+
+    A text with a capital sigma goes through the built-in function too, which may know letters that Python does not.
+    """
     upper, made = lower_pairs()
-    return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.lower(F.translate(c, upper, made)))
+    translated = F.translate(c, upper, made)
+    dotted = F.replace(translated, F.lit("\u0130"), F.lit("\u0130".lower()))
+    return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).when(c.contains(FINAL_SIGMA), F.lower(translated)).otherwise(dotted)
