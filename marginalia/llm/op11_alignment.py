@@ -101,6 +101,9 @@ class Pair:
         ]
         self.narrow = len(self.a_bytes) <= 1 << 16 and len(self.b_bytes) <= 1 << 16
         self.shift = 16 if self.narrow else 32
+        self.lengths = [np.array([len(x) for x in table], np.int64) for table in (self.a_bytes, self.b_bytes)]
+        # an id as text with what may follow it: another id of its side, or the end of its side of the group
+        self.texts = [f"{i}{end}" for table, ends in ((self.a_bytes, ",|"), (self.b_bytes, ",;")) for end in ends for i in range(len(table))]
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
         """Ids of both for each text, which begins with a space; B adds that space itself."""
@@ -108,7 +111,7 @@ class Pair:
         return [(x.ids, y) for x, y in zip(a, self.b.encode([t[1:] for t in texts], num_threads=1))]
 
     def units(self, texts: list[bytes], closed: list[bool]) -> list[tuple]:
-        """What a unit adds to a document: ``(ok, n_a, n_b, n_groups, groups, pairs)``, pairs as ``a << shift | b``.
+        """What a unit adds to a document: ``(ok, n_a, n_b, n_groups, groups, pairs)``; each group ends in ``;``, pairs are ``a << shift | b``.
 
         Units that end in a visible character are tokenised several to a string; the others, and those of a string whose
         tokens do not give its bytes back, one by one.
@@ -127,7 +130,7 @@ class Pair:
             again = []
             wholes = [b"".join([texts[i] for i in members]) for members in strings]
             for members, whole, (a, b) in zip(strings, wholes, self.encode([w.decode() for w in wholes])):
-                same = all(b"".join([table[x] for x in ids]) == whole for table, ids in ((self.a_bytes, a), (self.b_bytes, b)))
+                same = all(b"".join(map(table.__getitem__, ids)) == whole for table, ids in ((self.a_bytes, a), (self.b_bytes, b)))
                 if same:
                     self.cut(members, texts, a, b, out)
                 elif len(members) > 1:
@@ -138,19 +141,29 @@ class Pair:
         return out
 
     def cut(self, members: list[int], texts: list[bytes], a: list[int], b: list[int], out: list) -> None:
-        a_ends, b_ends = (np.cumsum([len(table[x]) for x in ids]) for table, ids in ((self.a_bytes, a), (self.b_bytes, b)))
+        a_ids, b_ids = np.array(a, np.int64), np.array(b, np.int64)
+        a_ends, b_ends = np.cumsum(self.lengths[0][a_ids]), np.cumsum(self.lengths[1][b_ids])
         a_last, b_last, a_link, b_link = align(a_ends, b_ends)
-        pairs = (np.array(a, np.uint64)[a_link] << np.uint64(self.shift) | np.array(b, np.uint64)[b_link]).astype("<u4" if self.narrow else "<u8")
+        pairs = (a_ids[a_link].astype(np.uint64) << np.uint64(self.shift) | b_ids[b_link].astype(np.uint64)).astype("<u4" if self.narrow else "<u8")
         # unit ends are group ends: where each unit's groups, tokens and links end
         groups_upto = np.searchsorted(a_ends[a_last], np.cumsum([len(texts[i]) for i in members])) + 1
-        links_upto = np.searchsorted(a_link, a_last[groups_upto - 1], "right").tolist()
-        a_text, b_text = list(map(str, a)), list(map(str, b))
-        x, y = [0, *(a_last + 1).tolist()], [0, *(b_last + 1).tolist()]
-        each = [f"{','.join(a_text[x[g] : x[g + 1]])}|{','.join(b_text[y[g] : y[g + 1]])}" for g in range(len(a_last))]
-        g0 = l0 = 0
-        for i, g1, l1 in zip(members, groups_upto.tolist(), links_upto):
-            out[i] = (True, x[g1] - x[g0], y[g1] - y[g0], g1 - g0, ";".join(each[g0:g1]), pairs[l0:l1].tobytes())
-            g0, l0 = g1, l1
+        a_upto, b_upto = a_last[groups_upto - 1] + 1, b_last[groups_upto - 1] + 1
+        links_upto = np.searchsorted(a_link, a_upto).tolist()
+        # all ids as text, group by group, first A's, then B's
+        n_a, n_b = len(self.a_bytes), len(self.b_bytes)
+        a_ids[a_last] += n_a
+        b_ids += 2 * n_a
+        b_ids[b_last] += n_b
+        a_of, b_of = np.searchsorted(a_last, np.arange(len(a))), np.searchsorted(b_last, np.arange(len(b)))
+        line = np.empty(len(a) + len(b), np.int64)
+        line[np.arange(len(a)) + np.append(0, b_last[:-1] + 1)[a_of]] = a_ids
+        line[np.arange(len(b)) + a_last[b_of] + 1] = b_ids
+        pieces = list(map(self.texts.__getitem__, line.tolist()))
+        whole, wide = pairs.tobytes(), pairs.itemsize
+        a0 = b0 = g0 = l0 = 0
+        for i, a1, b1, g1, l1 in zip(members, a_upto.tolist(), b_upto.tolist(), groups_upto.tolist(), links_upto):
+            out[i] = (True, a1 - a0, b1 - b0, g1 - g0, "".join(pieces[a0 + b0 : a1 + b1]), whole[l0 * wide : l1 * wide])
+            a0, b0, g0, l0 = a1, b1, g1, l1
 
 
 def visible_end(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -182,7 +195,7 @@ def alignments(a_file: str, b_file: str, keep_groups: bool):
     """Task function: one row per document, with its distinct linked pairs and how often it has each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, store, number = Pair(a_file, b_file), Recent(UNITS_ROOM, lambda f: len(f[4]) + len(f[5]) + 320), TaskContext.get().partitionId() << 33
+        pair, store, number = Pair(a_file, b_file), Recent(UNITS_ROOM, lambda f: 2 * len(f[4]) + 320), TaskContext.get().partitionId() << 33
         word = "<u4" if pair.narrow else "<u8"
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
@@ -203,7 +216,7 @@ def alignments(a_file: str, b_file: str, keep_groups: bool):
                 ok = np.logical_and.reduceat(np.array([f[0] for f in found])[which], begin) & ~blank
                 counts = [np.where(ok, np.add.reduceat(np.array([f[k] for f in found], np.int64)[which], begin), 0) for k in (1, 2, 3)]
                 strings = np.array([f[4] for f in found], object)[which].tolist()
-                groups = [";".join(strings[a:b]) if good else "" for a, b, good in zip(begin.tolist(), [*begin[1:].tolist(), len(strings)], ok.tolist())]
+                groups = ["".join(strings[a:b])[:-1] if good else "" for a, b, good in zip(begin.tolist(), [*begin[1:].tolist(), len(strings)], ok.tolist())]
                 sizes = np.array([len(f[5]) for f in found], np.int64) // (4 if pair.narrow else 8)
                 pool = np.frombuffer(b"".join([f[5] for f in found]), word)
                 values, local = np.unique(pool, return_inverse=True)
