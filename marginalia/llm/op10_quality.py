@@ -147,8 +147,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str =
     web = rows.select("doc_id").orderBy(*lot).limit(sample).distinct()
     found = {}
     for name, keys in (("positive", trusted), ("unlabelled", web)):
-        texts = rows.join(F.broadcast(keys), "doc_id", "left_semi").select("text")
-        got = texts.mapInArrow(feature_rows, "f array<double>").toPandas()["f"]
+        texts = rows.join(F.broadcast(keys), "doc_id", "left_semi").select("doc_id", "text")
+        kind = rows.schema["doc_id"].dataType.simpleString()
+        stated = texts.mapInArrow(feature_rows, f"doc_id {kind}, f array<double>")
+        got = stated.groupBy("doc_id").agg(F.min("f").alias("f")).select("f").toPandas()["f"]  # one row of an id that repeats
         found[name] = np.array(got.tolist(), float)
     if share is None or not len(found["positive"]) or not len(found["unlabelled"]):
         return None
@@ -159,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str =
 def feature_rows(batches):
     for batch in batches:
         for part in slices(batch, "text"):
-            yield pa.RecordBatch.from_arrays([pa.array(list(features(part.column(0))), pa.list_(pa.float64()))], ["f"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(features(part.column(1))), pa.list_(pa.float64()))], ["doc_id", "f"])
 
 
 def with_quality(docs: DataFrame, model: QualityModel | None, text: str = "text", threshold: float = THRESHOLD, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:

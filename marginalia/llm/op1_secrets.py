@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField
 
-from .shared import Shipped, append, named, run_hashes, slices
+from .shared import Shipped, append, named, one_text_each, run_hashes, slices
 
 # --- fixed values: the base patterns --------------------------------------------------------------------------------
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -30,6 +30,7 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key", "key",
 
 SAMPLE_TEXTS = 1_500
 SAMPLE_WINDOWS = 3_000
+TEXT_WINDOWS = 20
 WINDOW = 48
 STEPS = 60
 OUTSIDE, BEGIN, INSIDE = range(3)
@@ -252,8 +253,15 @@ def log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis))
 
 
+def evenly(places: list[int], n: int) -> list[int]:
+    return places if len(places) <= n else [places[i * len(places) // n] for i in range(n)]
+
+
 def training_windows(batches):
-    """``f, t``: features and tags of windows of tokens; windows without a secret are thinned by position."""
+    """``f, t``: features and tags of windows of tokens: of each text at most ``TEXT_WINDOWS`` with a secret and as many without.
+
+    Windows without a secret are thinned by position; of too many, those spread evenly over the text are taken.
+    """
     for batch in batches:
         for part in slices(batch, "text", 1 << 20):
             texts = [t or "" for t in part.column(0).to_pylist()]
@@ -262,11 +270,12 @@ def training_windows(batches):
             f, t = [], []
             begins = np.searchsorted(tokens.text, np.arange(len(texts) + 1))
             for a, b in zip(begins.tolist(), begins[1:].tolist()):
-                for nth, at in enumerate(range(a, b, WINDOW)):
+                secret = [at for at in range(a, b, WINDOW) if tags[at : min(b, at + WINDOW)].any()]
+                plain = sorted(set(range(a, b, 16 * WINDOW)) - set(secret))
+                for at in sorted(evenly(secret, TEXT_WINDOWS) + evenly(plain, TEXT_WINDOWS)):
                     upto = min(b, at + WINDOW)
-                    if nth % 16 == 0 or tags[at:upto].any():
-                        f.append(tokens.features[at:upto].astype(np.int32).reshape(-1))
-                        t.append(tags[at:upto].astype(np.int32))
+                    f.append(tokens.features[at:upto].astype(np.int32).reshape(-1))
+                    t.append(tags[at:upto].astype(np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(f, pa.list_(pa.int32())), pa.array(t, pa.list_(pa.int32()))], ["f", "t"])
 
 
@@ -290,14 +299,14 @@ def varied(f: np.ndarray, t: np.ndarray, seed: int) -> np.ndarray:
 def fit(docs: DataFrame, sample: int = SAMPLE_TEXTS, doc_id: str = "doc_id", text: str = "text") -> Field:
     """Learn from at most ``sample`` texts that may hold a secret and as many others (lowest id hash first).
 
-    The patterns' finds are the tags. The driver gets windows of feature numbers of those texts and trains on at most
-    3,000, those with a secret first, and on varied copies of those. Without any text nothing is learned and nothing is ever tagged.
+    The patterns' finds are the tags. An id that repeats teaches one of its texts, and a text at most 20 windows with a secret and
+    20 without, so the driver gets at most 40 windows of feature numbers for each sampled text; it trains on at most 3,000, those with a secret first, and on varied copies of those. Without any text nothing is learned and nothing is ever tagged.
     """
     rows = named(docs, doc_id=doc_id, text=text).where("doc_id is not null and text is not null")
     hint = F.col("text").rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}")
     lot = (F.xxhash64("doc_id"), "doc_id")
     keys = rows.where(hint).select("doc_id").orderBy(*lot).limit(sample).union(rows.select("doc_id").orderBy(*lot).limit(sample)).distinct()
-    found = rows.join(F.broadcast(keys), "doc_id", "left_semi").select("text").mapInArrow(training_windows, "f array<int>, t array<int>").toPandas()
+    found = one_text_each(rows, keys, "doc_id").select("text").mapInArrow(training_windows, "f array<int>, t array<int>").toPandas()
     field = Field()
     if len(found):
         windows = sorted(((np.array(t), np.array(f)) for t, f in zip(found["t"], found["f"])), key=lambda w: (not w[0].any(), int(np.dot(w[1] % 1009, np.arange(len(w[1])) % 997) % 10007), w[1].tobytes()))[:SAMPLE_WINDOWS]

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField
 
 from ..operators.ordering import first_k
-from .shared import Shipped, append, joined, lowered, named, remainder, slices
+from .shared import Shipped, append, joined, lowered, named, one_text_each, remainder, slices
 
 ORDER = 4
 TRAIN_TEXTS = 1500
@@ -168,13 +168,13 @@ def has_letter(column: pa.Array) -> np.ndarray:
 def fit(docs: DataFrame, order: int = ORDER, train_texts: int = TRAIN_TEXTS, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModel:
     """Statistics of the whole texts of at most ``train_texts`` documents per language (those with the lowest id hash).
 
-    Rows without text, language or id teach nothing. Grams are counted by Spark; the driver gets the counts, whose number
+    Rows without text, language or id teach nothing, and an id that repeats teaches one text of a language. Grams are counted by Spark; the driver gets the counts, whose number
     is bounded by the sampled texts.
     """
     rows = named(docs, doc_id=doc_id, text=text, lang=lang).where("doc_id is not null and lang is not null and text is not null")
     lot = [F.xxhash64("doc_id"), "doc_id"]
     chosen = first_k(rows.select("doc_id", "lang"), ["lang"], lot, train_texts, "doc_id").select("doc_id", "lang").distinct()
-    sample = rows.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", "text")
+    sample = one_text_each(rows, chosen, "doc_id", "lang").select("lang", "text")
 
     def count(batches):
         for batch in batches:

@@ -49,6 +49,15 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
         at = upto
 
 
+def one_text_each(rows: DataFrame, keys: DataFrame, *on: str) -> DataFrame:
+    """``on, text``: of the rows whose ``on`` is in ``keys`` (few enough to broadcast), one for each, however often it stands there.
+
+    It is the row with the lowest hash of its text, so the order of rows does not matter. Tasks send one text of a key each.
+    """
+    found = rows.join(F.broadcast(keys), list(on), "left_semi").where("text is not null")
+    return found.groupBy(*on).agg(F.min_by("text", F.struct(F.xxhash64("text"), F.crc32(F.col("text").cast("binary")))).alias("text"))
+
+
 def append(df: DataFrame, text: str, fields: Sequence[StructField], make: Callable[[], Callable], limit: int = SLICE_BYTES) -> DataFrame:
     """``df`` with columns computed from its text column, row by row, without a shuffle.
 

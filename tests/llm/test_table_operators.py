@@ -215,13 +215,11 @@ def test_unit_store_that_is_emptied_gives_the_same_ids():
 
     column, kinds = pa.array([prose(i, 300) for i in range(20)]), op9_packing.character_classes()
     whole = op9_packing.token_ids(column, op9_packing.Units(vocabulary_file("word_bpe_49k.json")), kinds)
-    small = op9_packing.Units(vocabulary_file("word_bpe_49k.json"))
-    op9_packing.CACHE_UNITS, kept = 300, op9_packing.CACHE_UNITS
-    try:
+    for room in (0, 1_000, 30_000):  # bytes
+        small = op9_packing.Units(vocabulary_file("word_bpe_49k.json"))
+        small.store.room = room
         parts = [op9_packing.token_ids(column[i : i + 1], small, kinds)[0] for i in range(20)]
-    finally:
-        op9_packing.CACHE_UNITS = kept
-    assert np.array_equal(np.concatenate(parts), whole[0])
+        assert np.array_equal(np.concatenate(parts), whole[0]) and small.store.used <= room
 
 
 def test_mix_is_a_bijection_on_a_sample():
