@@ -144,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str =
     rows = named(docs, doc_id=doc_id, text=text).where("doc_id is not null")
     lot = (F.xxhash64("doc_id"), "doc_id")
     trusted = known.where("quality = 1").select("doc_id").orderBy(*lot).limit(sample)
-    web = rows.select("doc_id").orderBy(*lot).limit(sample).distinct()
+    web = rows.select("doc_id").distinct().orderBy(*lot).limit(sample)
     found = {}
     for name, keys in (("positive", trusted), ("unlabelled", web)):
         texts = rows.join(F.broadcast(keys), "doc_id", "left_semi").select("doc_id", "text")

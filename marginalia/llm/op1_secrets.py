@@ -305,7 +305,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE_TEXTS, doc_id: str = "doc_id", tex
     rows = named(docs, doc_id=doc_id, text=text).where("doc_id is not null and text is not null")
     hint = F.col("text").rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}")
     lot = (F.xxhash64("doc_id"), "doc_id")
-    keys = rows.where(hint).select("doc_id").orderBy(*lot).limit(sample).union(rows.select("doc_id").orderBy(*lot).limit(sample)).distinct()
+    keys = rows.where(hint).select("doc_id").distinct().orderBy(*lot).limit(sample).union(rows.select("doc_id").distinct().orderBy(*lot).limit(sample)).distinct()
     found = one_text_each(rows, keys, "doc_id").select("text").mapInArrow(training_windows, "f array<int>, t array<int>").toPandas()
     field = Field()
     if len(found):

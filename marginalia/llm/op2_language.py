@@ -173,7 +173,7 @@ def fit(docs: DataFrame, order: int = ORDER, train_texts: int = TRAIN_TEXTS, doc
     """
     rows = named(docs, doc_id=doc_id, text=text, lang=lang).where("doc_id is not null and lang is not null and text is not null")
     lot = [F.xxhash64("doc_id"), "doc_id"]
-    chosen = first_k(rows.select("doc_id", "lang"), ["lang"], lot, train_texts, "doc_id").select("doc_id", "lang").distinct()
+    chosen = first_k(rows.select("doc_id", "lang").distinct(), ["lang"], lot, train_texts, "doc_id").select("doc_id", "lang")
     sample = one_text_each(rows, chosen, "doc_id", "lang").select("lang", "text")
 
     def count(batches):
