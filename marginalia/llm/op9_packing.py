@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,7 +25,7 @@ from .shared import Recent, Shipped, mix, named, run_hashes, slices, written
 
 WINDOW = 2048
 END_ID = 1
-SUBS = 256
+SUBS = 4096
 UNITS_ROOM = 40 << 20
 TOGETHER = 500
 
@@ -137,10 +138,13 @@ def token_ids(column: pa.Array, units: Units, kinds: np.ndarray) -> tuple[np.nda
 
 
 def pieces(tokenizer_path: str, window: int):
-    """Task function: ``doc_id, start, length, ids_crc32, doc_tokens`` for the pieces of each text."""
+    """Task function: ``doc_id, start, length, ids_crc32, doc_tokens, number`` for the pieces of each text.
+
+    Pieces are numbered by (task, place in it), so equal ones can be told apart.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, kinds = Units(tokenizer_path), character_classes()
+        units, kinds, number = Units(tokenizer_path), character_classes(), TaskContext.get().partitionId() << 33
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 ids, counts = token_ids(part.column(1), units, kinds)
@@ -161,9 +165,11 @@ def pieces(tokenizer_path: str, window: int):
                         pa.array(length, pa.int64()),
                         pa.array(crc, pa.int64()),
                         pa.array(counts + 1, pa.int64()).take(pa.array(row, pa.int64())),
+                        pa.array(number + np.arange(len(row))),
                     ],
-                    ["doc_id", "start", "length", "ids_crc32", "doc_tokens"],
+                    ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "number"],
                 )
+                number += len(row)
 
     return run
 
@@ -243,19 +249,20 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, doc_id: str
 
     A document is its token ids and the end id, so null and empty texts are one id long. Every row of ``docs`` is packed,
     repeated rows and null ids too. The driver sees the number of pieces per length (at most ``window`` rows) and sends
-    the plan back (at most ``window`` patterns). Ranks come from a window over (length, hash of the piece) and the totals
-    of those parts, so a common length is spread over 256 parts.
+    the plan back (at most ``window`` patterns). Pieces are numbered as they are written; ranks come from a window over
+    (length, hash of the number) and the totals of those parts, so a common length is spread over 4,096 parts, and so are
+    equal rows.
     """
     rows = named(docs, doc_id=doc_id, text=text)
     cut = written(
-        rows.mapInArrow(pieces(tokenizer_path, window), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
-    ).withColumn("sub", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SUBS)))
+        rows.mapInArrow(pieces(tokenizer_path, window), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, number bigint")
+    ).withColumn("sub", F.pmod(F.xxhash64("number"), F.lit(SUBS)))
     totals = cut.groupBy("length", "sub").agg(F.count("*").alias("n"))
     counts = {int(r.length): int(r.n) for r in totals.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     places = Shipped(docs.sparkSession, Places(packing_plan(counts, window)))
     upto = Window.partitionBy("length").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("length", "sub", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("base"))
-    rank = F.row_number().over(Window.partitionBy("length", "sub").orderBy("doc_id", "start", "ids_crc32")) - 1
+    rank = F.row_number().over(Window.partitionBy("length", "sub").orderBy("number")) - 1
     ranked = cut.withColumn("rank", rank).join(bases, ["length", "sub"]).withColumn("rank", F.col("base") + F.col("rank")).drop("sub", "base")
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 

@@ -285,3 +285,36 @@ def test_other_queries_run(spark, name):
     import __spark_entry__
 
     assert __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+# --- hot rows -------------------------------------------------------------------------------------------------------
+def plain_jumps(key_uniforms, shards):
+    """The walk as a loop over shards: every shard number in turn, jumping where the walk lands on it."""
+    at, onwards, i = 0, 0, 0
+    for shard in range(shards):
+        if shard == onwards:
+            at, i = shard, i + 1
+            onwards = math.floor((shard + 1) / key_uniforms(i))
+    return at
+
+
+@pytest.mark.parametrize("shards", [1, 2, 16, 17, 40, 300])
+def test_the_walk_against_a_loop_over_shards(spark, shards):
+    keys = spark.range(400).select(F.when(F.col("id") == 399, None).otherwise(F.col("id") * 7919).alias("k"))
+    uniforms = F.transform(F.sequence(F.lit(1), F.lit(shards + 1)), lambda i: (F.shiftrightunsigned(F.xxhash64("k", i), 33) + 1) / F.lit(float(1 << 31)))
+    for r in keys.select("k", op6_sharding.jump_shard(F.col("k"), shards).alias("shard"), uniforms.alias("u")).collect():
+        assert r.shard == plain_jumps(lambda i: r.u[i - 1], shards)
+
+
+def test_equal_rows_are_spread(spark):
+    n = 200_000
+    docs = spark.range(n, numPartitions=16).select(F.lit(None).cast("long").alias("doc_id"), F.lit("").alias("text"))
+    slots = op6_sharding.assign_shards(docs, 40)
+    got = slots.agg(F.count("*"), F.countDistinct("slot"), F.min("slot"), F.max("slot"), F.countDistinct("shard")).first()
+    assert tuple(got) == (n, n, 0, n - 1, 1)
+    packed = op9_packing.pack(docs, vocabulary_file("word_bpe_49k.json"), 512)
+    got = packed.groupBy("sequence_id").agg(F.countDistinct("offset").alias("d"), F.min("offset").alias("a"), F.max("offset").alias("b"), F.count("*").alias("n"))
+    full, rest = divmod(n, 512)
+    assert sorted((r.n, r.d, r.a, r.b) for r in got.collect()) == sorted([(512, 512, 0, 511)] * full + [(rest, rest, 0, rest - 1)] * bool(rest))
+    sub = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(op9_packing.SUBS))
+    assert docs.groupBy(sub.alias("s")).count().agg(F.max("count")).first()[0] < 4 * n / op9_packing.SUBS
