@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField
 
-from .shared import Shipped, append, named, one_text_each, run_hashes, slices
+from .shared import Shipped, append, named, one_text_each, run_hashes, slices, tidy
 
 # --- fixed values: the base patterns --------------------------------------------------------------------------------
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -306,7 +306,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE_TEXTS, doc_id: str = "doc_id", tex
     hint = F.col("text").rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}")
     lot = (F.xxhash64("doc_id"), "doc_id")
     keys = rows.where(hint).select("doc_id").distinct().orderBy(*lot).limit(sample).union(rows.select("doc_id").distinct().orderBy(*lot).limit(sample)).distinct()
-    found = one_text_each(rows, keys, "doc_id").select("text").mapInArrow(training_windows, "f array<int>, t array<int>").toPandas()
+    found = one_text_each(rows, keys, "doc_id").select("text").mapInArrow(tidy(training_windows), "f array<int>, t array<int>").toPandas()
     field = Field()
     if len(found):
         windows = sorted(((np.array(t), np.array(f)) for t, f in zip(found["t"], found["f"])), key=lambda w: (not w[0].any(), int(np.dot(w[1] % 1009, np.arange(len(w[1])) % 997) % 10007), w[1].tobytes()))[:SAMPLE_WINDOWS]
@@ -365,7 +365,7 @@ def with_secrets(docs: DataFrame, field: Field, text: str = "text", prefix: str
 
         return work
 
-    return append(docs, text, [StructField(prefix + f.name, f.dataType) for f in FIELDS], make, 1 << 20)
+    return append(docs, text, [StructField(prefix + f.name, f.dataType) for f in FIELDS], make, 1 << 19)
 
 
 def masked(docs: DataFrame, field: Field, text: str = "text", length: str | None = "n_chars") -> DataFrame:
@@ -384,7 +384,7 @@ def masked(docs: DataFrame, field: Field, text: str = "text", length: str | None
 
         return work
 
-    out = append(docs, text, [StructField(name, StringType())], make, 1 << 20)
+    out = append(docs, text, [StructField(name, StringType())], make, 1 << 19)
     changed = {text: F.col(name)}
     if length in docs.columns and length != text:
         changed[length] = F.when(F.col(name).eqNullSafe(F.col(f"`{text}`")), F.col(f"`{length}`")).otherwise(F.char_length(name).cast(docs.schema[length].dataType))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField
 
 from ..operators.ordering import first_k
-from .shared import Shipped, append, joined, lowered, named, one_text_each, remainder, slices
+from .shared import Shipped, append, joined, lowered, named, one_text_each, remainder, slices, tidy
 
 ORDER = 4
 TRAIN_TEXTS = 1500
@@ -186,8 +186,10 @@ def fit(docs: DataFrame, order: int = ORDER, train_texts: int = TRAIN_TEXTS, doc
                     codes, n = np.unique(grams(lowered(data), starts, order)[0], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes), pa.string()), pa.array(codes.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
-    found = sample.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    counted = {k: (g["gram"].to_numpy().view(np.uint64), g["n"].to_numpy()) for k, g in found.groupby("lang")}
+    found = sample.mapInArrow(tidy(count), "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    names = found["lang"].combine_chunks().dictionary_encode()
+    which, gram, n = names.indices.to_numpy(), found["gram"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    counted = {name: (gram[which == i], n[which == i]) for i, name in enumerate(names.dictionary.to_pylist())}
     return LanguageModel(list(counted), counted, order)
 
 
@@ -214,7 +216,7 @@ def with_language(docs: DataFrame, model: LanguageModel, text: str = "text", nam
 
         return work
 
-    return append(docs, text, [StructField(names[0], StringType()), StructField(names[1], DoubleType())], make, 2 << 20)
+    return append(docs, text, [StructField(names[0], StringType()), StructField(names[1], DoubleType())], make, 1 << 19)
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.5, text: str = "text") -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..constants import BROADCAST_ROW_BOUND
 from ..operators.bounds import keep_keys
 from .components import components
-from .shared import mix, named, slices, stream, text_shingles, written
+from .shared import mix, named, slices, stream, text_shingles, tidy, written
 
 PERMUTATIONS = 64
 ROWS = 4
@@ -184,7 +184,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """
     source = named(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     shape = "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, bands array<bigint>"
-    rows = written(source.mapInArrow(signatures, shape))
+    rows = written(source.mapInArrow(tidy(signatures), shape))
     key = ["n_shingles", "k1", "k2"]
     # classes have numbers of their own, as a document with several texts can name several of them
     classes = written(
@@ -204,7 +204,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     of = wanted.select(F.col("doc").alias("doc_id")).distinct()
     sets = written(
         keep_keys(source, of, "doc_id", wanted.count())
-        .mapInArrow(shingle_sets, "n_shingles bigint, k1 bigint, k2 bigint, shingles array<bigint>")
+        .mapInArrow(tidy(shingle_sets), "n_shingles bigint, k1 bigint, k2 bigint, shingles array<bigint>")
         .groupBy(*key)
         .agg(F.any_value("shingles").alias("shingles"))
         .join(wanted.select("rep", *key), key)
@@ -230,7 +230,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     Rows with a null doc_id always stay, and so do all rows that repeat a kept doc_id.
     """
     gone = "_gone"
-    while gone in docs.columns:
+    while gone in {c.lower() for c in docs.columns}:
         gone += "_"
     dropped = written(near_duplicates(docs, doc_id, text).where("not kept and doc_id is not null").select(F.col("doc_id").alias(gone)).distinct())
     few = dropped.count() <= BROADCAST_ROW_BOUND

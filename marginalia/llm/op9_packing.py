@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import Recent, Shipped, mix, named, run_hashes, slices, written
+from .shared import Recent, Shipped, mix, named, run_hashes, slices, tidy, written
 
 WINDOW = 2048
 END_ID = 1
@@ -146,7 +146,7 @@ def pieces(tokenizer_path: str, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units, kinds, number = Units(tokenizer_path), character_classes(), TaskContext.get().partitionId() << 33
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", 1 << 19):
                 ids, counts = token_ids(part.column(1), units, kinds)
                 ends = np.cumsum(counts)
                 row, start, length, crc = [], [], [], []
@@ -255,7 +255,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, doc_id: str
     """
     rows = named(docs, doc_id=doc_id, text=text)
     cut = written(
-        rows.mapInArrow(pieces(tokenizer_path, window), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, number bigint")
+        rows.mapInArrow(tidy(pieces(tokenizer_path, window)), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, number bigint")
     ).withColumn("sub", F.pmod(F.xxhash64("number"), F.lit(SUBS)))
     totals = cut.groupBy("length", "sub").agg(F.count("*").alias("n"))
     counts = {int(r.length): int(r.n) for r in totals.groupBy("length").agg(F.sum("n").alias("n")).collect()}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import pickle
 from collections.abc import Callable, Iterator, Sequence
 
@@ -78,7 +80,24 @@ def append(df: DataFrame, text: str, fields: Sequence[StructField], make: Callab
                 made = [pa.array(x, type=k) for x, k in zip(work(part.column(place)), kinds)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], names)
 
-    return df.mapInArrow(run, StructType([*df.schema.fields, *fields]))
+    return df.mapInArrow(tidy(run), StructType([*df.schema.fields, *fields]))
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task function that gives memory back to the system at its end.
+
+    Workers go on to other tasks, and what one operator has freed but kept would add to what the next one needs.
+    """
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library of most Linux systems has it
+        if trim is not None:
+            trim(0)
+
+    return whole
 
 
 class Shipped:
