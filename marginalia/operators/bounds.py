@@ -40,7 +40,7 @@ def attach(
     df: DataFrame,
     side: DataFrame,
     on: Sequence[str],
-    row_key: str,
+    row_key: str | Column,
     bound: int | None,
     how: str = "inner",
 ) -> DataFrame:

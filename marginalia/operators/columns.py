@@ -11,7 +11,7 @@ from ..constants import CODE_INSTRUCTION, COMMIT_INSTRUCTION, DEFAULT_LANGUAGE
 from ..functions.chat import code_chat
 from ..functions.profiles import Profile
 from ..functions.text import blank_if_null, clean, language_norm
-from .bounds import few_values
+from .bounds import attach
 from .ordering import with_rank
 
 KEYS = ("ord", "split")
@@ -67,29 +67,28 @@ def keep(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select(*cols)
 
 
-def label_names(df: DataFrame, col: str, at_most: int = 10_000) -> list[str]:
-    """Names of a categorical column in code order."""
-    values = few_values(df.where(F.col(col).isNotNull()), col, at_most=at_most)
-    if values is None:
-        raise ValueError(f"{col} has more than {at_most} distinct values; it is not a label column")
-    return [v for (v,) in values]
-
-
 def label_table(df: DataFrame, col: str, out: str = "code") -> DataFrame:
     """``col, out``: every distinct label and its 0-based rank, by a distributed rank of any number of labels."""
     labels = df.select(col).where(F.col(col).isNotNull()).distinct()
     return with_rank(labels, [F.asc(col)], "_rank").select(col, (F.col("_rank") - 1).cast("int").alias(out))
 
 
-def encode_label(df: DataFrame, col: str, names: Sequence[str] | None = None, out: str | None = None) -> DataFrame:
+def encode_label(df: DataFrame, col: str, names: Sequence[str] | None = None, out: str | None = None, labels: DataFrame | None = None) -> DataFrame:
     """Replace a label by its 0-based rank among the sorted distinct labels, or by its place in ``names``.
 
-    Without ``names`` the rows meet the table of labels in a join (null labels stay null).
+    Without ``names`` the rows meet the table of labels (``labels``, if there is one already) in a join; null labels stay null.
     """
     if names is not None:
         return df.withColumn(out or col, label_code(F.col(col), list(names)))
-    coded = df.join(label_table(df, col, "_code"), col, "left")
-    return coded.withColumn(out or col, F.col("_code")).drop("_code").select(*dict.fromkeys([*df.columns, out or col]))
+    label, code = (labels if labels is not None else (labels := label_table(df, col))).columns
+    return _looked_up(df, col, labels.select(F.col(label).alias(col), F.col(code).alias("_found")), out)
+
+
+def _looked_up(df: DataFrame, col: str, table: DataFrame, out: str | None) -> DataFrame:
+    """The column's value replaced by ``_found`` of the table. It is broadcast if it is small (it is counted); beyond that the
+    rows are spread over salts by all of their columns, so a value that a third of them has is many tasks' work."""
+    met = attach(df, table, [col], F.xxhash64(*df.columns), table.count(), "left")
+    return met.withColumn(out or col, F.col("_found")).drop("_found").select(*dict.fromkeys([*df.columns, out or col]))
 
 
 def label_code(value: Column, names: Sequence[str]) -> Column:
@@ -105,8 +104,7 @@ def decode_label(
         if labels is None:
             raise ValueError("decode_label takes names or a label table")
         label, code = labels.columns
-        named = df.join(labels.select(F.col(code).alias("_code"), F.col(label).alias("_label")), F.col(col) == F.col("_code"), "left")
-        return named.withColumn(out or col, F.col("_label")).select(*dict.fromkeys([*df.columns, out or col]))
+        return _looked_up(df, col, labels.select(F.col(code).alias(col), F.col(label).alias("_found")), out)
     decoded = F.try_element_at(F.array(*[F.lit(n) for n in names]), F.col(col).cast("int") + 1)
     return df.withColumn(out or col, decoded)
 

@@ -213,8 +213,8 @@ def _(spark, sf):
 @query("p5_decode")
 def _(spark, sf):
     rows = P.keep(I.code_rows(spark, sf), ["ord", "language"])
-    coded = P.encode_label(rows, "language")
-    return P.decode_label(coded, "language", labels=P.label_table(rows, "language"))
+    labels = S.materialize(P.label_table(rows, "language"))
+    return P.decode_label(P.encode_label(rows, "language", labels=labels), "language", labels=labels)
 
 
 @query("p6_first_nonempty")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+import re
 import uuid
 
 from pyspark.sql import SparkSession
@@ -34,12 +35,47 @@ def group_limit_threshold(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
 
 
+_FOLDERS: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``, or the checkpoint folder set by the program.
+
+    On one machine, where neither is set, it lies below the warehouse folder; on a cluster that is an error.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if shared:
+        return shared
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return posixpath.join(spark.conf.get("spark.sql.warehouse.dir"), "scratch")
+
+
 def scratch_folder(spark: SparkSession) -> str:
     """A new folder name for a table that has to be written and read back.
 
-    It lies in the shared folder named by ``spark.checkpoint.dir``; where that is unset, below the warehouse folder, which
-    a cluster shares too. Nothing is removed by itself: clear the ``marginalia-*`` folders when no job uses them.
+    All of them lie in one folder of the application below the shared one, which goes when the application ends
+    (``clear_scratch`` removes it before). An application that was killed leaves its ``marginalia-*`` folder behind.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    shared = shared or posixpath.join(spark.conf.get("spark.sql.warehouse.dir"), "scratch")
-    return posixpath.join(shared, f"marginalia-{uuid.uuid4().hex}")
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDERS:
+        folder = posixpath.join(shared_folder(spark), f"marginalia-{app}-{uuid.uuid4().hex[:8]}")
+        files, path = _files(spark, folder)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _FOLDERS[app] = folder
+    return posixpath.join(_FOLDERS[app], uuid.uuid4().hex)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all scratch tables of this application. Frames that were made from them cannot be read any more."""
+    folder = _FOLDERS.pop(spark.sparkContext.applicationId, None)
+    if folder:
+        files, path = _files(spark, folder)
+        files.delete(path, True)
+
+
+def _files(spark: SparkSession, folder: str) -> tuple:
+    """The file system of a folder, and the folder's path in it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path

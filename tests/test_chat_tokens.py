@@ -198,3 +198,16 @@ def test_percentiles_by_a_histogram(spark):
         assert r["rows"] == sum(x == g for x, _ in data)
         for p, name in ((0, "p0"), (1, "p0_1"), (500, "p50"), (900, "p90"), (999, "p99_9"), (1000, "p100")):
             assert r[name] == (values[max(-(-len(values) * p // 1000), 1) - 1] if values else None)
+
+
+def test_labels_beyond_the_broadcast_bound_are_salted(spark, monkeypatch):
+    from marginalia.operators import bounds
+
+    rows_ = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 100 == 1, None).otherwise(F.concat(F.lit("l"), F.col("id") % 50)).alias("l"))
+    plain = sorted(rows(encode_label(rows_, "l")), key=repr)
+    monkeypatch.setattr(bounds, "BROADCAST_ROW_BOUND", 5)
+    coded = encode_label(rows_, "l")
+    assert "_salt" in coded._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(rows(coded), key=repr) == plain
+    names = sorted({l for _, l in rows(rows_) if l is not None})
+    assert plain == sorted(((i, None if l is None else names.index(l)) for i, l in rows(rows_)), key=repr)
