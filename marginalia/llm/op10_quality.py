@@ -2,7 +2,7 @@
 
 A small network over text statistics is trained with the non-negative unbiased risk: trusted positives stand for the
 positive class, unlabelled web text for the mixture, and the negative part of the risk - the mixture's minus the prior's
-share of the positives' - is not allowed below zero. The class prior is estimated from the labelled rows.
+share of the positives' - is not allowed below zero. The class prior is estimated from positives and unlabelled texts.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from .shared import Shipped, append, distinct_sorted, joined, lowered, named, re
 
 SAMPLE = 20_000
 HIDDEN = 24
+PRIOR_STEPS = 150
+CONFIDENCE = 0.1
 STEPS = 600
 RATE = 0.01
 THRESHOLD = 0.3
@@ -93,14 +95,19 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class QualityModel:
-    """One hidden layer; fitted by minimising the non-negative unbiased risk with the logistic loss."""
+    """One hidden layer; fitted by minimising the non-negative unbiased risk with the logistic loss.
 
-    def __init__(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 10):
+    Without a prior the unlabelled texts are taken for the other class, half against half, which gives the odds that a text
+    is one of the trusted rather than one of the unlabelled.
+    """
+
+    def __init__(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, seed: int = 10, steps: int = STEPS):
         everything = np.concatenate([positive, unlabelled])
         self.mean, self.scale = everything.mean(0), everything.std(0) + 1e-6
         self.prior, rng, d = prior, np.random.default_rng(seed), everything.shape[1]
-        self.w = [rng.normal(0, d**-0.5, (d, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), np.array(np.log(prior / (1 - prior)))]
-        self.fit(self.scaled(positive), self.scaled(unlabelled))
+        start = 0.0 if prior is None else np.log(prior / (1 - prior))
+        self.w = [rng.normal(0, d**-0.5, (d, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), np.array(start)]
+        self.fit(self.scaled(positive), self.scaled(unlabelled), steps)
 
     def scaled(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.mean) / self.scale, -6, 6)
@@ -113,34 +120,72 @@ class QualityModel:
         back = slope[:, None] * self.w[2] * (1 - hidden**2)
         return [x.T @ back, back.sum(0), hidden.T @ slope, slope.sum()]
 
-    def fit(self, p: np.ndarray, u: np.ndarray) -> None:
-        m, v = [np.zeros_like(w) for w in self.w], [np.zeros_like(w) for w in self.w]
-        for step in range(1, STEPS + 1):
-            (fp, hp), (fu, hu) = self.logits(p), self.logits(u)
+    def risk(self, p: np.ndarray, u: np.ndarray) -> tuple[float, list[np.ndarray]]:
+        """What a step lowers, and its gradient.
+
+        The unbiased risk is prior * E_p[loss(f)] + (E_u[loss(-f)] - prior * E_p[loss(-f)]). The second part estimates the risk
+        on the other class, which cannot be negative: where it is, the model has overfitted, and the step raises that part.
+        """
+        (fp, hp), (fu, hu) = self.logits(p), self.logits(u)
+        sp, su = sigmoid(fp) / len(p), sigmoid(fu) / len(u)
+        if self.prior is None:
+            value, slope_p, slope_u = (softplus(-fp).mean() + softplus(fu).mean()) / 2, (sp - 1 / len(p)) / 2, su / 2
+        else:
             negative = softplus(fu).mean() - self.prior * softplus(fp).mean()
-            sp, su = sigmoid(fp) / len(p), sigmoid(fu) / len(u)
-            if negative >= 0:  # the whole risk goes down
-                slope_p, slope_u = self.prior * (sp - 1 / len(p)) - self.prior * sp, su
-            else:  # the negative part has overfitted: it goes back up
-                slope_p, slope_u = self.prior * sp, -su
-            grads = [a + b + 1e-4 * w for a, b, w in zip(self.gradient(p, hp, slope_p), self.gradient(u, hu, slope_u), self.w)]
-            for i, g in enumerate(grads):
+            if negative >= 0:
+                value, slope_p, slope_u = self.prior * softplus(-fp).mean() + negative, self.prior * (sp - 1 / len(p)) - self.prior * sp, su
+            else:
+                value, slope_p, slope_u = -negative, self.prior * sp, -su
+        return float(value), [a + b for a, b in zip(self.gradient(p, hp, slope_p), self.gradient(u, hu, slope_u))]
+
+    def fit(self, p: np.ndarray, u: np.ndarray, steps: int) -> None:
+        m, v = [np.zeros_like(w) for w in self.w], [np.zeros_like(w) for w in self.w]
+        for step in range(1, steps + 1):
+            for i, (g, w) in enumerate(zip(self.risk(p, u)[1], self.w)):
+                g = g + 1e-4 * w
                 m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.999 * v[i] + 0.001 * g**2
-                self.w[i] = self.w[i] - RATE * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
+                self.w[i] = w - RATE * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return sigmoid(self.logits(self.scaled(x))[0])
 
 
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among the unlabelled, from those two samples alone (no known negatives).
+
+    Among the texts that a classifier of positives against unlabelled ranks above some place, there are at least prior times
+    as large a share of the unlabelled as of the positives, and no more where no other texts rank. So the prior is the smallest
+    ratio of the two shares on texts that the classifier has not seen; the place is chosen where its upper confidence bound is
+    smallest, so that a few texts at the top do not decide. Both halves of the samples take either part once.
+    """
+    found = []
+    for turn in (0, 1):
+        (pa, pb), (ua, ub) = ((x[turn::2], x[1 - turn :: 2]) for x in (positive, unlabelled))
+        if not len(pa) or not len(pb) or not len(ua) or not len(ub):
+            return 0.5
+        model = QualityModel(pa, ua, None, steps=PRIOR_STEPS)
+        p, u = np.sort(model.score(pb)), np.sort(model.score(ub))
+        places = np.unique(p)
+        above_p = 1 - np.searchsorted(p, places) / len(p)
+        above_u = 1 - np.searchsorted(u, places) / len(u)
+        slack_p, slack_u = (np.sqrt(np.log(4 / CONFIDENCE) / (2 * n)) for n in (len(p), len(u)))
+        able = above_p > 2 * slack_p
+        if not able.any():
+            found.append(1.0)
+            continue
+        best = np.argmin((above_u[able] + slack_u) / (above_p[able] - slack_p))
+        found.append(float(above_u[able][best] / above_p[able][best]))
+    return float(np.mean(found))
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", quality: str = "quality") -> QualityModel | None:
     """Learn from at most ``sample`` positives and as many unlabelled texts (those with the lowest id hash).
 
     ``labels`` gives (doc_id, quality); rows with a null in either are ignored, and so are repeated ones. A document with
-    both labels counts as not trusted. The prior is the labelled rows' share of positives, kept within 0.05 and 0.95.
-    None if there are no positives or no texts.
+    both labels counts as not trusted. Labels other than 1 are used for that alone: the prior is estimated from the positives
+    and the unlabelled texts (``estimated_prior``), kept within 0.05 and 0.95. None if there are no positives or no texts.
     """
     known = named(labels, doc_id=doc_id, quality=quality).where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    share = known.agg(F.avg((F.col("quality") == 1).cast("double")).alias("share")).first().share
     rows = named(docs, doc_id=doc_id, text=text).where("doc_id is not null")
     lot = (F.xxhash64("doc_id"), "doc_id")
     trusted = known.where("quality = 1").select("doc_id").orderBy(*lot).limit(sample)
@@ -152,10 +197,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str =
         stated = texts.mapInArrow(feature_rows, f"doc_id {kind}, f array<double>")
         got = stated.groupBy("doc_id").agg(F.min("f").alias("f")).select("f").toPandas()["f"]  # one row of an id that repeats
         found[name] = np.array(got.tolist(), float)
-    if share is None or not len(found["positive"]) or not len(found["unlabelled"]):
+    if not len(found["positive"]) or not len(found["unlabelled"]):
         return None
     order = {k: x[np.lexsort(x.T)] for k, x in found.items()}  # sums do not depend on the order of tasks
-    return QualityModel(order["positive"], order["unlabelled"], float(np.clip(share, 0.05, 0.95)))
+    # halves are drawn by a fixed shuffle, as sorted rows are alike in pairs
+    mixed = {k: x[np.random.default_rng(len(x)).permutation(len(x))] for k, x in order.items()}
+    prior = estimated_prior(mixed["positive"], mixed["unlabelled"])
+    return QualityModel(order["positive"], order["unlabelled"], float(np.clip(prior, 0.05, 0.95)))
 
 
 def feature_rows(batches):

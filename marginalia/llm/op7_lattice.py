@@ -174,11 +174,13 @@ def byte_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Arra
 
 
 def score_texts(docs: DataFrame, train: Column, model_file: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``: one row per row of ``docs``.
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score``: one row per row of ``docs``.
 
     ``train`` says which rows teach (null: no). Tokens are the words of the text with A-Z lowered, then one end; a null
     text is empty. With c the training count of a token, N of all and V distinct ones: ``base_score`` sums
-    log10((c+1) / (N+V+1)), ``score`` sums log10((c + (V+1) q) / (N+V+1)), where q is the token's lattice probability.
+    log10((c+1) / (N+V+1)), ``score`` sums log10((c + (V+1) q) / (N+V+1)), where q is the token's lattice probability: the
+    lattice of a word that training knows has one more arc, from end to end. ``lattice_score`` sums log10(q), the marginal
+    probability under the vocabulary's own scores alone.
 
     Documents are turned into (chunk, word) rows in one pass; words meet their corpus count by an equi-join, so the
     vocabulary may be of any size, and the rows go back to their chunk, where the sums per document are made. A frequent
@@ -208,7 +210,7 @@ def score_texts(docs: DataFrame, train: Column, model_file: str, doc_id: str = "
     def sums(key, docs_: pa.Table, words_: pa.Table) -> pa.Table:
         many = docs_.num_rows
         place = np.argsort(docs_["local"].to_numpy())
-        known, base, score = (np.zeros(many) for _ in range(3))
+        known, base, score, lattice = (np.zeros(many) for _ in range(4))
         if words_.num_rows:
             blob = words_.select(["docs", "times"]).combine_chunks()
             owner, times = (np.frombuffer(b"".join(blob[c].to_pylist()), "<u2").astype(np.int64) for c in ("docs", "times"))
@@ -217,6 +219,7 @@ def score_texts(docs: DataFrame, train: Column, model_file: str, doc_id: str = "
             known = np.bincount(owner, times * np.repeat(c > 0, per), many)
             base = np.bincount(owner, times * np.repeat(np.log10(c + 1) - room, per), many)
             score = np.bincount(owner, times * np.repeat(log10_sum(c, q, v) - room, per), many)
+            lattice = np.bincount(owner, times * np.repeat(q, per), many)
         ordered = docs_.take(pa.array(place))
         return pa.table(
             {
@@ -227,11 +230,12 @@ def score_texts(docs: DataFrame, train: Column, model_file: str, doc_id: str = "
                 "train_tokens": pa.array(np.full(many, n, np.int64)),
                 "base_score": pa.array(base + end_base),
                 "score": pa.array(score + end_score),
+                "lattice_score": pa.array(lattice + end_lattice),
             }
         )
 
     counted = words.select("chunk", "word", "docs", "times").join(vocabulary, "word").select(F.col("chunk").alias("of"), "docs", "times", "c", "lattice")
-    shape = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    shape = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, lattice_score double"
     return texts.groupBy("chunk").cogroup(counted.groupBy("of")).applyInArrow(sums, shape)
 
 

@@ -91,6 +91,7 @@ def test_scores_equal_sums_over_all_segmentations(spark):
         r = got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(w) + 1, sum(counts[x] > 0 for x in w) + 1, n)
         assert math.isclose(r.base_score, base, rel_tol=1e-9) and math.isclose(r.score, score, rel_tol=1e-9)
+        assert math.isclose(r.lattice_score, sum(math.log10(lattice(x)) for x in w) + math.log10(end), rel_tol=1e-9)
 
 
 def test_long_words_and_nothing_to_learn_from(spark):
