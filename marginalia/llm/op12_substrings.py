@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import joined, mix, named, run_hashes, slices, stream, word_bounds, written
+from .shared import joined, mix, named, run_hashes, slices, stream, tidy, word_bounds, written
 
 WINDOW = 20
 GRAM = 5
 SHARD_WORDS = 100_000
-MOST_CLASSES = 200
+MOST_CLASSES = 1_000
 LAST_ID = (1 << 63) - 1
 ODD = 0x9E3779B97F4A7C15
 
@@ -175,64 +175,62 @@ def find_runs(window: int):
     return run
 
 
-def each_text(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """``(d, t, places, word starts and ends within the bytes, bytes)`` of rows with places; a text that repeats in a row once."""
-    before = None
-    for batch in batches:
-        for part in slices(batch, "text"):
-            data, starts, ends, per = text_words(part.column(2))
-            first = np.cumsum(per) - per
-            for i, (d, t, places) in enumerate(zip(*(part.column(c).to_pylist() for c in (0, 1, 3)))):
-                if (d, t) != before:
-                    before = d, t
-                    yield d, t, places, starts[first[i] : first[i] + per[i]], ends[first[i] : first[i] + per[i]], data
+def spaced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The bytes of the given words, a space after each (every word has a byte after it)."""
+    sizes = ends - starts + 1
+    upto = np.cumsum(sizes)
+    out = data[np.arange(int(sizes.sum())) - np.repeat(upto - sizes - starts, sizes)]
+    out[upto - 1] = 0x20
+    return out
 
 
-def run_words(window: int, shards: int):
-    """Task function: the words of the wanted runs, with their shard."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["shard", "d", "t", "start", "words"]
-        out: list[tuple] = []
-        for d, t, places, starts, ends, data in each_text(batches):
-            for p in places:
-                begin, upto = p["start"], p["start"] + p["n"] + window - 1
-                words = [data[a:b].tobytes() for a, b in zip(starts[begin:upto].tolist(), ends[begin:upto].tolist())]
-                out.append((p["h"] % shards, d, t, begin, b" ".join(words).decode()))
-            if len(out) >= 10_000:
-                yield columns(out, [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()], names)
-                out = []
-        if out:
-            yield columns(out, [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()], names)
-
-    return run
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``starts[i], starts[i] + 1, ...`` (``sizes[i]`` of them), one after the other."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes - starts, sizes)
 
 
-def single_windows(window: int):
-    """Task function: every window of the wanted runs by itself, as two hashes of its words."""
+def wanted_runs(window: int, shards: int):
+    """Task function: the words of runs for the shards, and every window by itself (two hashes) of runs with ``many``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for d, t, places, starts, ends, data in each_text(batches):
-            words = run_hashes(data, starts, ends)
-            at = np.concatenate([np.arange(p["start"], p["start"] + p["n"]) for p in places])
-            one, two = (range_hashes(words, at, at + window, seed).view(np.int64) for seed in (31, 32))
-            same = [pa.array(np.full(len(at), d)), pa.array(np.full(len(at), t), pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), *same, pa.array(at.astype(np.int32))], ["h", "k", "d", "t", "start"])
+        names = ["many", "h", "k", "d", "t", "start", "words"]
+        for batch in batches:
+            for part in slices(batch, "text"):
+                data, starts, ends, per = text_words(part.column(2))
+                first, places = np.cumsum(per) - per, part.column(3)
+                row = np.repeat(np.arange(part.num_rows), np.diff(places.offsets.to_numpy()))
+                start, n, h, many = (places.flatten().field(f).to_numpy(zero_copy_only=False) for f in ("start", "n", "h", "many"))
+                at, n = first[row] + start, n.astype(np.int64)
+                few, some = np.flatnonzero(~many), np.flatnonzero(many)
+                if len(few):
+                    words = ranges(at[few], n[few] + window - 1)
+                    flat = spaced(data, starts[words], ends[words])
+                    bounds = np.concatenate([[0], np.cumsum(ends[words] - starts[words] + 1)])[np.concatenate([[0], np.cumsum(n[few] + window - 1)])]
+                    text = pa.Array.from_buffers(pa.large_string(), len(few), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(flat)])
+                    yield rows_of(part, row[few], names, False, h[few] % shards, np.zeros(len(few), np.int64), start[few], text.cast(pa.string()))
+                if len(some):
+                    begin = ranges(at[some], n[some])
+                    one, two = (range_hashes(run_hashes(data, starts, ends), begin, begin + window, seed).view(np.int64) for seed in (31, 32))
+                    which = np.repeat(row[some], n[some])
+                    yield rows_of(part, which, names, True, one, two, begin - first[which], pa.nulls(len(begin), pa.string()))
 
     return run
 
 
-def columns(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+def rows_of(part: pa.RecordBatch, row: np.ndarray, names: list[str], many: bool, h: np.ndarray, k: np.ndarray, start: np.ndarray, words: pa.Array) -> pa.RecordBatch:
+    own = pa.array(row)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(len(row), many)), pa.array(h), pa.array(k), part.column(0).take(own), part.column(1).take(own), pa.array(start.astype(np.int32)), words], names
+    )
 
 
 def in_shard(window: int):
     """Group function: the spans of a shard's runs whose windows end earlier in another of its runs."""
 
     def spans(table):
-        rows = sorted(zip(*(table[c].to_pylist() for c in ("d", "start", "t", "words"))))
+        rows = sorted(set(zip(*(table[c].to_pylist() for c in ("d", "start", "t", "words")))))
         known: dict[str, int] = {}
-        sequences = [[known.setdefault(w, len(known)) for w in words.split(" ")] for *_, words in rows]
+        sequences = [[known.setdefault(w, len(known)) for w in words[:-1].split(" ")] for *_, words in rows]
         # ranks follow (document, place); the same place in two texts of one id is one rank
         where = np.array([(d, start + i) for (d, start, *_), s in zip(rows, sequences) for i in range(len(s))]).reshape(-1, 2)
         order = np.lexsort((where[:, 1], where[:, 0]))
@@ -274,13 +272,8 @@ def kept_words(keep_text: bool):
                         change[first + s["begin"]] += 1
                         change[first + s["upto"]] -= 1
                 keep = np.cumsum(change)[:-1] == 0
-                # the kept words' bytes, each with the byte after it made a space
-                sizes = ends[keep] - starts[keep] + 1
-                at = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes - starts[keep], sizes)
-                whole = data[at]
-                whole[np.cumsum(sizes) - 1] = 0x20
-                flat = whole.tobytes()
-                upto = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(keep)])[np.append(base, len(keep))]].tolist()
+                flat = spaced(data, starts[keep], ends[keep]).tobytes()
+                upto = np.concatenate([[0], np.cumsum(ends[keep] - starts[keep] + 1)])[np.concatenate([[0], np.cumsum(keep)])[np.append(base, len(keep))]].tolist()
                 texts = [flat[a : max(a, b - 1)] for a, b in zip(upto, upto[1:])]
                 removed = per - np.diff(np.concatenate([[0], np.cumsum(keep)])[np.append(base, len(keep))])
                 columns_ = [part.column(0), pa.array(per, pa.int64()), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string())]
@@ -313,12 +306,12 @@ def remove_repeats(
     No group of equal things meets in one task: runs are counted and their first places found by aggregates with a map-side
     part, and brought back by joins that adaptive execution splits. A shard has about ``shard_words`` words: an anchor with
     more than ``most_classes`` different runs is not dealt to one, its windows are compared one by one as classes of their own.
-    Texts are shuffled once, to meet the runs that are wanted of them and, in the same exchange, their spans.
+    Texts are shuffled twice: to meet the runs that are wanted of them, and to meet their spans.
     """
     source = named(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     # two texts under one id are told apart by the hash; neither key is ever null
     source = source.select("doc_id", "text", F.coalesce("doc_id", F.lit(LAST_ID)).alias("d"), F.hash("text").alias("t"))
-    found = source.select("d", "t", "text").mapInArrow(find_runs(window), "h bigint, k bigint, d bigint, t int, start int, n int")
+    found = source.select("d", "t", "text").mapInArrow(tidy(find_runs(window)), "h bigint, k bigint, d bigint, t int, start int, n int")
     common = found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
     runs = written(found.join(common, "h", "left_semi"))
     place = F.struct("d", "start")
@@ -328,22 +321,18 @@ def remove_repeats(
     marked = written(marked.where("not is_first or c > 1").select("h", "d", "t", "start", "n", "is_first", "c"))
     spans = marked.where("not is_first").select("d", "t", F.col("start").alias("begin"), (F.col("start") + F.col("n") + (window - 1)).alias("upto"))
     shared = marked.where("is_first").select("h", "d", "t", "start", "n", (F.col("c") > most_classes).alias("many")).distinct()
-    total = {r.many: int(r.words) for r in shared.groupBy("many").agg(F.sum(F.col("n") + (window - 1)).alias("words")).collect()}
-
-    def wanted(many: bool) -> DataFrame:
-        places = shared.where(F.col("many") == many).groupBy("d", "t").agg(F.sort_array(F.collect_list(F.struct("start", "n", "h"))).alias("places"))
-        return source.join(places, ["d", "t"]).select("d", "t", "text", "places")
-
-    shape = "d bigint, t int, begin int, upto int"
-    if False in total:
-        shards = -(-total[False] // shard_words)
-        dealt = wanted(False).mapInArrow(run_words(window, shards), "shard bigint, d bigint, t int, start int, words string")
-        spans = spans.unionByName(dealt.groupBy("shard").applyInArrow(in_shard(window), shape))
-    if True in total:
-        single = wanted(True).mapInArrow(single_windows(window), "h bigint, k bigint, d bigint, t int, start int")
-        first = single.groupBy("h", "k").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1")
-        again = single.join(first, ["h", "k"]).where(place != F.col("first"))
-        spans = spans.unionByName(again.select("d", "t", F.col("start").alias("begin"), (F.col("start") + window).alias("upto")))
+    words = shared.agg(F.coalesce(F.sum(F.when(~F.col("many"), F.col("n") + (window - 1))), F.lit(0)).alias("n")).first().n
+    shards = max(1, -(-int(words) // shard_words))
+    places = shared.groupBy("d", "t").agg(F.sort_array(F.collect_set(F.struct("start", "n", "h", "many"))).alias("places"))
+    found = source.join(places, ["d", "t"]).select("d", "t", "text", "places").mapInArrow(
+        tidy(wanted_runs(window, shards)), "many boolean, h bigint, k bigint, d bigint, t int, start int, words string"
+    )
+    found = written(found, "many")
+    spans = spans.unionByName(found.where("not many").groupBy("h").applyInArrow(in_shard(window), "d bigint, t int, begin int, upto int"))
+    single = found.where("many").select("h", "k", "d", "t", "start")
+    first = single.groupBy("h", "k").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1")
+    again = single.join(first, ["h", "k"]).where(place != F.col("first"))
+    spans = spans.unionByName(again.select("d", "t", F.col("start").alias("begin"), (F.col("start") + window).alias("upto")))
     by_text = spans.groupBy("d", "t").agg(F.collect_set(F.struct("begin", "upto")).alias("spans"))
     out = source.join(by_text, ["d", "t"], "left").select("doc_id", "text", "spans")
     return out.mapInArrow(kept_words(keep_text), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + (", kept string" if keep_text else ""))
