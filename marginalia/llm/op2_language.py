@@ -62,6 +62,10 @@ class ContextTree:
                 excluded = np.zeros(len(contexts))
             self.levels.append({"followers": followers, "n": n, "contexts": contexts, "total": total, "distinct": distinct, "excluded": excluded})
 
+    def forget_longest(self) -> None:
+        """Drop the followers of the longest contexts: grams that any language has seen are looked up in one table."""
+        self.levels[-1] |= {"followers": np.empty(0, np.uint64), "n": np.empty(0)}
+
     def bits(self, codes: np.ndarray) -> np.ndarray:
         """Code length of each gram's last byte after the bytes before it."""
         cost, open_ = np.zeros(len(codes)), np.arange(len(codes))
@@ -136,6 +140,8 @@ class LanguageModel:
         self.trees = [ContextTree(*counted[x], order) for x in self.languages]
         self.known = np.unique(np.concatenate([counted[x][0] for x in self.languages])) if languages else np.empty(0, np.uint64)
         self.bits = self.of(self.known).astype(np.float32)
+        for tree in self.trees:
+            tree.forget_longest()
 
     def of(self, codes: np.ndarray) -> np.ndarray:
         return np.stack([tree.bits(codes) for tree in self.trees], 1) if self.trees else np.zeros((len(codes), 0))

@@ -113,6 +113,8 @@ class Shipped:
     def value(self):
         if self.held is None:
             self.held = (pickle.loads(self.data.value),)
+            # the pickled bytes would stay in memory beside the object; who asks again reads them from the worker's file
+            vars(self.data).pop("_value", None)
         return self.held[0]
 
 
