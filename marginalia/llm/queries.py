@@ -106,6 +106,18 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in made}
 
 
+# Every window of 20 words, numbered among its equals by place; words that a later one covers are gone.
+OP12_SQL = r"""with split as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+  places as (select doc_id, words, unnest(words) as word, generate_subscripts(words, 1) as i from split),
+  windows as (select doc_id, i, row_number() over (partition by array_to_string(words[i:i + 19], ' ') order by doc_id, i) as nth
+    from places where i + 19 <= len(words)),
+  gone as (select distinct doc_id, i + k as i from windows cross join (select unnest(range(20)) as k) where nth > 1),
+  kept as (select p.doc_id, count(*) as n, string_agg(word, ' ' order by p.i) as rest from places p anti join gone g on p.doc_id = g.doc_id and p.i = g.i
+    group by p.doc_id)
+select s.doc_id, cast(len(words) as bigint) as n_words, cast(len(words) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(rest, '')) as kept_sha256
+from split s left join kept using (doc_id)"""
+
+
 def llm_oracle() -> dict[str, str]:
-    """None of them has SQL of its own: hashes, trained models and searches are tested against brute force."""
-    return {}
+    """Windows of words can be compared in SQL; hashes, trained models, tokenizers and searches are tested against brute force."""
+    return {"op12_kept_words": OP12_SQL}
