@@ -312,7 +312,8 @@ def remove_repeats(
     # two texts under one id are told apart by the hash; neither key is ever null
     source = source.select("doc_id", "text", F.coalesce("doc_id", F.lit(LAST_ID)).alias("d"), F.hash("text").alias("t"))
     found = source.select("d", "t", "text").mapInArrow(tidy(find_runs(window)), "h bigint, k bigint, d bigint, t int, start int, n int")
-    common = found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    # written, so that the join has plain exchanges on both sides and adaptive execution can split a frequent anchor
+    common = written(found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"))
     runs = written(found.join(common, "h", "left_semi"))
     place = F.struct("d", "start")
     classes = written(runs.groupBy("h", "k").agg(F.min(place).alias("first")))
