@@ -33,7 +33,7 @@ def shuffle_key(key: str | Column, seed: int = SEED) -> Column:
 _COMBINE = {"sum": F.sum, "max": F.max}
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
     """The table written to the shared scratch folder and read from there, so that it is worked out once."""
     path = scratch_folder(df.sparkSession)
     df.write.parquet(path)
@@ -64,7 +64,7 @@ def carry_table(
         .groupBy(*by, "_b1")
         .agg(*[_COMBINE[how](expr).alias(name) for name, (expr, how) in measures.items()])
     )
-    level = _kept(totals)
+    level = kept(totals)
     result = None
     for n in (1, 2, 3):
         here, above = f"_b{n}", f"_b{n + 1}"
@@ -125,7 +125,7 @@ def with_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> Dat
     too, so the ranges stay what they are; each range is ranked by itself and gets the number of rows before it. One row per
     range meets in one place.
     """
-    placed = _kept(_kept(df).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    placed = kept(kept(df).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
     offsets = sizes.select("_part", F.coalesce(F.sum("_rows").over(_before([], "_part")), F.lit(0)).alias("_offset"))
     rank = F.row_number().over(W.partitionBy("_part").orderBy(*order)) + F.col("_offset")
@@ -147,7 +147,7 @@ def exact_quantiles(df: DataFrame, values: Mapping[str, Column], by: Sequence[st
     listed = F.explode(F.array(*[F.struct(F.lit(name).alias("measure"), v.cast("bigint").alias("_value")) for name, v in values.items()]))
     keys = [*by, "measure"]
     counted = df.select(*by, listed.alias("_m")).select(*by, "_m.measure", "_m._value").groupBy(*keys, "_value").agg(F.count(F.lit(1)).alias("_n"))
-    histogram = _kept(counted)
+    histogram = kept(counted)
     known = F.when(F.col("_value").isNotNull(), F.col("_n")).otherwise(F.lit(0))
     totals = histogram.groupBy(*keys).agg(F.sum("_n").alias("rows"), F.sum(known).alias("_all"))
     carry = carry_table(histogram, keys, "_value", {"_offset": (known, "sum")})

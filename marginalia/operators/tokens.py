@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..constants import BROADCAST_ROW_BOUND, EVAL_BATCH_SIZE, IGNORE_LABEL, MAX_TOKENS
 from ..functions.chat import has_tag, prompt_end, prompt_of
 from ..functions.text import Name, col
-from .ordering import exact_quantiles, with_position, with_rank
+from .ordering import exact_quantiles, kept, with_position, with_rank
 
 # Tags, the newline, words, and any other visible character by itself. A newline is always a token of its own, so the
 # tokens of a prompt (which ends with one) are a prefix of the tokens of the full text.
@@ -49,13 +49,19 @@ class TokenSource:
     ends: Callable[[Column, int], Column] | None = None
 
 
+# The two Arrow functions below are marked as not deterministic, though they are: so the engine neither moves them into a lambda
+# of a later step, where they cannot run, nor runs them once for each use.
+# Tokens that the head of a vocabulary does not have are numbered in their text from here on, until the rest has been asked.
+FIRST_SPARE, LAST_SPARE = -(1 << 31), -(1 << 30)
+
+
 @dataclass(frozen=True)
 class VocabularySource:
     """Ids from a vocabulary table of any size (``token, id``); tokens it does not have get the unknown id.
 
     Ids follow the count, so the tokens with an id below the broadcast bound are the frequent ones, and they are no more rows
-    than that. They meet the text in a broadcast join, and no token is shuffled. Only if the vocabulary has more, the tokens
-    that were not found, rare ones all of them, meet the rest in a shuffled join.
+    than that. Every task has them and looks up the tokens of its texts, so a text stays one row. Only if the vocabulary has
+    more, the tokens that were not found, rare ones all of them, meet the rest in a shuffled join.
     """
 
     vocab: DataFrame
@@ -67,41 +73,124 @@ class VocabularySource:
         return token_count(text, self.pattern)
 
     def ids(
-        self, df: DataFrame, max_len: int, keys: Sequence[str], carried: Sequence[str] = (), ends: bool = False, dealt: bool = False
+        self,
+        df: DataFrame,
+        max_len: int,
+        keys: Sequence[str],
+        carried: Sequence[str] = (),
+        ends: bool = False,
+        beside: DataFrame | None = None,
+        on: str = "ord",
     ) -> DataFrame:
         """``keys``, ``carried`` (narrow columns that follow from the keys), ``input_ids`` and, on request, ``token_ends``.
 
-        ``keys`` name a row. The texts move once, to their keys, and are cut to ``max_len`` tokens there; the tokens become
-        rows, meet the vocabulary and become arrays again where they are. ``dealt`` says that ``df`` is partitioned by some of
-        its keys already. ``token_ends`` are places after the tokens, in code points.
+        ``keys`` name a row; texts that share them become one row, place by place. Texts are cut to ``max_len`` tokens and become
+        arrays where they are, and the arrays move once, to their keys. Some of the keys can come from ``beside``, which the
+        arrays meet by ``on``. ``token_ends`` are places after the tokens, in code points.
         """
         names = [*keys, *carried]
-        rows = df if dealt else df.repartition(*[F.col(k) for k in keys])
-        piece = F.regexp_extract_all("text", F.lit(self.skipped + f"(?:{self.pattern})"), F.lit(0)) if ends else token_list("text", self.pattern)
-        some = F.col("text").isNotNull().alias("_some")
-        placed = rows.select(*names, some, F.posexplode_outer(F.slice(piece, 1, max_len)).alias("_pos", "_piece"))
-        entry = [F.col("_pos")]
-        if ends:
-            before = W.partitionBy(*names).orderBy("_pos").rowsBetween(W.unboundedPreceding, 0)
-            placed = placed.withColumn("_end", F.sum(F.length("_piece")).over(before).cast("int"))
-            entry.append(F.col("_end"))
-        token = F.regexp_extract("_piece", f"^{self.skipped}((?s:.*))$", 1) if ends and self.skipped else F.col("_piece")
-        placed = placed.withColumn("token", token).drop("_piece")
-        head = F.broadcast(self.vocab.where(F.col("id") < self.bound).select("token", "id"))
-        found = placed.join(head, "token", "left")
         tail = self.vocab.where(F.col("id") >= self.bound).select("token", "id")
-        if not tail.isEmpty():
-            known = F.col("id").isNotNull() | F.col("token").isNull()
-            rest = found.where(~known).drop("id").join(tail, "token", "left")
-            found = found.where(known).unionByName(rest)
-        made = F.struct(*entry, F.coalesce("id", F.lit(UNKNOWN_ID)).alias("id"))
-        lists = found.groupBy(*names, "_some").agg(F.sort_array(F.collect_list(F.when(F.col("token").isNotNull(), made))).alias("_ids"))
-
-        def arrays(field: str) -> Column:
-            return F.when(F.col("_some"), F.transform("_ids", lambda x: x[field]))
-
-        more = [arrays("_end").alias("token_ends")] if ends else []
-        return lists.select(*names, arrays("id").alias("input_ids"), *more)
+        tail = None if tail.isEmpty() else tail
+        coded = self._coded(df, max_len, [c for c in names if beside is None or c == on or c not in beside.columns], ends, tail is not None)
+        if tail is not None:
+            coded = kept(coded)  # two steps read it; without it every text is cut twice
+        if beside is not None:
+            coded = coded.join(beside.hint("shuffle_merge"), on)
+        listed = F.struct("_ids", "_lengths").alias("_list")
+        if tail is None:
+            lists = coded if beside is not None else coded.repartition(*[F.col(k) for k in keys])
+            lists = lists.groupBy(*names, "_some").agg(F.collect_list(listed).alias("_lists"))
+        else:
+            found = coded.select(*names, "_some", listed).unionByName(self._rest(coded, names, tail), allowMissingColumns=True)
+            lists = found.groupBy(*names, "_some").agg(F.collect_list("_list").alias("_lists"), F.sort_array(F.collect_list("_entry")).alias("_rest"))
+
+        def final(one: Column) -> Column:
+            """Spare numbers are places in the rest of the text's tokens, which is in the order of the text."""
+            if tail is None:
+                return one["_ids"]
+            place = lambda x: (x.cast("bigint") - F.lit(FIRST_SPARE)).cast("int")
+            return F.transform(one["_ids"], lambda x: F.when(x < LAST_SPARE, F.get("_rest", place(x))["id"]).otherwise(x))
+
+        def entries(one: Column) -> Column:
+            made = F.transform(one["_ids"], lambda x, i: F.struct(i.alias("pos"), F.get(one["_lengths"], i).alias("length"), x.alias("id")))
+            return made if tail is None else F.filter(made, lambda e: e["id"] >= LAST_SPARE)
+
+        several = F.flatten(F.transform("_lists", entries))
+        several = F.sort_array(several if tail is None else F.concat(several, "_rest"))
+        first, alone = F.get("_lists", F.lit(0)), F.size("_lists") == 1
+
+        def arrays(one: Column, field: str) -> Column:
+            return F.when(F.col("_some"), F.when(alone, one).otherwise(F.transform(several, lambda e: e[field])))
+
+        made = lists.select(*names, arrays(final(first), "id").alias("input_ids"), arrays(first["_lengths"], "length").alias("_lengths"))
+        if not ends:
+            return made.drop("_lengths")
+        # the lengths are named twice, or their lambdas would become part of the function's argument, where they cannot run
+        return made.withColumn("token_ends", F.when(F.col("_lengths").isNotNull(), _running_total()("_lengths"))).drop("_lengths")
+
+    def _coded(self, df: DataFrame, max_len: int, names: Sequence[str], ends: bool, rare: bool) -> DataFrame:
+        """``names, _some`` (is there a text), ``_ids, _missing, _lengths`` row by row; with ``rare``, missing tokens have spare numbers."""
+        piece = F.regexp_extract_all("text", F.lit(f"{self.skipped}({self.pattern})"), F.lit(0)) if ends else token_list("text", self.pattern)
+        token = F.regexp_extract_all("text", F.lit(f"{self.skipped}({self.pattern})"), F.lit(1)) if ends and self.skipped else piece
+        cut = [F.slice(c, 1, max_len).alias(name) for c, name in ((piece, "_pieces"), (token, "_tokens"))]
+        coded = df.select(*names, F.col("text").isNotNull().alias("_some"), *cut).withColumn("_found", self._look_up(rare)("_tokens", "_pieces"))
+        lengths = F.col("_found.lengths") if ends else F.lit(None).cast("array<int>")
+        return coded.select(*names, "_some", F.col("_found.ids").alias("_ids"), F.col("_found.missing").alias("_missing"), lengths.alias("_lengths"))
+
+    def _look_up(self, rare: bool) -> Callable[[Column], Column]:
+        """For arrays of tokens, and of tokens with what was skipped: ids by the head, tokens that it does not have, lengths."""
+        # the corpus can have a token with a reserved name; its own id is the larger one
+        head = self.vocab.where((F.col("id") < self.bound) & F.col("token").isNotNull()).select("token", "id")
+        table = head.toArrow().sort_by([("id", "descending")]).combine_chunks()
+        held = self.vocab.sparkSession.sparkContext.broadcast(table)
+        first_spare, unknown = FIRST_SPARE, UNKNOWN_ID
+
+        @F.arrow_udf("ids array<int>, missing array<string>, lengths array<int>")
+        def look_up(lists, pieces):
+            import numpy as np
+            import pyarrow as pa
+            import pyarrow.compute as pc
+
+            tokens, ids = (pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type) for c in held.value.columns)
+            flat = lists.flatten()
+            known = ids.cast(pa.int32()).take(pc.index_in(flat, value_set=tokens.cast(flat.type)))
+            absent = known.is_null().to_numpy(zero_copy_only=False)
+            starts = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())]).astype(np.int32)
+            before = np.concatenate([[0], np.cumsum(absent)])
+            number = before[:-1] - np.repeat(before[starts[:-1]], np.diff(starts)) + first_spare if rare else unknown
+            values = pa.array(np.where(absent, number, pc.fill_null(known, 0).to_numpy()).astype(np.int32))
+            missing = flat.filter(pa.array(absent & rare))
+            none, places = lists.is_null(), before[starts].astype(np.int32) if rare else np.zeros(len(starts), np.int32)
+            made = ((starts, values), (places, missing), (starts, pc.utf8_length(pieces.flatten())))
+            return pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(at), x, mask=none) for at, x in made], ["ids", "missing", "lengths"])
+
+        return look_up.asNondeterministic()
+
+    def _rest(self, coded: DataFrame, names: Sequence[str], tail: DataFrame) -> DataFrame:
+        """``names, _some`` and a struct ``_entry`` of place, length and id for every token that the head does not have."""
+        places = F.transform("_ids", lambda x, i: F.when(x < LAST_SPARE, i))
+        spared = coded.where(F.size("_missing") > 0).withColumn("_places", F.array_compact(places))
+        tokens = F.transform("_missing", lambda t, i: F.struct(t.alias("token"), F.get("_places", i).alias("pos")))
+        tokens = F.transform(tokens, lambda x: F.struct(x["token"].alias("token"), x["pos"].alias("pos"), F.get("_lengths", x["pos"]).alias("length")))
+        met = spared.select(*names, "_some", F.explode(tokens).alias("_m")).select(*names, "_some", "_m.*").join(tail, "token", "left")
+        return met.select(*names, "_some", F.struct("pos", "length", F.coalesce("id", F.lit(UNKNOWN_ID)).alias("id")).alias("_entry"))
+
+
+def _running_total() -> Callable[[Column], Column]:
+    """The running sums of arrays of whole numbers."""
+
+    @F.arrow_udf("array<int>")
+    def running_total(lists):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        starts = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())]).astype(np.int32)
+        upto = np.concatenate([[0], np.cumsum(lists.flatten().to_numpy(zero_copy_only=False), dtype=np.int64)])
+        sums = upto[1:] - np.repeat(upto[starts[:-1]], np.diff(starts))
+        return pa.ListArray.from_arrays(pa.array(starts), pa.array(sums.astype(np.int32)), mask=lists.is_null())
+
+    return running_total.asNondeterministic()
 
 
 def build_vocab(df: DataFrame, text: str = "text", pattern: str = TOKEN_PATTERN) -> DataFrame:

@@ -33,20 +33,22 @@ def token_table(
     keys: Sequence[str] = EVAL_KEYS,
     max_len: int = MAX_TOKENS,
     no_tag: str = "error",
-    dealt: bool = False,
+    beside: DataFrame | None = None,
+    on: str = "ord",
 ) -> DataFrame:
     """Chat rows as ``input_ids, attention_mask, labels``; the text is dropped. ``keys`` name a row.
 
-    With a vocabulary table the prompt is counted before the text becomes tokens, so the text moves once (not at all if
-    ``chat`` is partitioned by some of the keys, ``dealt``), and the arrays never do.
+    Some of the keys can come from ``beside``, which the rows meet by ``on``. With a vocabulary table the text does not move: the
+    prompt is counted and the text becomes ids where it is, and the ids move once.
     """
     if isinstance(source, VocabularySource):
-        sized = chat.select(*keys, "text", source.count(prompt_of("text")).alias("_cut"))
-        ids = with_attention(source.ids(sized, max_len, keys, ["_cut"], dealt=dealt))
+        sized = chat.withColumn("_cut", source.count(prompt_of("text")))
+        ids = with_attention(source.ids(sized, max_len, keys, ["_cut"], beside=beside, on=on))
         labels = masked_labels(F.col("_cut"), F.col("_cut").isNotNull(), no_tag)
         tokens = ids.withColumn("labels", labels)
     else:
-        tokens = mask_prompt(tokenize(chat, source, max_len, keys), source, no_tag)
+        met = chat if beside is None else chat.join(beside.hint("shuffle_merge"), on)
+        tokens = mask_prompt(tokenize(met, source, max_len, keys), source, no_tag)
     return tokens.select(*keys, "input_ids", "attention_mask", "labels")
 
 
@@ -66,16 +68,14 @@ def padded_batches(
 ) -> DataFrame:
     """Chat rows as padded batches: ``by, order, batch_id`` and the three arrays.
 
-    Batch numbers and lengths are worked out on narrow rows (keys and token counts). The text moves once, to meet
-    them; the arrays, several times the size of the text, are made where it is.
+    Batch numbers and lengths are worked out on narrow rows (keys and token counts). The ids move once, to meet them; the other
+    arrays and the padding are made there.
     """
     length = F.least(source.count(F.col("text")), F.lit(max_len)).alias("longest")
     batched = assign_batches(chat.select(*by, order, length), size, order, by)
     in_batch = W.partitionBy(*by, "batch_id")
     placed = batched.select(order, "batch_id", F.max("longest").over(in_batch).alias("longest"))
-    # the join deals the texts by their order value, so the arrays can be put together there
-    met = chat.join(placed.hint("shuffle_merge"), order)
-    return pad_to(token_table(met, source, [*by, order, "batch_id", "longest"], max_len, no_tag, dealt=True))
+    return pad_to(token_table(chat, source, [*by, order, "batch_id", "longest"], max_len, no_tag, placed, order))
 
 
 def row_losses(
