@@ -7,13 +7,13 @@ model below fills that place, so that the whole evaluation can run on any corpus
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import IGNORE_LABEL, LOSS_EPSILON, PERPLEXITY_LIMIT
+from ..constants import BROADCAST_ROW_BOUND, IGNORE_LABEL, LOSS_EPSILON, PERPLEXITY_LIMIT
 from ..functions.text import fixed, scientific
 
 ROW_KEYS = ("dataset", "language", "split", "row_id")
@@ -60,6 +60,7 @@ class UnigramFit:
     counts: DataFrame
     total: int
     vocab_size: int
+    bound: int = BROADCAST_ROW_BOUND
 
     def loss(self, n: Column, alpha: float) -> Column:
         """-ln p of a label that train has ``n`` times, with add-alpha smoothing."""
@@ -70,6 +71,22 @@ class UnigramFit:
         outside = (label < 0) | (label >= self.vocab_size)
         return F.when(outside, F.raise_error(F.format_string(f"label %d is not an id below {self.vocab_size}", label)).cast("int")).otherwise(label)
 
+    def joined(self, tokens: DataFrame, losses: Mapping[str, float]) -> DataFrame:
+        """``tokens`` (one row per ``label``) with one column of losses per entry of ``losses``, name and alpha; null without a label.
+
+        Labels below the broadcast bound are no more rows than that: they meet the tokens where those are, so the tokens of a
+        row stay together. Only larger ones, rare if ids follow the count, are shuffled.
+        """
+        counts = self.counts.select(F.col("label").alias("_label"), *[self.loss(F.col("n"), a).alias(c) for c, a in losses.items()])
+        absent = {c: F.when(F.col("label").isNotNull(), F.coalesce(c, self.loss(F.lit(0), a))) for c, a in losses.items()}
+        same = F.col("label") == F.col("_label")
+        met = lambda some, side: some.join(side, same, "left").drop("_label").withColumns(absent)
+        head = F.broadcast(counts.where(F.col("_label") < self.bound))
+        if self.vocab_size <= self.bound:
+            return met(tokens, head)
+        low = F.col("label").isNull() | (F.col("label") < self.bound)
+        return met(tokens.where(low), head).unionByName(met(tokens.where(~low), counts.where(F.col("_label") >= self.bound)))
+
 
 def fit_unigram(train: DataFrame, vocab_size: int) -> UnigramFit:
     """Count the scored labels of ``train`` (a table of any number of ids); only the total comes to the driver."""
@@ -91,18 +108,16 @@ def unigram_losses(
     One row per model, row and position, masked positions included: a row without any scored label must still count.
     """
     fit = fit_unigram(train, vocab_size)
-    tokens = shift_labels(evaluated).select(*keys, F.posexplode_outer("labels").alias("pos", "label"))
-    scored = valid_label(F.col("label"))
+    tokens = shift_labels(evaluated).select(*keys, F.posexplode_outer("labels").alias("pos", "_all"))
+    scored = valid_label(F.col("_all"))
     by_model = F.array(
         F.struct(F.lit("unigram").alias("model"), F.col("_fitted").alias("loss")),
         F.struct(F.lit("uniform").alias("model"), F.lit(math.log(vocab_size)).alias("loss")),
     )
     return (
-        tokens.withColumn("label", F.when(scored, fit.checked(F.col("label"))).otherwise(F.col("label")))
-        .join(fit.counts, "label", "left")
-        .withColumn("_fitted", F.when(scored, fit.loss(F.col("n"), alpha)))
+        fit.joined(tokens.withColumn("label", F.when(scored, fit.checked(F.col("_all")))), {"_fitted": alpha})
         .withColumn("_m", F.explode(by_model))
-        .select(*keys, "pos", "label", "_m.model", F.when(scored, F.col("_m.loss")).otherwise(0.0).alias("loss"))
+        .select(*keys, "pos", F.col("_all").alias("label"), "_m.model", F.when(scored, F.col("_m.loss")).otherwise(0.0).alias("loss"))
     )
 
 
@@ -126,15 +141,14 @@ def scored_labels() -> Column:
 def score_rows(evaluated: DataFrame, fit: UnigramFit, alphas: Sequence[float], keys: Sequence[str] = ROW_KEYS) -> DataFrame:
     """The same row means from the label arrays: ``losses`` has one value per alpha, one row per row of ``evaluated``.
 
-    ``keys`` name a row. Its labels are counted once, the counts meet the fit in one join for all alphas, and a row without any
-    scored label stays with losses of 0.
+    ``keys`` name a row. Its labels meet the losses of all alphas where they are, and one record per row is shuffled; a row without
+    any scored label stays with losses of 0.
     """
-    rows = evaluated.select(*keys, scored_labels().alias("_scored"))
-    counted = rows.select(*keys, F.explode_outer("_scored").alias("label")).groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("_m"))
-    met = counted.withColumn("label", fit.checked(F.col("label"))).join(fit.counts, "label", "left")
-    some = F.col("label").isNotNull()
-    tokens = F.coalesce(F.sum(F.when(some, F.col("_m"))), F.lit(0))
-    sums = [F.coalesce(exact_sum(F.col("_m") * fit.loss(F.col("n"), a), some), F.lit(0.0)) for a in alphas]
+    rows = evaluated.select(*keys, F.explode_outer(scored_labels()).alias("label"))
+    names = {f"_loss{i}": a for i, a in enumerate(alphas)}
+    met = fit.joined(rows.withColumn("label", fit.checked(F.col("label"))), names)
+    sums = [F.coalesce(exact_sum(F.col(c)), F.lit(0.0)) for c in names]
+    tokens = F.count("label")
     return met.groupBy(*keys).agg(F.array(*[x / (tokens + F.lit(LOSS_EPSILON)) for x in sums]).alias("losses"), tokens.cast("int").alias("tokens"))
 
 
