@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField
 
-from .shared import Shipped, append, named, one_text_each, run_hashes, slices, tidy
+from .shared import Shipped, append, give_back, named, one_text_each, run_hashes, slices, tidy
 
 # --- fixed values: the base patterns --------------------------------------------------------------------------------
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -33,6 +33,7 @@ SAMPLE_WINDOWS = 3_000
 TEXT_WINDOWS = 20
 WINDOW = 48
 STEPS = 60
+TOGETHER = 250
 OUTSIDE, BEGIN, INSIDE = range(3)
 BUCKETS = 512
 MASK = "[secret]"
@@ -181,31 +182,39 @@ class Field:
         return out
 
     def fit(self, features: np.ndarray, tags: np.ndarray, decay: float = 2e-4) -> None:
-        """``features`` (windows x places x groups) and ``tags`` (windows x places, -1 beyond the end)."""
-        n, size = tags.shape
+        """``features`` (windows x places x groups) and ``tags`` (windows x places, -1 beyond the end).
+
+        A step takes ``TOGETHER`` windows at a time; beside the features, only three numbers of each place are held for all windows. The sums
+        run over the places in their order, so they do not depend on ``TOGETHER``.
+        """
+        n = len(tags)
         there = tags >= 0
-        gold = np.eye(3)[np.maximum(tags, 0)] * there[:, :, None]
         last = there.sum(1) - 1
         flat = features[there]
-        pairs = np.einsum("nia,nib->ab", gold[:, :-1] * there[:, 1:, None], gold[:, 1:])
-        begins, ends = gold[:, 0].sum(0), gold[np.arange(n), last].sum(0)
+        at = np.concatenate([[0], np.cumsum(last + 1)])
+        parts = [slice(a, min(n, a + TOGETHER)) for a in range(0, n, TOGETHER)]
+
+        def gold_of(part: slice) -> np.ndarray:
+            return np.eye(3)[np.maximum(tags[part], 0)] * there[part, :, None]
+
+        pairs, begins, ends = np.zeros((3, 3)), np.zeros(3), np.zeros(3)
+        for part in parts:
+            gold = gold_of(part)
+            pairs += np.einsum("nia,nib->ab", gold[:, :-1] * there[part, 1:, None], gold[:, 1:])
+            begins += gold[:, 0].sum(0)
+            ends += gold[np.arange(len(gold)), last[part]].sum(0)
         state = [self.weights, self.moves, self.ends]
         m, v = [np.zeros_like(x) for x in state], [np.zeros_like(x) for x in state]
+        off, heads, tails = np.empty((len(flat), 3)), np.empty((n, 3)), np.empty((n, 3))
         for step in range(1, STEPS + 1):
-            e = np.zeros((n, size, 3))
-            e[there] = self.emissions(flat)
-            forward, back = np.empty_like(e), np.zeros_like(e)
-            forward[:, 0] = e[:, 0] + self.ends[0]
-            for i in range(1, size):
-                forward[:, i] = log_sum(forward[:, i - 1][:, :, None] + self.moves, 1) + e[:, i]
-            for i in range(size - 1, -1, -1):
-                on = log_sum(self.moves + (e[:, i + 1] + back[:, i + 1])[:, None, :], 2) if i + 1 < size else 0
-                back[:, i] = np.where((last == i)[:, None], self.ends[1], np.where((last > i)[:, None], on, 0))
-            total = log_sum(forward[:, 0] + back[:, 0], 1)
-            chance = np.exp(forward + back - total[:, None, None]) * there[:, :, None]
-            both = np.exp(forward[:, :-1, :, None] + self.moves + (e[:, 1:] + back[:, 1:])[:, :, None, :] - total[:, None, None, None]) * there[:, 1:, None, None]
-            off = (chance - gold)[there]
-            grads = [np.zeros_like(self.weights), both.sum((0, 1)) - pairs, np.stack([chance[:, 0].sum(0) - begins, chance[np.arange(n), last].sum(0) - ends])]
+            moved = np.zeros((1, 3, 3))
+            for part in parts:
+                places = slice(at[part.start], at[part.stop])
+                chance, both = self.chances(flat[places], there[part], last[part])
+                off[places] = (chance - gold_of(part))[there[part]]
+                heads[part], tails[part] = chance[:, 0], chance[np.arange(len(chance)), last[part]]
+                moved = np.concatenate([moved, both.reshape(-1, 3, 3)]).sum(0, keepdims=True)
+            grads = [np.zeros_like(self.weights), moved[0] - pairs, np.stack([heads.sum(0) - begins, tails.sum(0) - ends])]
             for g in range(Tokens.GROUPS):
                 for t in range(3):
                     grads[0][g, :, t] = np.bincount(flat[:, g], off[:, t], BUCKETS)
@@ -214,6 +223,23 @@ class Field:
                 m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.99 * v[i] + 0.01 * g**2
                 x -= 0.15 * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.99**step)) + 1e-8)
 
+    def chances(self, flat: np.ndarray, there: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each tag at each place of the windows, and of each two tags in a row."""
+        n, size = there.shape
+        e = np.zeros((n, size, 3))
+        e[there] = self.emissions(flat)
+        forward, back = np.empty_like(e), np.zeros_like(e)
+        forward[:, 0] = e[:, 0] + self.ends[0]
+        for i in range(1, size):
+            forward[:, i] = log_sum(forward[:, i - 1][:, :, None] + self.moves, 1) + e[:, i]
+        for i in range(size - 1, -1, -1):
+            on = log_sum(self.moves + (e[:, i + 1] + back[:, i + 1])[:, None, :], 2) if i + 1 < size else 0
+            back[:, i] = np.where((last == i)[:, None], self.ends[1], np.where((last > i)[:, None], on, 0))
+        total = log_sum(forward[:, 0] + back[:, 0], 1)
+        chance = np.exp(forward + back - total[:, None, None]) * there[:, :, None]
+        both = np.exp(forward[:, :-1, :, None] + self.moves + (e[:, 1:] + back[:, 1:])[:, :, None, :] - total[:, None, None, None]) * there[:, 1:, None, None]
+        return chance, both
+
     def decode(self, emissions: np.ndarray, texts: np.ndarray) -> np.ndarray:
         """Best tag sequence of each text (Viterbi; ties: the lower tag).
 
@@ -279,6 +305,19 @@ def training_windows(batches):
             yield pa.RecordBatch.from_arrays([pa.array(f, pa.list_(pa.int32())), pa.array(t, pa.list_(pa.int32()))], ["f", "t"])
 
 
+def ranked_windows(batches):
+    """``plain, lot, f, t``: the training windows as bytes, two a feature number and one a tag, with what they are chosen by."""
+    for batch in training_windows(batches):
+        plain, lot, f, t = [], [], [], []
+        for x, y in zip(batch.column(0), batch.column(1)):
+            x, y = x.values.to_numpy(), y.values.to_numpy()
+            plain.append(not y.any())
+            lot.append(int(np.dot(x % 1009, np.arange(len(x)) % 997) % 10007))
+            f.append(x.astype("<i2").tobytes())
+            t.append(y.astype("<i1").tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(plain, pa.bool_()), pa.array(lot, pa.int64()), pa.array(f, pa.binary()), pa.array(t, pa.binary())], ["plain", "lot", "f", "t"])
+
+
 def varied(f: np.ndarray, t: np.ndarray, seed: int) -> np.ndarray:
     """A copy of a window's features in which its secrets have another make-up and length and its keywords other names.
 
@@ -300,26 +339,36 @@ def fit(docs: DataFrame, sample: int = SAMPLE_TEXTS, doc_id: str = "doc_id", tex
     """Learn from at most ``sample`` texts that may hold a secret and as many others (lowest id hash first).
 
     The patterns' finds are the tags. An id that repeats teaches one of its texts, and a text at most 20 windows with a secret and
-    20 without, so the driver gets at most 40 windows of feature numbers for each sampled text; it trains on at most 3,000, those with a secret first, and on varied copies of those. Without any text nothing is learned and nothing is ever tagged.
+    20 without. Of all those, Spark takes 3,000, those with a secret first, and no others reach the driver, which trains on them and on
+    varied copies of those with a secret. Without any text nothing is learned and nothing is ever tagged.
     """
     rows = named(docs, doc_id=doc_id, text=text).where("doc_id is not null and text is not null")
     hint = F.col("text").rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}")
     lot = (F.xxhash64("doc_id"), "doc_id")
     keys = rows.where(hint).select("doc_id").distinct().orderBy(*lot).limit(sample).union(rows.select("doc_id").distinct().orderBy(*lot).limit(sample)).distinct()
-    found = one_text_each(rows, keys, "doc_id").select("text").mapInArrow(tidy(training_windows), "f array<int>, t array<int>").toPandas()
+    windows = one_text_each(rows, keys, "doc_id").select("text").mapInArrow(tidy(ranked_windows), "plain boolean, lot bigint, f binary, t binary")
+    found = windows.orderBy("plain", "lot", "f", "t").limit(SAMPLE_WINDOWS).select("f", "t").toArrow()
     field = Field()
     if len(found):
-        windows = sorted(((np.array(t), np.array(f)) for t, f in zip(found["t"], found["f"])), key=lambda w: (not w[0].any(), int(np.dot(w[1] % 1009, np.arange(len(w[1])) % 997) % 10007), w[1].tobytes()))[:SAMPLE_WINDOWS]
-        made = [(t, varied(f.reshape(-1, Tokens.GROUPS), t, i).reshape(-1)) for i, (t, f) in enumerate(windows) if t.any()]
-        windows = (windows + made)[: 2 * SAMPLE_WINDOWS]
-        tags = np.full((len(windows), WINDOW), -1)
-        features = np.zeros((len(windows), WINDOW, Tokens.GROUPS), np.int64)
-        for i, (t, f) in enumerate(windows):
-            tags[i, : len(t)], features[i, : len(t)] = t, f.reshape(-1, Tokens.GROUPS)
-        field.fit(features, tags)
+        field.fit(*training_set(found))
+    del found
+    give_back()
     return field
 
 
+def training_set(found: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Features and tags of the windows ``f, t``, and of a varied copy of each that has a secret."""
+    f = [np.frombuffer(x.as_buffer(), "<i2").reshape(-1, Tokens.GROUPS) for x in found["f"]]
+    t = [np.frombuffer(x.as_buffer(), "<i1") for x in found["t"]]
+    copied = [i for i, x in enumerate(t) if x.any()]
+    tags = np.full((len(t) + len(copied), WINDOW), -1, np.int8)
+    features = np.zeros((*tags.shape, Tokens.GROUPS), np.int16)
+    for at, i in enumerate([*range(len(t)), *copied]):
+        tags[at, : len(t[i])] = t[i]
+        features[at, : len(t[i])] = f[i] if at < len(t) else varied(f[i], t[i], i)
+    return features, tags
+
+
 def find_secrets(texts: list[str], field: Field) -> list[list[tuple[int, int, int, int]]]:
     """``(start, kind, end, start of the secret itself)`` of each text: the patterns' finds and the field's others.
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField
 
 from ..operators.ordering import first_k
-from .shared import Shipped, append, joined, lowered, named, one_text_each, remainder, slices, tidy
+from .shared import Shipped, append, give_back, joined, lowered, named, one_text_each, remainder, slices, tidy
 
 ORDER = 4
 TRAIN_TEXTS = 1500
@@ -196,7 +196,11 @@ def fit(docs: DataFrame, order: int = ORDER, train_texts: int = TRAIN_TEXTS, doc
     names = found["lang"].combine_chunks().dictionary_encode()
     which, gram, n = names.indices.to_numpy(), found["gram"].to_numpy().view(np.uint64), found["n"].to_numpy()
     counted = {name: (gram[which == i], n[which == i]) for i, name in enumerate(names.dictionary.to_pylist())}
-    return LanguageModel(list(counted), counted, order)
+    del found, names, which, gram, n
+    model = LanguageModel(list(counted), counted, order)
+    del counted
+    give_back()
+    return model
 
 
 def with_language(docs: DataFrame, model: LanguageModel, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

@@ -91,15 +91,20 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library of most Linux systems has it
-        if trim is not None:
-            trim(0)
+        give_back()
 
     return whole
 
 
+def give_back() -> None:
+    """Give memory that is free, but kept, back to the system: at the end of a task, and on the driver after a fit."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library of most Linux systems has it
+    if trim is not None:
+        trim(0)
+
+
 class Shipped:
     """A broadcast object of this package's classes; it is pickled with its code, like the functions that use it."""
 
