@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import Recent, Shipped, mix, named, run_hashes, slices, tidy, written
+from .shared import Recent, Shipped, give_back, mix, named, run_hashes, slices, tidy, written
 
 WINDOW = 2048
 END_ID = 1
@@ -66,6 +66,8 @@ class Units:
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for piece, i in vocabulary.items() if piece.endswith(WORD_END)]] = True
+        del vocabulary
+        give_back()
         self.store = Recent(UNITS_ROOM, lambda ids: len(ids) + 170)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -118,6 +120,7 @@ def token_ids(column: pa.Array, units: Units, kinds: np.ndarray) -> tuple[np.nda
     fold[0xC0:0xDF] += 32
     fold[0xD7] = 0xD7
     plain = np.where(codes < 256, fold[np.minimum(codes, 255)], codes)
+    del codes, space, word_no, change, edges, used  # up to 25 bytes a character, beside what the hashes take
     # a hash of (kind, characters): symbols are numbered below 1,114,112
     hashes = mix(run_hashes(plain, starts, ends, 3) + kind[starts].astype(np.uint64))
     keys, first, unit = np.unique(hashes, return_index=True, return_inverse=True)
@@ -272,4 +275,4 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, doc_id: str
             yield pa.RecordBatch.from_arrays([*[batch[c] for c in columns], pa.array(sequence), pa.array(offset)], [*columns, "sequence_id", "offset"])
 
     shape = ", ".join(f"`{c}` {ranked.schema[c].dataType.simpleString()}" for c in columns)
-    return ranked.select(*columns, "rank").mapInArrow(place, f"{shape}, sequence_id bigint, offset bigint")
+    return ranked.select(*columns, "rank").mapInArrow(tidy(place), f"{shape}, sequence_id bigint, offset bigint")

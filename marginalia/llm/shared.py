@@ -208,11 +208,14 @@ def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: i
         return np.empty(0, np.uint64)
     lengths = ends - starts
     first = np.cumsum(lengths) - lengths
-    at = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
+    at = np.arange(int(lengths.sum()))
+    at -= np.repeat(first, lengths)
     taken = values[at + np.repeat(starts, lengths)]
     symbols = stream(seed, int(taken.max()) + 1) | np.uint64(1)
     places = stream(seed + 1, int(lengths.max()))
-    sums = np.add.reduceat(symbols[taken] * places[at], first)
+    terms = symbols[taken]
+    terms *= places[at]
+    sums = np.add.reduceat(terms, first)
     return mix(sums + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
