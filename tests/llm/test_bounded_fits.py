@@ -3,10 +3,12 @@
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 from helpers import documents, prose
 from pyspark.sql import functions as F
 
-from marginalia.llm import op1_secrets, op2_language, op10_quality
+from marginalia.llm import op1_secrets, op2_language, op9_packing, op10_quality
+from marginalia.llm.queries import vocabulary_file
 
 
 def repeated(spark, texts, times=5_000):
@@ -94,3 +96,15 @@ def test_field_does_not_depend_on_the_windows_of_a_step(monkeypatch):
         fields[-1].fit(features, tags)
     for field in fields[1:]:
         assert all(np.array_equal(getattr(field, k), getattr(fields[0], k)) for k in ("weights", "moves", "ends"))
+
+
+def test_packing_slice_takes_little_memory():
+    units, kinds = op9_packing.Units(vocabulary_file("word_bpe_49k.json")), op9_packing.character_classes()
+    column = pa.array([" ".join(prose(i, 60) for i in range(1_500))])
+    op9_packing.token_ids(column, units, kinds)
+    tracemalloc.start()
+    try:
+        op9_packing.token_ids(column, units, kinds)
+        assert tracemalloc.get_traced_memory()[1] < 84 * len(column[0].as_py())  # 95 bytes a character with all arrays held
+    finally:
+        tracemalloc.stop()
